@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
-from .tables import read, text_or_empty
+from . import bpe, rans
+from .tables import read, shared_dir, text_or_empty
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -29,8 +29,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
+    folder = shared_dir(spark)
+    rans.write(docs, TOKENIZER, folder, end_id=0)
+    return rans.checksums(spark, folder, TOKENIZER).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op9_rans": op9_rans,
 }
 
 ORACLE_SQL: dict[str, str] = {}
