@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, rans
-from .tables import read, shared_dir, text_or_empty
+from . import bpe, kneser_ney, rans
+from .tables import crc_bucket, read, shared_dir, text_or_empty
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -29,6 +29,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (crc_bucket("doc_id", 10) == 0).alias("held_out"))
+    model = kneser_ney.train(docs.where(~F.col("held_out")))
+    scored = kneser_ney.score(docs, model, keep=["held_out"])
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op9_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
     folder = shared_dir(spark)
@@ -38,6 +45,7 @@ def op9_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op8_kneser_ney": op8_kneser_ney,
     "op9_rans": op9_rans,
 }
 

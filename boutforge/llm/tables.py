@@ -62,4 +62,4 @@ def text_or_empty(column: str = "text") -> Column:
 
 
 def crc_bucket(column: str, buckets: int) -> Column:
-    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(buckets))
+    return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(buckets))
