@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kneser_ney, rans
+from . import bpe, kneser_ney, rans, toxicity
 from .tables import crc_bucket, read, shared_dir, text_or_empty
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,10 +43,27 @@ def op9_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.checksums(spark, folder, TOKENIZER).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+THRESHOLD = 0.3
+
+
+def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with held_out, score and predicted; labels are learnt from rows that aren't held out."""
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(crc_bucket("doc_id", 4) != 2)
+    model = toxicity.train(docs, labels)
+    scored = toxicity.score(docs, model)
+    return scored.withColumns({"held_out": crc_bucket("doc_id", 4) == 2, "predicted": (F.col("score") >= THRESHOLD).cast("int")})
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity_scores(spark, docs, sf_dir).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op8_kneser_ney": op8_kneser_ney,
     "op9_rans": op9_rans,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
