@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kneser_ney, rans, superminhash, toxicity
+from . import bpe, hilbert, kneser_ney, rans, superminhash, topk, toxicity
 from .tables import crc_bucket, read, shared_dir, text_or_empty
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,14 @@ def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=20, every=20)
+
+
+def op7_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.search(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=20, every=20)
+
+
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", (crc_bucket("doc_id", 10) == 0).alias("held_out"))
     model = kneser_ney.train(docs.where(~F.col("held_out")))
@@ -66,6 +74,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_superminhash": op3_superminhash,
+    "op6_topk": op6_topk,
+    "op7_hilbert": op7_hilbert,
     "op8_kneser_ney": op8_kneser_ney,
     "op9_rans": op9_rans,
     "op10_toxicity": op10_toxicity,
