@@ -1,8 +1,8 @@
 """Token ids of whole texts by way of distinct chunks.
 
-A text is cut before each single space that follows a character that is not white space. A
-byte-level BPE pre-tokenizer always starts a new piece there, so a chunk's ids don't depend on its
-neighbours. Distinct chunks are found by hash in a table that a worker keeps; only new ones are
+A text is cut before each single space or line feed that follows a character that is not white space,
+after such a line feed, and before a comma or the like that follows a letter or digit. A byte-level BPE
+pre-tokenizer always starts a new piece there, so a chunk's ids don't depend on its neighbours. Distinct chunks are found by hash in a table that a worker keeps; only new ones are
 handed to an encoder, many at a time.
 """
 
@@ -15,6 +15,8 @@ import numpy as np
 
 from .textblocks import mix, ranges, spans_hash
 
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,;:!?"]] = True
 KEEP_CHUNKS = 1 << 21  # entries a worker keeps; then it starts anew
 KEEP_TOKENS = 1 << 24
 
@@ -78,7 +80,14 @@ def chunk_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     # the last bytes of white-space characters beyond ASCII; a few others also match, and then the chunk is only longer
     space |= (b2 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))
     space |= (b3 >= 0xE1) & (b3 <= 0xE3) & ((b2 == 0x80) | (b2 == 0x81) | (b2 == 0x9A))
-    begin = (data == 32) & ~space
+    solid = ~space
+    begin = ((data == 32) | (data == 10)) & solid
+    # after a lone line feed; characters that may be white space beyond ASCII are left to the encoder
+    plain = ((data > 32) & (data < 127)) | (data == 0xC3)
+    begin[1:] |= begin[:-1] & (data[:-1] == 10) & plain[1:]
+    # before a mark that follows an ASCII letter or digit or a letter of the Latin-1 block
+    letter = ((b1 | 32) >= 97) & ((b1 | 32) <= 122) | (b1 >= 48) & (b1 <= 57) | (b2 == 0xC3) & (b1 >= 0x98) & (b1 <= 0xBF) & (b1 != 0xB7) | (b2 == 0xC3) & (b1 >= 0x80) & (b1 <= 0x96)
+    begin |= letter & _MARK[data]
     inner = offsets[offsets < n]
     begin[inner] = True
     begin[0] = True

@@ -139,20 +139,26 @@ class LibraryEncoder:
         self.lengths = Vocabulary(path).lengths
 
     def encode_new(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        joined, alone = [], []
-        for k, c in enumerate(chunks):  # a single space, then word characters to the end: safe beside others
-            (joined if len(c) > 1 and c[0] == 32 and c[1] > 32 and c[-1] > 32 and c[-1] < 127 and b"<|" not in c else alone).append(k)
+        joined: list[int] = []
+        alone: list[int] = []
+        for k, c in enumerate(chunks):
+            (joined if self._joins(c) else alone).append(k)
         counts = np.zeros(len(chunks), np.int64)
         order: list[np.ndarray] = []
         pieces: list[np.ndarray] = []
         for a in range(0, len(joined), 4096):
             part = joined[a : a + 4096]
-            ids = np.array(self._ids([b"".join(chunks[k] for k in part).decode()])[0], np.int64)
-            ends = np.cumsum(self.lengths[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(chunks[k]) for k in part])) + 1
-            counts[part] = np.diff(cuts, prepend=0)
+            # a chunk without a space in front follows a line feed, which is a piece and an id of its own
+            texts = [chunks[k] if chunks[k][0] == 32 else b"\n" + chunks[k] for k in part]
+            ids = np.array(self._ids([b"".join(texts).decode()])[0], np.int64)
+            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(x) for x in texts])) + 1
+            count = np.diff(cuts, prepend=0)
+            extra = np.array([x[0] == 10 for x in texts])
+            keep = np.ones(len(ids), bool)
+            keep[(cuts - count)[extra]] = False
+            counts[part] = count - extra
             order.append(np.array(part))
-            pieces.append(ids)
+            pieces.append(ids[keep])
         for a in range(0, len(alone), 1024):
             part = alone[a : a + 1024]
             found = self._ids([chunks[k].decode() for k in part])
@@ -166,6 +172,14 @@ class LibraryEncoder:
         first[by] = np.cumsum(counts[by]) - counts[by]
         return np.concatenate(pieces)[ranges(first, counts)], counts
 
+    @staticmethod
+    def _joins(c: bytes) -> bool:
+        """Whether a chunk starts and ends with characters that can't make a piece with its neighbours."""
+        if not (32 < c[-1] < 127 or len(c) > 1 and c[-2] == 0xC3) or b"<|" in c:
+            return False
+        first = c[0] if c[0] != 32 else c[1] if len(c) > 1 else 0
+        return 32 < first < 127 or first == 0xC3
+
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -214,8 +228,8 @@ def _frequencies(rows: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                total += np.bincount(_unpack(packed), minlength=size)
+            ids = [_unpack(packed) for packed in batch.column(0).to_pylist()]
+            total += np.bincount(np.concatenate(ids), minlength=size) if ids else 0
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["id", "n"])
 
