@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hilbert, kneser_ney, rans, superminhash, topk, toxicity
+from . import bpe, hilbert, kneser_ney, pii, rans, secrets, spans, superminhash, topk, toxicity
 from .tables import crc_bucket, read, shared_dir, text_or_empty
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,10 +29,24 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find(docs).select("doc_id", "secrets", F.filter("secrets", lambda s: s["kind"] != "random").alias("base"))
+    counts = {f"n_{k}": spans.count_of(F.col("base"), k) for k in secrets.BASE}
+    return found.select("doc_id", *(c.alias(n) for n, c in counts.items()), F.sha2(spans.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans.joined(F.col("secrets")).alias("spans"))
+
+
 def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs).select("doc_id", "pii", F.filter("pii", lambda s: s["kind"].isin(pii.BASE)).alias("base"))
+    counts = {f"n_{k}": spans.count_of(F.col("base"), k) for k in pii.BASE}
+    return found.select("doc_id", *(c.alias(n) for n, c in counts.items()), F.sha2(spans.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans.joined(F.col("pii")).alias("spans"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=20, every=20)
 
@@ -73,7 +87,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_secrets": op2_secrets,
     "op3_superminhash": op3_superminhash,
+    "op4_pii": op4_pii,
     "op6_topk": op6_topk,
     "op7_hilbert": op7_hilbert,
     "op8_kneser_ney": op8_kneser_ney,
