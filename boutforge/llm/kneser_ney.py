@@ -288,7 +288,7 @@ def train(docs: DataFrame, *, text: str = "text") -> dict:
                 yield out()
         yield out()
 
-    width = max(1, -(-(v + 1) // buckets))
+    width = max(1, -(-(v + 1) // parts))  # words in a range of the dense arrays
 
     def groups(batches, n_arrays):
         """The packed arrays of one bucket after another; rows are sorted by bucket."""
@@ -304,6 +304,20 @@ def train(docs: DataFrame, *, text: str = "text") -> dict:
             yield last, held
 
     def save_pairs(batches):
+        # what a task's buckets say of contexts and of words goes on together, a row for each range of words
+        contexts: list[tuple[np.ndarray, ...]] = []
+        follows: list[tuple[np.ndarray, ...]] = []
+
+        def out():
+            for kind, held in enumerate((contexts, follows)):
+                if held:
+                    ids, *values = (np.concatenate(x) for x in zip(*held, strict=True))
+                    order = np.argsort(ids, kind="stable")
+                    ids = ids[order]
+                    begin = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+                    yield packed(ids[begin] // width, ids[begin], *(np.add.reduceat(x[order], begin) for x in values), kind=kind)
+                held.clear()
+
         for bucket, held in groups(batches, 2):
             sums = _Sums()
             for _, (keys, counts) in held:
@@ -313,12 +327,13 @@ def train(docs: DataFrame, *, text: str = "text") -> dict:
             _save(f"{folder}/pairs-{bucket}.count", counts.astype(np.uint32))
             context, word = keys >> 32, keys & 0xFFFFFFFF
             begin = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-            by = [np.add.reduceat(x, begin) for x in (counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts > 2).astype(np.int64))]
-            yield packed(context[begin] // width, context[begin], *by, kind=0)
-            follows, times = np.unique(word, return_counts=True)
-            yield packed(follows // width, follows, times, kind=1)
+            contexts.append((context[begin], *(np.add.reduceat(x, begin) for x in (counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts > 2).astype(np.int64)))))
+            follows.append(np.unique(word, return_counts=True))
+            if sum(len(x[0]) for x in (*contexts, *follows)) > 2 * FLUSH:
+                yield from out()
             kinds = [int((counts == k).sum()) for k in (1, 2, 3, 4)] + [int((counts > 2).sum()), bucket]
             yield _batch(bucket=pa.array([-1], pa.int64()), kind=pa.array([2], pa.int64()), packed=pa.array([np.array(kinds, "<i8").tobytes()], pa.binary()))
+        yield from out()
 
     def save_stats(batches):
         for bucket, held in groups(batches, None):

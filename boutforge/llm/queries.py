@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hilbert, kneser_ney, pii, rans, secrets, spans, superminhash, topk, toxicity
+from . import bpe, hilbert, kneser_ney, mixing, pii, rans, secrets, spans, superminhash, topk, toxicity
 from .tables import crc_bucket, read, shared_dir, text_or_empty
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -47,6 +47,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(c.alias(n) for n, c in counts.items()), F.sha2(spans.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans.joined(F.col("pii")).alias("spans"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix(docs).select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=20, every=20)
 
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_superminhash": op3_superminhash,
     "op4_pii": op4_pii,
+    "op5_mixing": op5_mixing,
     "op6_topk": op6_topk,
     "op7_hilbert": op7_hilbert,
     "op8_kneser_ney": op8_kneser_ney,

@@ -37,6 +37,7 @@ from .textblocks import hashed_words, mix, mix_int, ranges, text_blocks, trim
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 42, 6
+PERCENT = 85  # of the union that the intersection has to reach
 PLACES = BANDS * ROWS
 WORK = 1 << 17  # shingles whose permutations are held at once
 SMALL_BUCKET = 24
