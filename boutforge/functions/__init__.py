@@ -1 +1 @@
-"""Combat-record analytics on Spark."""
+"""functions of combat-record analytics."""

@@ -1 +1 @@
-"""Combat-record analytics on Spark."""
+"""operators of combat-record analytics."""

@@ -1 +1 @@
-"""Combat-record analytics on Spark."""
+"""plans of combat-record analytics."""

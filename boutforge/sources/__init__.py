@@ -1 +1 @@
-"""Combat-record analytics on Spark."""
+"""sources of combat-record analytics."""

@@ -1 +1 @@
-"""Combat-record analytics on Spark."""
+"""streaming of combat-record analytics."""
