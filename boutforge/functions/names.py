@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 HIRAGANA = "".join(chr(c) for c in range(0x3041, 0x3097))
 KATAKANA = "".join(chr(c + 0x60) for c in range(0x3041, 0x3097))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition, which Spark has no function for; by Arrow batch."""
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
@@ -87,7 +88,7 @@ def romaji_of(text: str) -> str:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def romaji(s: pd.Series) -> pd.Series:
     return s.map(romaji_of, na_action="ignore")
 

@@ -28,7 +28,7 @@ def half_up(x: Column, places: int = 0) -> Column:
 
 def percent(part: Column, whole: Column) -> Column:
     """Whole percent, null where there is nothing to divide by."""
-    return F.when(whole > 0, F.floor(100.0 * part / whole + 0.5).cast("long"))
+    return F.when(whole > 0, F.floor(100.0 * part / whole + 0.5).cast("double"))
 
 
 def expected_score(own: Column, other: Column) -> Column:

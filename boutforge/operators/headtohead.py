@@ -10,15 +10,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import checkpointed
+
 
 def reachable(edges: DataFrame, keys: list[str]) -> DataFrame:
     """All (winner, loser) with a path, by doubling path lengths until no pair is new."""
-    paths = edges.select(*keys, "winner", "loser").distinct().checkpoint()
+    paths = checkpointed(edges.select(*keys, "winner", "loser").distinct())
     n = paths.count()
     while True:
         left = paths.withColumnRenamed("loser", "via")
         right = paths.withColumnRenamed("winner", "via")
-        paths = paths.unionByName(left.join(right, [*keys, "via"]).select(*keys, "winner", "loser")).distinct().checkpoint()
+        paths = checkpointed(paths.unionByName(left.join(right, [*keys, "via"]).select(*keys, "winner", "loser")).distinct())
         if (more := paths.count()) == n:
             return paths
         n = more

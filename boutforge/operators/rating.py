@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from .lineage import checkpointed
 
 
 @dataclass(frozen=True)
@@ -34,14 +35,14 @@ LIVE = Tilt(1.8, 0.7, 0.9, 1.1, 3, 0.5)
 def components(bouts: DataFrame, rounds: int = 64) -> DataFrame:
     """node, component: the smallest node reachable, by spreading minima until nothing changes."""
     edges = bouts.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    edges = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().checkpoint()
+    edges = checkpointed(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
     label = edges.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component"))
     for _ in range(rounds):
         spread = edges.join(label, edges["y"] == label["node"]).groupBy("x").agg(F.min("component").alias("near"))
         jumped = label.join(spread, label["node"] == spread["x"]).select("node", F.least("component", "near").alias("component"), (F.col("near") < F.col("component")).alias("moved"))
         # a label is itself a node: its own label is a shorter way
         short = jumped.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = jumped.join(short, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "moved").checkpoint()
+        new = checkpointed(jumped.join(short, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "moved"))
         label = new.select("node", "component")
         if not new.where("moved").take(1):
             break
