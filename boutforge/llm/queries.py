@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hilbert, kneser_ney, mixing, pii, rans, secrets, spans, superminhash, topk, toxicity
+from . import bpe, hilbert, kneser_ney, mixing, oracles, pii, rans, secrets, spans, superminhash, topk, toxicity
 from .tables import crc_bucket, read, shared_dir, text_or_empty
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -103,4 +103,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_superminhash": oracles.NEAR_DUPLICATES, "op5_mixing": oracles.mixing_sql(), "op6_topk": oracles.TOP_K}
