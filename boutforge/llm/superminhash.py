@@ -11,10 +11,10 @@ A document's set holds its distinct 5-word shingles (A-Z lower-cased, words ``[^
    compared with it on full sets (size ratios that cannot reach the threshold are left out, exactly).
 4. Links become components: tasks run union-find on what they have, then minimum labels spread by
    star contraction until nothing changes.
-5. A bucket whose members are all in one component is done: any further link in it joins what is
-   joined. In others members of different components are still to be compared: small buckets pair all
-   of them at once, large ones get further hubs, twice as many each round, until every pair that
-   could matter has been compared. So a group of k copies costs k comparisons, not k * k.
+5. Classes that share buckets make a candidate group. The members of its largest component are joined
+   already; each other member is compared with all members, in cells of a block against a block, where
+   a task counts intersections and hands on only as many links as join what they join. So nothing is
+   lost, no pair is written out, and a group of k copies that resemble their hub costs k comparisons.
 
 A pair at the threshold of 0.85 shares no band with probability (1 - 0.85**ROWS)**BANDS, 2e-9.
 
@@ -29,7 +29,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tables
@@ -40,7 +40,7 @@ BANDS, ROWS = 42, 6
 PERCENT = 85  # of the union that the intersection has to reach
 PLACES = BANDS * ROWS
 WORK = 1 << 17  # shingles whose permutations are held at once
-SMALL_BUCKET = 24
+CELL_CLASSES, CELL_SHINGLES = 128, 1 << 20  # of one side of a cell, about
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -212,25 +212,111 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return texts.repartition("hub", "part").sortWithinPartitions("hub", "part", "role").mapInArrow(compare, "a long, b long")
 
 
-def _local_union(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over the links of one batch: each node with the smallest it reaches there."""
-    for batch in batches:
-        parent: dict[int, int] = {}
+def _joined(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Union-find: each node that isn't the smallest it is joined to, with the smallest."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return [(x, r) for x in parent if (r := root(x)) != x]
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.int64())], names=["a", "b"])
+
+
+def verified_cells(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among members (doc_id, grp, outlier, n) of groups, of pairs with at least one outlier.
+
+    Outliers and insiders of a group are dealt to blocks by hash; a cell is two blocks of outliers, or
+    one of outliers and one of insiders.
+    """
+    size = members.groupBy("grp", "outlier").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("k") / CELL_CLASSES), F.ceil(F.col("shingles") / CELL_SHINGLES)).cast("int")
+    per = size.groupBy("grp").agg(F.max(F.when(F.col("outlier"), blocks)).alias("p"), F.coalesce(F.max(F.when(~F.col("outlier"), blocks)), F.lit(0)).alias("q")).where("p is not null")
+    own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("outlier"), F.col("p")).otherwise(F.col("q"))).cast("int")
+    upto = lambda lo, hi: F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+    cell = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    b, p, q = F.col("block"), F.col("p"), F.col("q")
+    # blocks of insiders are numbered after those of outliers
+    outlier = F.concat(
+        F.transform(upto(b, p + q - 1), lambda j: cell(b, j, 0)),
+        F.transform(upto(F.lit(0), b - 1), lambda i: cell(i, b, 1)),
+    )
+    insider = F.transform(upto(F.lit(0), p - 1), lambda i: cell(i, p + b, 1))
+    dealt = members.join(per, "grp").withColumn("block", own).select("doc_id", "grp", F.explode(F.when(F.col("outlier"), outlier).otherwise(insider)).alias("c"))
+    roles = dealt.select("doc_id", "grp", "c.*").groupBy("doc_id", F.pmod(F.xxhash64("i", "j"), F.lit(16)).alias("slice")).agg(F.collect_list(F.struct("grp", "i", "j", "side")).alias("roles"))
+
+    def expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first_row, end_row, data, offsets in text_blocks(batch.column(1)):
+                sets, first = shingles(data, offsets)
+                rows: list[tuple] = []
+                for k in range(end_row - first_row):
+                    raw = sets[first[k] : first[k + 1]].tobytes()
+                    doc_id = batch.column(0)[first_row + k].as_py()
+                    rows += [(r["grp"], r["i"], r["j"], r["side"], doc_id, raw) for r in batch.column(2)[first_row + k].as_py()]
+                    if len(rows) >= 256 or k + 1 == end_row - first_row:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["grp", "i", "j", "side", "doc_id", "shingles"])
+                        rows = []
+            trim()
 
-        def root(x: int, parent: dict[int, int] = parent) -> int:
-            parent.setdefault(x, x)
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = None
+        held: tuple[list, list] = ([], [])
 
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = root(a), root(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-        pairs = [(x, root(x)) for x in parent]
-        pairs = [(x, r) for x, r in pairs if x != r]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([r for _, r in pairs], pa.int64())], names=["a", "b"])
+        def done() -> pa.RecordBatch:
+            left, right = held if key[1] != key[2] else (held[0], held[0])
+            return _links(_joined(_cell_links(left, right, percent)))
+
+        for batch in batches:
+            for grp, i, j, side, doc_id, raw in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                if (grp, i, j) != key:
+                    if held[0]:
+                        yield done()
+                    key, held = (grp, i, j), ([], [])
+                held[side].append((doc_id, np.frombuffer(raw, np.uint64)))
+        if held[0]:
+            yield done()
+
+    texts = docs.join(roles, "doc_id").select("doc_id", "text", "roles").mapInArrow(expand, "grp long, i int, j int, side int, doc_id long, shingles binary")
+    return texts.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(compare, "a long, b long")
+
+
+def _cell_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of a cell whose sets reach the threshold, by counting each left set's marks in all right sets at once."""
+    if not left or not right:
+        return
+    n = np.array([len(x) for _, x in right])
+    _, number = np.unique(np.concatenate([x for _, x in right] + [x for _, x in left]), return_inverse=True)
+    flat, rest = number[: n.sum()], number[n.sum() :]
+    starts = np.cumsum(n) - n
+    mark = np.zeros(int(number.max()) + 1, bool)
+    ids = [d for d, _ in right]
+    at = 0
+    for doc_id, own in left:
+        mine = rest[at : at + len(own)]
+        at += len(own)
+        mark[mine] = True
+        both = np.add.reduceat(mark[flat].astype(np.int64), starts)
+        mark[mine] = False
+        for k in np.flatnonzero(100 * both >= percent * (len(own) + n - both)):
+            if ids[k] != doc_id:
+                yield doc_id, ids[k]
+
+
+def _local_union(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _links(_joined(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -266,32 +352,23 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     placed = head.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     # buckets of one member have no pair
     crowd = placed.groupBy("band").agg(F.count("*").alias("size"), F.min("doc_id").alias("hub")).where("size > 1")
-    buckets = tables.stored(placed.join(crowd, "band").select("band", "doc_id", "n", "size", "hub"))
     sizes = head.select(F.col("doc_id").alias("hub"), F.col("n_shingles").alias("hub_n"))
-    first = buckets.where("doc_id <> hub").select("hub", F.col("doc_id").alias("other"), "n").distinct().join(sizes, "hub")
+    stars = tables.stored(placed.join(crowd, "band").where("doc_id <> hub").select("hub", F.col("doc_id").alias("other"), "n").distinct())
+    sizes = head.select(F.col("doc_id").alias("hub"), F.col("n_shingles").alias("hub_n"))
     fits = F.lit(100) * F.least("n", "hub_n") >= F.lit(percent) * F.greatest("n", "hub_n")
-    links = tables.stored(verified(docs, first.where(fits).select("hub", "other"), percent))
-    found = tables.stored(components(links))
-    tried = 1
-    open_buckets = buckets.select("band", "doc_id", "n", "size").where("size > 2")
-    while True:
-        labelled = open_buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")).select("band", "doc_id", "n", "size", "component")
-        mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-        rest = tables.stored(labelled.join(mixed, "band").where((F.col("size") > SMALL_BUCKET) & (F.col("size") > tried) | (F.col("size") <= SMALL_BUCKET) & F.lit(tried == 1)))
-        if not rest.take(1):
-            break
-        # hubs by rank in the bucket: the next as many as have been tried, or all others where it is small
-        ranks = rest.select("band", "doc_id", "n", "component", "size")
-        ranked = ranks.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("doc_id")))
-        hubs = ranked.where((F.col("rank") > tried) & ((F.col("size") <= SMALL_BUCKET) | (F.col("rank") <= 2 * tried))).select("band", F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
-        pairs = ranked.join(hubs, "band").where((F.col("component") != F.col("hub_component")) & (F.col("doc_id") != F.col("hub")) & fits)
-        pairs = pairs.select(F.least("hub", "doc_id").alias("hub"), F.greatest("hub", "doc_id").alias("other")).distinct()
-        more = tables.stored(verified(docs, pairs, percent))
-        if more.take(1):
-            links = links.unionByName(more)
-            found = tables.stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
-        open_buckets = rest.where(F.col("size") > SMALL_BUCKET).select("band", "doc_id", "n", "size")
-        tried *= 2
+    links = tables.stored(verified(docs, stars.join(sizes, "hub").where(fits).select("hub", "other"), percent))
+    found = components(links)
+    group = components(stars.select(F.col("hub").alias("a"), F.col("other").alias("b")))
+    # a group's smallest member is in no row of its own there
+    everyone = group.select(F.col("node").alias("doc_id"), F.col("component").alias("grp")).unionByName(group.select(F.col("component").alias("doc_id"), F.col("component").alias("grp")).distinct())
+    placed_in = everyone.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    counts = placed_in.groupBy("grp", "component").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max_by("component", F.struct("k", -F.col("component"))).alias("main"), F.sum("k").alias("all"), F.count("*").alias("parts"))
+    # a group of two has been compared, and one of a single component has nothing to join
+    mixed = counts.where("parts > 1 and all > 2")
+    members = placed_in.join(mixed, "grp").select("doc_id", "grp", (F.col("component") != F.col("main")).alias("outlier")).join(sizes.select(F.col("hub").alias("doc_id"), F.col("hub_n").alias("n")), "doc_id")
+    more = tables.stored(verified_cells(docs, tables.stored(members), percent))
+    if more.take(1):
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     joined = member.join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
