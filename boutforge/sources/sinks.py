@@ -35,6 +35,7 @@ def serve_by_key(rows: DataFrame, key: str, folder: str, buckets: int = 64) -> N
 
 
 def served(spark: SparkSession, folder: str, key: str, value, buckets: int = 64) -> DataFrame:
-    wanted = F.pmod(F.xxhash64(F.lit(value)), F.lit(buckets)).cast("int")
+    rows = spark.read.parquet(folder)
+    wanted = F.pmod(F.xxhash64(F.lit(value).cast(rows.schema[key].dataType)), F.lit(buckets)).cast("int")
     bucket = spark.range(1).select(wanted.alias("b")).first()[0]
-    return spark.read.parquet(folder).where((F.col("bucket") == bucket) & (F.col(key) == value))
+    return rows.where((F.col("bucket") == bucket) & (F.col(key) == value))
