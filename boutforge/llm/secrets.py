@@ -50,26 +50,34 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, half).otherwise(1 - half)
 
 
-def _tests(token: Column, alphabet: str) -> Column:
-    """The least of the three p-values, times three, for a token over an alphabet."""
-    k = len(alphabet)
-    plain = F.regexp_replace(F.translate(token, "-_", "+/") if k == 64 else token, "=+$", "")
-    at = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
-    n = F.size(at).cast("double")
-    counts = F.transform(F.array_distinct(at), lambda c: F.size(F.filter(at, lambda x: x == c)).cast("double"))
-    chi = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c) * F.lit(float(k)) / n - n
-    df = 2.0 / (9 * (k - 1))
-    uniform = upper_tail((F.pow(F.greatest(chi, F.lit(0.0)) / (k - 1), F.lit(1 / 3)) - (1 - df)) / df**0.5)
-    high = F.aggregate(at, F.lit(0.0), lambda a, x: a + (x >= k // 2).cast("double"))
-    changes = F.aggregate(F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at)), lambda x, y: ((x >= k // 2) != (y >= k // 2)).cast("double")), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+def _sums(m: Column) -> dict[str, Column]:
+    """What the three tests need of a token's places in its alphabet."""
+    at, k = m["at"], m["k"]
+    before, after = F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at))
+    centre = (k - 1) / 2
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    return {
+        "n": F.size(at).cast("double"),
+        "squares": add(F.transform(F.array_distinct(at), lambda c: F.pow(F.size(F.filter(at, lambda x: x == c)).cast("double"), F.lit(2.0)))),
+        "high": add(F.transform(at, lambda x: (x * 2 >= k).cast("double"))),
+        "changes": add(F.zip_with(before, after, lambda x, y: ((x * 2 >= k) != (y * 2 >= k)).cast("double"))),
+        "variance": add(F.transform(at, lambda x: (x - centre) * (x - centre))),
+        "lagged": add(F.zip_with(before, after, lambda x, y: (x - centre) * (y - centre))),
+    }
+
+
+def _deviates(m: Column) -> dict[str, Column]:
+    """The tests' normal deviates: of chi-squared (Wilson and Hilferty), of runs about the middle, of lag one."""
+    k, n, high = m["k"], m["n"], m["high"]
+    free = 2.0 / (9 * (k - 1))
+    chi = F.greatest(m["squares"] * k / n - n, F.lit(0.0))
     mean = 2 * high * (n - high) / n + 1
     spread = F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9)))
-    runs = F.when((high == 0) | (high == n), F.pow(F.lit(0.5), n - 1)).otherwise(2 * upper_tail(F.abs((changes + 1 - mean) / spread)))
-    centre = (k - 1) / 2
-    variance = F.aggregate(at, F.lit(0.0), lambda a, x: a + (x - centre) * (x - centre))
-    lagged = F.aggregate(F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at)), lambda x, y: (x - centre) * (y - centre)), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
-    serial = 2 * upper_tail(F.abs(lagged / F.greatest(variance, F.lit(1e-9)) * F.sqrt(n)))
-    return F.least(F.lit(1.0), 3 * F.least(uniform, runs, serial))
+    return {
+        "uniform": (F.pow(chi / (k - 1), F.lit(1 / 3)) - (1 - free)) / F.sqrt(free),
+        "runs": F.abs((m["changes"] + 1 - mean) / spread),
+        "serial": F.abs(m["lagged"] / F.greatest(m["variance"], F.lit(1e-9)) * F.sqrt(n)),
+    }
 
 
 def encoding(token: Column) -> Column:
@@ -87,13 +95,36 @@ def _tested(frame: DataFrame) -> DataFrame:
     """An array of (start, end, stratum, p) of the tokens whose encoding is known and length suffices."""
     coded = F.filter(F.transform("__candidate", lambda m: F.struct(m["text"].alias("text"), m["start"].alias("start"), encoding(m["text"]).alias("code"))), lambda m: m["code"].isNotNull())
     frame = frame.withColumn("__coded", coded)
-    p = lambda m: F.when(m["code"] == "hex", _tests(m["text"], ALPHABETS["hex"])).when(m["code"] == "base32", _tests(m["text"], ALPHABETS["base32"])).otherwise(_tests(m["text"], ALPHABETS["base64"]))
-    least = lambda m: F.when(m["code"] == "base64", SHORTEST["base64"]).otherwise(SHORTEST["hex"])
-    long_enough = F.filter("__coded", lambda m: F.char_length(m["text"]) >= least(m))
-    return frame.withColumn(
-        "__tested",
-        F.transform(long_enough, lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.char_length(m["text"])).alias("end"), _stratum(m["code"], F.char_length(m["text"])).alias("stratum"), p(m).alias("p"))),
+    # each step is a column of its own: a field is cheap to name often, an expression is not
+    shortest = lambda m: F.when(m["code"] == "base64", SHORTEST["base64"]).otherwise(SHORTEST["hex"])
+    plain = lambda m: F.regexp_replace(F.when(m["code"] == "base64", F.translate(m["text"], "-_", "+/")).otherwise(m["text"]), "=+$", "")
+    alphabet = lambda m: F.when(m["code"] == "hex", ALPHABETS["hex"]).when(m["code"] == "base32", ALPHABETS["base32"]).otherwise(ALPHABETS["base64"])
+    sizes = [(c, float(len(a))) for c, a in ALPHABETS.items()]
+    k = lambda m: F.when(m["code"] == sizes[0][0], sizes[0][1]).when(m["code"] == sizes[1][0], sizes[1][1]).otherwise(sizes[2][1])
+    keep = lambda m, *names: [m[x].alias(x) for x in names]
+    long_enough = F.filter("__coded", lambda m: F.char_length(m["text"]) >= shortest(m))
+    frame = frame.withColumn(
+        "__long",
+        F.transform(
+            long_enough,
+            lambda m: F.struct(
+                m["start"].alias("start"),
+                (m["start"] + F.char_length(m["text"])).alias("end"),
+                _stratum(m["code"], F.char_length(m["text"])).alias("stratum"),
+                k(m).alias("k"),
+                alphabet(m).alias("alphabet"),
+                plain(m).alias("plain"),
+            ),
+        ),
     )
+    places = lambda m: F.transform(F.filter(F.split(m["plain"], ""), lambda c: c != ""), lambda c: F.instr(m["alphabet"], c) - 1)
+    frame = frame.withColumn("__places", F.transform("__long", lambda m: F.struct(*keep(m, "start", "end", "stratum", "k"), places(m).alias("at"))))
+    frame = frame.withColumn("__sums", F.transform("__places", lambda m: F.struct(*keep(m, "start", "end", "stratum", "k"), *(c.alias(n) for n, c in _sums(m).items()))))
+    frame = frame.withColumn("__deviates", F.transform("__sums", lambda m: F.struct(*keep(m, "start", "end", "stratum", "n", "high"), *(c.alias(n) for n, c in _deviates(m).items()))))
+    one_sided = lambda m: (m["high"] == 0) | (m["high"] == m["n"])
+    runs = lambda m: F.when(one_sided(m), F.pow(F.lit(0.5), m["n"] - 1)).otherwise(2 * upper_tail(m["runs"]))
+    least = lambda m: F.least(F.lit(1.0), 3 * F.least(upper_tail(m["uniform"]), runs(m), 2 * upper_tail(m["serial"])))
+    return frame.withColumn("__tested", F.transform("__deviates", lambda m: F.struct(*keep(m, "start", "end", "stratum"), least(m).alias("p"))))
 
 
 def _bin(p: Column) -> Column:
