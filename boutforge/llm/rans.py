@@ -193,9 +193,10 @@ def _library(path: str) -> ChunkEncoder:
     return _state[path]
 
 
-def token_rows(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, and the ids with the end id as packed bytes."""
-    schema = "doc_id long, n_tokens int, check long, packed binary"
+def token_rows(docs: DataFrame, tokenizer_path: str, end_id: int, bounds: list[int]) -> DataFrame:
+    """doc_id, n_tokens, the ids with the end id as packed bytes, and which range between bounds doc_id is in."""
+    schema = "doc_id long, n_tokens int, check long, packed binary, file int"
+    limits = np.array(bounds, np.int64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _library(tokenizer_path)
@@ -207,11 +208,14 @@ def token_rows(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                 ends = bounds[1:] + np.arange(1, b - a + 1)
                 starts = np.concatenate([[0], ends[:-1]])
                 packed, checks = [], []
+                own = batch.column(0).slice(a, b - a)
+                least = np.iinfo(np.int64).min  # a null comes first
+                file = pa.array(np.searchsorted(limits, own.fill_null(least).to_numpy(zero_copy_only=False)).astype(np.int32))
                 for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                     raw = whole[s:e].astype("<u4")
                     checks.append(zlib.crc32(raw.tobytes()))
                     packed.append(packer.compress(raw.astype("<u2").tobytes() if not np.any(raw >> 16) else b"\x01" + raw.tobytes()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array((ends - starts).astype(np.int32)), pa.array(checks, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "check", "packed"])
+                yield pa.RecordBatch.from_arrays([own, pa.array((ends - starts).astype(np.int32)), pa.array(checks, pa.int64()), pa.array(packed, pa.binary()), file], names=["doc_id", "n_tokens", "check", "packed", "file"])
                 trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
@@ -253,9 +257,14 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int = 0)
     spark = docs.sparkSession
     size = len(Vocabulary(tokenizer_path).lengths)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = token_rows(docs, tokenizer_path, end_id).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "check")
-    # the place of a row in the order of all: the partition in the upper bits, then the row in it
-    rows = rows.select("doc_id", "n_tokens", "packed", F.monotonically_increasing_id().alias("place"))
+    # ranges of doc_id by its quantiles: a range shuffle of the encoded rows would encode them twice, once to sample
+    steps = [i / (4 * parts) for i in range(1, 4 * parts)]
+    bounds = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), F.array(*map(F.lit, steps)), F.lit(80 * parts))).first()[0] or []
+    rows = token_rows(docs, tokenizer_path, end_id, sorted(set(bounds)))
+    rows = rows.repartition(parts, "file").sortWithinPartitions("file", "doc_id", "check")
+    # the place of a row in the order of all: the range in the upper bits, then the row in its partition
+    place = F.shiftleft(F.col("file").cast("long"), 33) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = rows.select("doc_id", "n_tokens", "packed", place.alias("place"))
     with tables.shuffle_files_dropped(spark):
         rows.write.option("compression", "none").parquet(f"{folder}/rows")
         rows = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
