@@ -103,12 +103,22 @@ def find(docs: DataFrame, *, text: str = "text", out: str = "pii") -> DataFrame:
 
 
 def redacted(text: Column, found: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the first one counts."""
-    order = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    """The text with each range of overlapping spans replaced by one kind in brackets.
+
+    The whole range goes. It is named after its base span of highest score, then of most characters; after
+    an added one only where no base span is in it. Spans that merely touch are ranges of their own.
+    """
+    rank = lambda s: F.struct(s["kind"].isin(BASE).alias("base"), s["score"].alias("score"), (s["end"] - s["start"]).alias("n"), s["kind"].alias("kind"))
+    order = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), rank(s).alias("rank"))))
+    none = F.lit(None).cast("struct<base:boolean,score:double,n:int,kind:string>")
+    # a range stays open, from start to end, until a span begins at or behind its end
+    zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), none.alias("rank"), F.array().cast("array<string>").alias("out"))
+    label = lambda a: F.when(a["rank"].isNull(), "").otherwise(F.concat(F.lit("["), a["rank"]["kind"], F.lit("]")))
     step = lambda a, s: F.when(
-        s["start"] >= a["at"],
-        F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(F.concat(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), s["kind"], F.lit("]")))).alias("out")),
-    ).otherwise(a)
+        a["rank"].isNotNull() & (s["start"] < a["end"]),
+        F.struct(a["start"].alias("start"), F.greatest(a["end"], s["end"]).alias("end"), F.greatest(a["rank"], s["rank"]).alias("rank"), a["out"].alias("out")),
+    ).otherwise(
+        F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"), F.concat(a["out"], F.array(F.concat(label(a), F.substring(text, a["end"] + 1, s["start"] - a["end"])))).alias("out")),
+    )
     done = F.aggregate(order, zero, step)
-    return F.when(F.size(found) == 0, text).otherwise(F.concat(F.array_join(done["out"], ""), F.substr(text, done["at"] + 1)))
+    return F.when(F.size(found) == 0, text).otherwise(F.concat(F.array_join(done["out"], ""), label(done), F.substr(text, done["end"] + 1)))
