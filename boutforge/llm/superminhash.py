@@ -344,7 +344,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each distinct doc_id of docs (doc_id, text)."""
-    docs = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text")) if _repeats(docs) else docs.where("doc_id is not null").select("doc_id", "text")
+    docs = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text")) if repeats(docs) else docs.where("doc_id is not null").select("doc_id", "text")
     sketched = tables.stored(sketch(docs))
     classes = sketched.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     member = tables.stored(sketched.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")))
@@ -373,7 +373,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _repeats(docs: DataFrame) -> bool:
+def repeats(docs: DataFrame) -> bool:
+    """Whether some doc_id is in more than one row."""
     ids = docs.where("doc_id is not null")
     counts = ids.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()
     return bool(counts[0] and counts[0] > 1)

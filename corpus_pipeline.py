@@ -22,7 +22,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: of each group the document of smallest doc_id stays; one without doc_id is in no group."""
+    """Operator 3: of each group the document of smallest doc_id stays; one without doc_id is in no group.
+
+    Rows that repeat a doc_id are one document, so one of them stays: that of the largest text, as compared.
+    """
+    if superminhash.repeats(docs):
+        largest = F.max_by(F.struct(*COLUMNS), F.struct(F.coalesce("text", F.lit("")), *(c for c in COLUMNS if c != "doc_id")))
+        single = docs.where("doc_id is not null").groupBy("doc_id").agg(largest.alias("row")).select("row.*")
+        docs = single.unionByName(docs.where("doc_id is null").select(*COLUMNS))
     kept = superminhash.near_duplicates(docs.select("doc_id", "text"), percent=superminhash.PERCENT).where("kept").select("doc_id")
     return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null").select(*COLUMNS))
 

@@ -376,3 +376,11 @@ def test_pipeline_stages(spark):
     by_id = dict(zip(mixed.doc_id, mixed.text, strict=True))
     library = Tokenizer.from_file(queries.TOKENIZER)
     assert all(list(r.ids) == library.encode(by_id[r.doc_id], add_special_tokens=False).ids for r in tokens.itertuples())
+
+
+def test_repeated_documents_leave_one_row(spark):
+    import corpus_pipeline as cp
+
+    rows = [(1, "one two three", "en", "a", 13), (1, "one two three", "en", "a", 13), (2, None, "en", "a", 0), (2, "only this", "de", "b", 9), (2, "", None, None, None), (3, "one two three", "en", "a", 13), (None, "lost", "en", "a", 4), (None, "lost", "en", "a", 4)]
+    out = cp.drop_near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted((tuple(r) for r in out), key=str) == sorted([rows[0], rows[3], rows[6], rows[7]], key=str)
