@@ -1,10 +1,12 @@
 """Operator 10: toxicity by noisy-channel restoration and a linear model over restored words.
 
-Words that look disguised (digits or symbols between letters, three or more of a letter, letters set
-apart by spaces, dots or dashes) become a character lattice: each sign offers the letters it may stand
-for, each run of a letter a shorter run, each gap its removal. Viterbi decoding under a character
-trigram model, counted over all texts, picks the restored words. A logistic model over the words of a
-text, plain and restored, gives the score.
+Words that may be disguised (a letter with a digit or symbol before, in or after it, three or more of a
+letter, parts set apart by dots or dashes, single letters by spaces) become a character lattice: each
+sign offers the letters it may stand for, each run of a letter a shorter run, each gap its removal.
+Viterbi decoding under a character trigram model, counted over all texts, picks the restored words.
+Symbols about a word may be punctuation, so it is decoded with and without them; a lattice of more than
+WINDOW units is decoded in overlapping windows. A logistic model over the words of a text, plain and
+restored, gives the score.
 
 Labels come from a bounded sample of labelled rows (``max_labelled``, by hash of doc_id); all else,
 the character counts and the scores, covers every text.
@@ -16,6 +18,7 @@ label rows with a null doc_id or label are ignored, repeated ones count once by
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterable, Iterator
@@ -30,7 +33,8 @@ from .textblocks import LOWER, spans_hash, text_blocks, trim, words
 
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-MAX_LENGTH = 32  # bytes of a disguised word
+WINDOW = 48  # units of a lattice that are decoded together
+ROW = 32  # single letters that form one lattice
 #: Channel costs, in nats.
 SUBSTITUTE, KEEP_SIGN, SHORTEN, KEEP_RUN, DROP_GAP, KEEP_GAP = 1.0, 8.0, 0.7, 3.0, 0.4, 2.5
 
@@ -46,8 +50,7 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in LEET if ord(c) < 128]] = True
 _GAP = np.zeros(256, bool)
 _GAP[[ord(c) for c in "._-*~,/"]] = True
-_FRONT = np.zeros(256, bool)
-_FRONT[[ord(c) for c in "$@!|+("]] = True
+_EDGE = "".join(c for c in LEET if ord(c) < 128 and not c.isdigit()) + "._-*~,/"
 _SPLIT = re.compile(r"[^\W\d_]+")
 
 
@@ -65,14 +68,10 @@ class CharacterModel:
         self.cost = -np.log(three)
         self.table = self.cost.tolist()
 
-    def extend(self, state: tuple[int, int], text: str) -> tuple[tuple[int, int], float]:
-        a, b = state
-        total = 0.0
-        for byte in text.encode():
-            k = int(_CLASS[byte])
-            total += self.table[a][b][k]
-            a, b = b, k
-        return (a, b), total
+
+@functools.cache
+def _classes(text: str) -> tuple[int, ...]:
+    return tuple(int(_CLASS[byte]) for byte in text.encode())
 
 
 def lattice(word: str) -> list[list[tuple[str, float]]]:
@@ -98,20 +97,52 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return units
 
 
-def restore(word: str, model: CharacterModel) -> str:
-    """The cheapest path through the word's lattice (Viterbi over the last two characters)."""
+def decode(units: list[list[tuple[str, float]]], model: CharacterModel, ends: set[int]) -> list[str]:
+    """The cheapest paths through the units up to each of the ends (Viterbi over the last two characters)."""
+    table = model.table
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for unit in lattice(word):
+    out = []
+    for at, unit in enumerate(units, 1):
+        steps = [(alternative, extra, _classes(alternative)) for alternative, extra in unit]
         new: dict[tuple[int, int], tuple[float, str]] = {}
-        for state, (cost, text) in best.items():
-            for alternative, extra in unit:
-                to, more = model.extend(state, alternative) if alternative else (state, 0.0)
-                total = cost + extra + more
-                if to not in new or (total, text + alternative) < new[to]:
-                    new[to] = (total, text + alternative)
+        for (x, y), (cost, text) in best.items():
+            for alternative, extra, classes in steps:
+                a, b, total = x, y, cost + extra
+                for k in classes:
+                    total += table[a][b][k]
+                    a, b = b, k
+                have = new.get((a, b))
+                if have is None or total < have[0] or (total == have[0] and text + alternative < have[1]):
+                    new[a, b] = (total, text + alternative)
         best = new
-    ended = [(cost + model.extend(state, " ")[1], text) for state, (cost, text) in best.items()]
-    return min(ended)[1]
+        if at in ends:
+            out.append(min((cost + table[a][b][0], text) for (a, b), (cost, text) in best.items())[1])
+    return out
+
+
+def restore(word: str, model: CharacterModel) -> list[str]:
+    """What the word may stand for: one text for each choice of how many of the symbols about it belong to it."""
+    solid = [k for k, c in enumerate(word) if c.isalnum() or ord(c) > 127]
+    if not solid:
+        return []
+    head, core, tail = word[: solid[0]], word[solid[0] : solid[-1] + 1], word[solid[-1] + 1 :]
+    head = head[len(head.rstrip(_EDGE)) :]
+    tail = tail[: len(tail) - len(tail.lstrip(_EDGE))]
+    before, inner, after = lattice(head), lattice(core), lattice(tail)
+    units = before + inner + after
+    first, last = len(before), len(before) + len(inner)
+    sign = lambda unit: unit[0][0] != ""
+    begins = {k for k, u in enumerate(before) if sign(u)} | {first}
+    ends = {last + k for k, u in enumerate(after, 1) if sign(u)} | {last}
+    out: list[str] = []
+    for a in range(0, max(1, len(units) - WINDOW // 2), WINDOW // 2):
+        b = min(len(units), a + WINDOW)
+        if b <= first or a >= last:  # symbols alone
+            continue
+        stops = {e for e in ends if a < e < b} | {b}
+        for begin in sorted({k for k in begins if a < k < b} | {a}):
+            out += decode(units[begin:b], model, {e - begin for e in stops if e > begin})
+    return out
 
 
 class Reader:
@@ -125,8 +156,8 @@ class Reader:
         if raw not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
-            text = restore(raw.decode("utf-8", "ignore"), self.model)
-            self.known[raw] = tuple(dict.fromkeys(w.encode() for w in _SPLIT.findall(text) if len(w) > 2))
+            texts = restore(raw.decode("utf-8", "ignore"), self.model)
+            self.known[raw] = tuple(dict.fromkeys(w.encode() for text in texts for w in _SPLIT.findall(text) if len(w) > 2))
         return self.known[raw]
 
     def read(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, tuple[bytes, ...]]], bytes]:
@@ -138,23 +169,21 @@ class Reader:
         if not len(starts):
             return starts, ends, doc, np.zeros(0, np.uint64), [], raw
         solid = _LETTER[low] | _DIGIT[low]
+        sign, letter = self._signs(low)
         begin, last = self._trimmed(solid, starts, ends)
         out: list[tuple[int, tuple[bytes, ...]]] = []
         count = lambda mask: np.concatenate([[0], np.cumsum(mask)])
-        letters, signs, gaps = count(_LETTER[low]), count(_SIGN[low]), count(_GAP[low])
+        letters, signs, gaps = count(letter), count(sign), count(_GAP[low])
         run = np.zeros(len(low), bool)
         if len(low) > 2:
             run[2:] = (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & (low[2:] < 128) & _LETTER[low[2:]]
         runs = count(run)
-        front = begin - (_FRONT[low[np.maximum(begin - 1, 0)]] & (begin > starts))
-        inside = lambda c: c[last] - c[np.minimum(front, last)]
-        n_letters, n_signs, n_gaps = inside(letters), inside(signs), inside(gaps)
-        fits = (last > front) & (last - front <= MAX_LENGTH) & (n_letters > 0)
-        disguised = fits & ((n_signs > 0) & (n_signs <= n_letters) | (runs[last] - runs[np.minimum(begin + 2, last)] > 0) | (n_gaps >= 2) & (2 * n_gaps + 3 >= last - front))
+        some_letter = letters[last] > letters[begin]
+        disguised = some_letter & ((signs[ends] > signs[starts]) | (runs[last] - runs[np.minimum(begin + 2, last)] > 0) | (gaps[last] > gaps[begin]))
         for k in np.flatnonzero(disguised).tolist():
-            if found := self.restored(raw[front[k] : last[k]]):
+            if found := self.restored(raw[starts[k] : ends[k]]):
                 out.append((int(doc[k]), found))
-        out += self._spaced(raw, begin, last, doc)
+        out += self._spaced(low, raw, starts, ends, begin, last, doc)
         solid_words = last > begin
         begin, last, doc = begin[solid_words], last[solid_words], doc[solid_words]
         return begin, last, doc, spans_hash(low, begin, last), out, raw
@@ -168,18 +197,34 @@ class Reader:
         preceding = np.maximum.accumulate(np.where(solid, at, -1))
         return np.minimum(following[starts], ends), np.maximum(preceding[ends - 1] + 1, np.minimum(following[starts], ends))
 
-    def _spaced(self, raw: bytes, begin: np.ndarray, last: np.ndarray, doc: np.ndarray) -> list[tuple[int, tuple[bytes, ...]]]:
-        """Four or more single letters in a row form one lattice; very long rows are cut in overlapping pieces."""
-        single = np.flatnonzero(last - begin == 1)
-        if len(single) < 4:
+    @staticmethod
+    def _signs(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which bytes begin a sign, and which are letters and no part of one."""
+        sign, letter = _SIGN[low], _LETTER[low]
+        for wide in (c.encode() for c in LEET if ord(c) > 127):
+            at = np.flatnonzero(low[: len(low) - len(wide) + 1] == wide[0]) if len(low) >= len(wide) else np.zeros(0, np.int64)
+            for k in range(1, len(wide)):
+                at = at[low[at + k] == wide[k]]
+            sign[at] = True
+            for k in range(len(wide)):
+                letter[at + k] = False
+        return sign, letter
+
+    def _spaced(self, low: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray, begin: np.ndarray, last: np.ndarray, doc: np.ndarray) -> list[tuple[int, tuple[bytes, ...]]]:
+        """Three or more single letters, digits or symbols in a row form one lattice; very long rows are cut in overlapping pieces."""
+        characters = np.concatenate([[0], np.cumsum((low & 0xC0) != 0x80)])
+        bare = last == begin
+        a, b = np.where(bare, starts, begin), np.where(bare, ends, last)
+        single = np.flatnonzero((characters[b] - characters[a] == 1) & (~bare | _SIGN[low[starts]]))
+        if len(single) < 3:
             return []
         out = []
         breaks = np.flatnonzero((np.diff(single) != 1) | (np.diff(doc[single]) != 0)) + 1
         for part in np.split(single, breaks):
-            if len(part) >= 4:
-                for a in range(0, max(1, len(part) - MAX_LENGTH // 2), MAX_LENGTH // 2):
-                    text = b"".join(raw[begin[k] : last[k]] + b"-" for k in part[a : a + MAX_LENGTH])
-                    out.append((int(doc[part[0]]), self.restored(text[:-1])))
+            if len(part) >= 3:
+                for at in range(0, max(1, len(part) - ROW // 2), ROW // 2):
+                    text = b"-".join(raw[a[k] : b[k]] for k in part[at : at + ROW])
+                    out.append((int(doc[part[0]]), self.restored(text)))
         return out
 
 

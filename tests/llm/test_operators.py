@@ -325,6 +325,29 @@ def test_toxicity_restores_and_learns(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_forms_of_disguise():
+    plain = "the and with reading stone onion river table idiot stupid worthless loser pathetic trash moron scum"
+    counts = np.zeros(toxicity.CLASSES**3, np.int64)
+    c = np.concatenate([[0, 0], toxicity._CLASS[np.frombuffer(f"{plain} ".encode() * 50, np.uint8)]])
+    np.add.at(counts, (c[:-2] * toxicity.CLASSES + c[1:-1]) * toxicity.CLASSES + c[2:], 1)
+    reader = toxicity.Reader(toxicity.CharacterModel(counts))
+    forms = {
+        "idiot": ["1d10t", "idio+", "(1d1ot!", "idio+!!!", "id.iot", "i d 1 o t", "(idio+),"],
+        "trash": ["7r45h", "tra$h", "+rash"],
+        "loser": ["l053r", "l o $ e r", "los€r", "l o s € r", "$ l o s e r"],
+        "pathetic": ["p47h371c", "pat-hetic"],
+        "worthless": ["worthle$$", '"worthle$$",', "w.o.r.t.h.l.e.s.s", "worthle$$!!", "worthless" + "-river" * 40, "river-" * 40 + "worthle$$"],
+        "stupid": ["stu" + "u" * 40 + "pid", "st.up.id", "$tupid", "!$tupid", "s t u p ! d", "$!" * 100 + "stupid"],
+    }
+    for word, texts in forms.items():
+        for text in texts:
+            data = np.frombuffer(f"the {text} river".encode(), np.uint8)
+            out = reader.read(data, np.array([0, len(data)]))[4]
+            assert word.encode() in {w for _, ws in out for w in ws}, text
+    lone = np.frombuffer("€ ! x $".encode() + b"\xe2", np.uint8)
+    assert reader.read(lone, np.array([0, len(lone)]))[2].tolist() == [0] * 3
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
