@@ -1,9 +1,10 @@
 """Operator 2: secrets by patterns and a battery of randomness tests; DataFrame functions only.
 
 Patterns find assignments, access keys and hexadecimal runs. Other long tokens are tested: an encoding
-is inferred (hexadecimal, base 32, base 64), and under the hypothesis that characters are drawn evenly
-from its alphabet three p-values are taken: chi-squared for uniformity, a runs test about the
+is inferred (hexadecimal of either case, bases 32, 36, 62 and 64), and under the hypothesis that
+characters are drawn evenly from its alphabet three p-values are taken: chi-squared for uniformity, a runs test about the
 alphabet's middle, and lag-one serial correlation. A token's p-value is the least of them times three.
+In base 36 the share of digits is a fourth (few digits among letters are a name with a number).
 
 Tokens that are not random are the discoveries: in each stratum of encoding and length, over the whole
 corpus, the Benjamini-Hochberg step-up at ALPHA (from counts of p-values in fine bins) says which are
@@ -28,14 +29,16 @@ PATTERNS = {
     "assign": ASSIGN,
     "access": r"AKIA[A-Z0-9]{12,}+",
     "hex": r"(?<![0-9a-f])[0-9a-f]{32,}+",
-    "candidate": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+",
+    "candidate": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}+(?![A-Za-z0-9+/_=-]))?+",
 }
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
-SHORTEST = {"hex": 24, "base32": 24, "base64": 20}
+SHORTEST = {"hex": 24, "base32": 24, "base36": 24, "base62": 24, "base64": 20}
 LENGTHS = [20, 32, 48, 96, 1 << 30]
 ALPHA = 0.05
 BINS = 400  # of the p-value's fourth root
@@ -60,6 +63,7 @@ def _sums(m: Column) -> dict[str, Column]:
         "n": F.size(at).cast("double"),
         "squares": add(F.transform(F.array_distinct(at), lambda c: F.pow(F.size(F.filter(at, lambda x: x == c)).cast("double"), F.lit(2.0)))),
         "high": add(F.transform(at, lambda x: (x * 2 >= k).cast("double"))),
+        "digits": F.when(k == 36, add(F.transform(at, lambda x: (x < 10).cast("double")))),
         "changes": add(F.zip_with(before, after, lambda x, y: ((x * 2 >= k) != (y * 2 >= k)).cast("double"))),
         "variance": add(F.transform(at, lambda x: (x - centre) * (x - centre))),
         "lagged": add(F.zip_with(before, after, lambda x, y: (x - centre) * (y - centre))),
@@ -76,14 +80,20 @@ def _deviates(m: Column) -> dict[str, Column]:
     return {
         "uniform": (F.pow(chi / (k - 1), F.lit(1 / 3)) - (1 - free)) / F.sqrt(free),
         "runs": F.abs((m["changes"] + 1 - mean) / spread),
+        "share": F.abs((m["digits"] - n * 10 / 36) / F.sqrt(n * 260 / 1296)),
         "serial": F.abs(m["lagged"] / F.greatest(m["variance"], F.lit(1e-9)) * F.sqrt(n)),
     }
 
 
 def encoding(token: Column) -> Column:
-    """The smallest alphabet that holds the token; none where only one kind of character occurs."""
+    """The smallest alphabet that holds the token; none where only one kind of character occurs.
+
+    Letters of one case with digits are base 36, of both cases without digits base 62. Base 64 takes all
+    three kinds, and is the only one with signs between them.
+    """
     classes = token.rlike("[0-9]").cast("int") + token.rlike("[a-z]").cast("int") + token.rlike("[A-Z]").cast("int")
-    return F.when(token.rlike("^[0-9a-f]+$") & (classes > 1), "hex").when(token.rlike("^[A-Z2-7]+=*$") & (classes > 1), "base32").when(token.rlike("^[A-Za-z0-9+/_-]+=*$") & (classes > 2), "base64")
+    two = F.when(token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex").when(token.rlike("^[A-Z2-7]+=*$"), "base32").when(token.rlike("^(?:[0-9a-z]+|[0-9A-Z]+)=*$"), "base36").when(token.rlike("^[A-Za-z]+=*$"), "base62")
+    return F.when(classes > 2, F.when(token.rlike("^[A-Za-z0-9+/_-]+=*$"), "base64")).when(classes > 1, two)
 
 
 def _stratum(code: Column, length: Column) -> Column:
@@ -96,11 +106,12 @@ def _tested(frame: DataFrame) -> DataFrame:
     coded = F.filter(F.transform("__candidate", lambda m: F.struct(m["text"].alias("text"), m["start"].alias("start"), encoding(m["text"]).alias("code"))), lambda m: m["code"].isNotNull())
     frame = frame.withColumn("__coded", coded)
     # each step is a column of its own: a field is cheap to name often, an expression is not
-    shortest = lambda m: F.when(m["code"] == "base64", SHORTEST["base64"]).otherwise(SHORTEST["hex"])
-    plain = lambda m: F.regexp_replace(F.when(m["code"] == "base64", F.translate(m["text"], "-_", "+/")).otherwise(m["text"]), "=+$", "")
-    alphabet = lambda m: F.when(m["code"] == "hex", ALPHABETS["hex"]).when(m["code"] == "base32", ALPHABETS["base32"]).otherwise(ALPHABETS["base64"])
-    sizes = [(c, float(len(a))) for c, a in ALPHABETS.items()]
-    k = lambda m: F.when(m["code"] == sizes[0][0], sizes[0][1]).when(m["code"] == sizes[1][0], sizes[1][1]).otherwise(sizes[2][1])
+    by_code = lambda m, values: F.element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), m["code"])
+    shortest = lambda m: by_code(m, SHORTEST)
+    one_case = lambda m: F.when(m["code"].isin("hex", "base36"), F.lower(m["text"])).otherwise(m["text"])
+    plain = lambda m: F.regexp_replace(F.when(m["code"] == "base64", F.translate(m["text"], "-_", "+/")).otherwise(one_case(m)), "=+$", "")
+    alphabet = lambda m: by_code(m, ALPHABETS)
+    k = lambda m: by_code(m, {c: float(len(a)) for c, a in ALPHABETS.items()})
     keep = lambda m, *names: [m[x].alias(x) for x in names]
     long_enough = F.filter("__coded", lambda m: F.char_length(m["text"]) >= shortest(m))
     frame = frame.withColumn(
@@ -123,7 +134,9 @@ def _tested(frame: DataFrame) -> DataFrame:
     frame = frame.withColumn("__deviates", F.transform("__sums", lambda m: F.struct(*keep(m, "start", "end", "stratum", "n", "high"), *(c.alias(n) for n, c in _deviates(m).items()))))
     one_sided = lambda m: (m["high"] == 0) | (m["high"] == m["n"])
     runs = lambda m: F.when(one_sided(m), F.pow(F.lit(0.5), m["n"] - 1)).otherwise(2 * upper_tail(m["runs"]))
-    least = lambda m: F.least(F.lit(1.0), 3 * F.least(upper_tail(m["uniform"]), runs(m), 2 * upper_tail(m["serial"])))
+    tests = lambda m: F.when(m["share"].isNull(), 3.0).otherwise(4.0)
+    # a null share is none of the least
+    least = lambda m: F.least(F.lit(1.0), tests(m) * F.least(upper_tail(m["uniform"]), runs(m), 2 * upper_tail(m["serial"]), 2 * upper_tail(m["share"])))
     return frame.withColumn("__tested", F.transform("__deviates", lambda m: F.struct(*keep(m, "start", "end", "stratum"), least(m).alias("p"))))
 
 

@@ -95,6 +95,25 @@ def test_secrets(spark):
     assert secrets.find(docs.limit(0)).count() == 0
 
 
+def test_candidates_of_every_kind_are_tested(spark):
+    rng = random.Random(8)
+    draw = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    low, up, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    values = [
+        ("GH_PAT=", "ghp_" + draw(low + up + digit, 36)),
+        ("https://x.example/?key=", "AIza" + draw(low + up + digit, 35)),
+        ("A_NAME_OF_MORE_THAN_TWENTY_LETTERS=", draw(low + up + digit, 40)),
+        ("TOK=", draw(low + up + digit + "+/", 44) + "=="),
+        ("id ", draw(digit + "ABCDEF", 40)),
+        ("id: ", draw(low + digit, 40)),
+        ("ID ", draw(up + digit, 40)),
+        ("id ", draw(low + up, 40)),
+    ]
+    docs = spark.createDataFrame([(k, a + v + " end") for k, (a, v) in enumerate(values)], "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.secrets] for r in secrets.find(docs).collect()}
+    assert got == {k: [("random", len(a), len(a) + len(v))] for k, (a, v) in enumerate(values)}
+
+
 def test_prose_like_tokens_are_not_random(spark):
     rng = random.Random(2)
     words = ["Configuration", "Service", "Handler2", "Default", "Options1"]
@@ -102,6 +121,17 @@ def test_prose_like_tokens_are_not_random(spark):
     assert secrets.find(docs).where(F.size("secrets") > 0).count() <= 5
 
 
+def test_names_of_two_kinds_are_not_random(spark):
+    rng = random.Random(2)
+    words = ["Configuration", "Service", "Handler", "Default", "Options", "Factory", "Bean", "Internal", "Manager", "Request"]
+    rows = []
+    for _ in range(200):
+        name = "".join(rng.choice(words) for _ in range(4))
+        rows += [("base36", f"x {name.lower()}{rng.randint(2, 99)}"), ("upper", f"x {name.upper()}8"), ("base62", f"x {name}")]
+    found = secrets.find(spark.createDataFrame(rows, "kind string, text string")).where(F.size("secrets") > 0).groupBy("kind").count().collect()
+    assert all(r["count"] <= 20 for r in found), found
+
+
 def test_personal_data(spark):
     texts = {1: None, 2: "", 3: "é a.b@c-d.e.f_g@h.ij", 4: "ip 1.2.3.4.5 and 999.1.1.1", 5: "4539 1488 0343 6467 x", 6: "+1 (204) 555-0188 ok", 7: "IBAN DE89 3704 0044 0532 0130 00 bank", 8: "DE89370400440532013001", 9: "1" * 30000 + " 1" * 20000}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("pii", F.lit(1))
