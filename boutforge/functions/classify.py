@@ -50,6 +50,42 @@ RULE_TYPES = [
     ("プロレスルール", "プロレスルール"),
 ]
 
+MMA_WORDS = ["(?i:RIZIN)", "ライジン", "(?i:UFC)", "(?i:(?<![A-Za-z])DEEP(?![A-Za-z]))", "パンクラス", "(?i:PANCRASE)", "修斗", r"(?i:ONE\s?(?:Championship|FC|Friday Fights))", "(?i:PFL)", "(?i:Bellator)", "ベラトール", "総合格闘技", r"\bMMA\b", "グラップリング", "(?i:ADCC)"]
+PROMOTIONS = [
+    ("(?i)K-?1|Krush", "K-1"),
+    (r"\bRISE\b|R\.I\.S\.E\.", "RISE"),
+    ("SHOOT ?BOXING|シュートボクシング", "SHOOT BOXING"),
+    ("KNOCK ?OUT", "KNOCK OUT"),
+    ("RIZIN", "RIZIN"),
+    (r"\bONE\b.*(Champ|FC)|ONE\d|^ONE\b", "ONE Championship"),
+    ("DEEP.?KICK", "DEEP☆KICK"),
+    ("NJKF|ニュージャパンキックボクシング連盟", "NJKF"),
+    ("(?i)HOOST ?CUP", "HoostCup"),
+    (r"\bNKB\b", "NKB"),
+    ("(?i)Big ?bang|ビッグバン", "Bigbang"),
+    ("(?i)Stand ?up", "Stand up"),
+    ("(?i)KROSS.?OVER", "KROSS×OVER"),
+    ("SNKA|新日本キックボクシング協会", "SNKA"),
+    (r"\bJKA\b|ジャパンキックボクシング協会", "JKA"),
+]
+FURTHER_PROMOTIONS = [
+    (r"(?i)\bGLORY\b", "GLORY"),
+    ("(?i)ラジャダムナン|Rajadamnern", "ラジャダムナン"),
+    ("(?i)ルンピニー|Lumpinee", "ルンピニー"),
+    ("(?i)Thai ?Fight", "Thai Fight"),
+    ("(?i)IT'?S SHOWTIME", "IT'S SHOWTIME"),
+    ("(?i)武林風|武風林|Wu ?Lin ?Feng", "武林風"),
+    ("(?i)EM Legend", "EM Legend"),
+    ("(?i)WAKO|SuperLeague", "WAKO SuperLeague"),
+    ("全日本キックボクシング連盟", "全日本キックボクシング連盟"),
+    ("(?i)J-NETWORK", "J-NETWORK"),
+]
+OTHER_PROMOTION = "Wikipedia(その他団体)"
+FIVE_CLASSES = [("女子|アトム", None), ("メガトン|スーパーヘビー|ヘビー級", "ヘビー級"), ("ストロー|ウェルター|ミドル|ライトヘビー", None), ("フライ級", "フライ級"), ("バンタム級", "バンタム級"), ("フェザー級", "フェザー級"), ("ライト級", "ライト級")]
+FLASH_PREFIXES = {"result": "試合結果", "card_announcement": "カード発表", "card_change": "カード変更", "weigh_in": "計量", "retirement_transfer": "去就"}
+CLASS_KG = {"ストロー級": 52.2, "フライ級": 56.7, "バンタム級": 61.2, "フェザー級": 65.8, "ライト級": 70.3, "ウェルター級": 77.1, "ミドル級": 83.9, "ライトヘビー級": 93.0, "ヘビー級": 120.2, "メガトン級": 120.2, "スーパーヘビー級": 120.2}
+WOMEN_KG = {"女子ミクロ級": 44.0, "女子アトム級": 47.6, "女子スーパーアトム級": 50.0, "女子ストロー級": 52.2, "女子フライ級": 56.7, "女子バンタム級": 61.2, "女子フェザー級": 65.8}
+
 
 def first_match(text: Column, rules: list[tuple[str, str]], default: str | None = None) -> Column:
     """The label of the first pattern that the text matches."""
@@ -172,3 +208,63 @@ def nearest_limit(kg: Column, limits: dict[str, float]) -> Column:
 def result_after_ruling(result: Column, missed_by: Column) -> Column:
     """A win by the side that missed weight is a no contest."""
     return F.when((missed_by == "opponent") & (result == "loss"), "nc").when((missed_by == "self") & (result == "win"), "nc").otherwise(result)
+
+
+def is_mma(title: Column) -> Column:
+    return title.rlike("|".join(MMA_WORDS))
+
+
+def promotion(event: Column) -> Column:
+    """The promotion that an event's name shows; of those without records of their own, one label for the unknown."""
+    e = F.coalesce(event, F.lit(""))
+    return first_match(e, PROMOTIONS + FURTHER_PROMOTIONS, OTHER_PROMOTION)
+
+
+def five_class(weight_class: Column) -> Column:
+    return first_match(weight_class, FIVE_CLASSES)
+
+
+def class_order(weight_class: Column) -> Column:
+    """A sort key: limits in kg, women's classes behind men's, unknown ones last."""
+    pairs = [*CLASS_KG.items(), *((k, 1000 + v) for k, v in WOMEN_KG.items())]
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in pairs for x in pair))[weight_class], F.lit(9999.0))
+
+
+def rank_order(rank: Column) -> Column:
+    """A sort key of a rank in words: champion, interim champion, numbers, anything else."""
+    number = F.nullif(F.regexp_extract(rank, r"^\s*(-?\d+)", 1), F.lit("")).cast("int")
+    return F.when(rank == "王者", -2).when(rank.contains("暫定"), -1).otherwise(F.coalesce(number, F.lit(999)))
+
+
+def is_kick_event(title: Column) -> Column:
+    return title.rlike("(?i)KICK")
+
+
+def is_amateur_event(title: Column) -> Column:
+    return title.contains("アマチュア")
+
+
+def section(text: Column, begin: str, ends: list[str]) -> Column:
+    """From the opening mark to the nearest closing one, or to the end; all of it without an opening mark."""
+    at = F.instr(text, begin)
+    rest = F.substr(text, at)
+    stops = F.array_min(F.filter(F.array(*(F.instr(rest, e) for e in ends)), lambda x: x > 0))
+    return F.when(at == 0, text).when(stops.isNull(), rest).otherwise(F.substr(rest, F.lit(1), stops - 1))
+
+
+def series_key(org: Column, name: Column) -> Column:
+    """What tells events of one series apart where dates don't: the series and its number."""
+    number = lambda p, n=1: F.regexp_extract(name, p, n)
+    rules = [
+        ("rizin", r"RIZIN\.(\d+)", "rizin"),
+        ("rizin", r"超RIZIN\.?(\d+)", "super-rizin"),
+        ("rizin", r"(?i)LANDMARK\s*(\d+)", "landmark"),
+        ("shooto", r"(?i)Vol\.?\s*(\d+)", "vol"),
+        ("shooto", r"(?i)Lemino\s*修斗\.?\s*(\d+)", "lemino"),
+        ("pancrase", r"(?i)^(?!.*BLOOD).*?PANCRASE\s*(\d+)\b", "pancrase"),
+        ("deep", r"(?i)DEEP\s*(\d+)\s*IMPACT", "deep"),
+        ("deep", r"(?i)JEWELS\s*(\d+)", "jewels"),
+    ]
+    keys = [F.when((org == o) & (number(p) != ""), F.concat(F.lit(f"{label}."), number(p))) for o, p, label in rules]
+    tokyo = r"(?i)TOKYO IMPACT\s*(\d{4})\s*(\d+)"
+    return F.coalesce(*keys, F.when((org == "deep") & (number(tokyo) != ""), F.concat_ws(".", F.lit("tokyo-impact"), number(tokyo), number(tokyo, 2))))
