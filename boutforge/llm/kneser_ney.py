@@ -1,24 +1,30 @@
-"""Operator 8: an interpolated modified Kneser-Ney model of word pairs, counted in Spark.
+"""Operator 8: an interpolated modified Kneser-Ney model of word triples or pairs, counted in Spark.
 
-Spark counts words and pairs; each task sums its own first, and pairs travel as packed sorted arrays
-in hash buckets, so a frequent word or pair is a few numbers per task. The model is a folder of sorted
-hash arrays in the shared folder, which workers map into memory: words by 64-bit hash, pairs by
-(context number, word number) in buckets, and dense arrays by word number.
+Spark counts words and n-grams; each task sums its own first, and n-grams travel as packed sorted arrays
+in hash buckets, so a frequent word, pair or triple is a few numbers per task. The model is a folder of
+sorted hash arrays in the shared folder, which workers map into memory: words by 64-bit hash, triples in
+buckets of their context's hash by (place of the context, word number), pairs by (context number, word
+number) in buckets, and dense arrays by word number.
+
+Order 3: triples have their counts; a pair (v, w) counts the distinct words before it (after the start
+mark, where nothing varies, its own count), a word the distinct words before it; each level has its own
+discounts. Order 2 begins with the counts of pairs.
 
 A text is its words (``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased) and one end token. The first word's
-context is a start mark, which is no token. An unknown word has the share that discounting leaves to
-unseen words, spread evenly over the vocabulary and one unknown; after an unknown word the model backs
-off to continuation counts.
+context is start marks, which are no tokens. An unknown word has the share that discounting leaves to
+unseen words, spread evenly over the vocabulary and one unknown; after an unknown word, or a context
+that was never seen, the model backs off.
 
 Defined cases: a null text is empty (its only token is the end); a null doc_id counts as empty text in
-the split; with no training token every probability is even; extra columns don't matter.
+the split; with no training token every probability is even; repeated rows count each time; extra columns
+don't matter.
 """
 
 from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +36,7 @@ from . import tables
 from .textblocks import hashed_words, mix, mix_int, text_blocks, trim
 
 END = np.int64(np.uint64(mix_int(0x656E64)).astype(np.int64))
-FLUSH = 1 << 21  # distinct keys a task keeps before it hands them on
+FLUSH = 1 << 20  # half the distinct keys a task keeps before it hands them on
 SPREAD = np.uint64(8)  # buckets over which a context's pairs are spread
 
 
@@ -40,35 +46,46 @@ def _with_end(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.insert(words.view(np.int64), first[1:], END), first + np.arange(len(first))
 
 
+def _summed(keys: tuple[np.ndarray, ...], counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ascending distinct keys (of one column or more) and the sum of each one's counts."""
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    keys = tuple(k[order] for k in keys)
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    begin = np.flatnonzero(new)
+    return (*(k[begin] for k in keys), np.add.reduceat(counts[order], begin) if len(begin) else counts[:0])
+
+
 class _Sums:
-    """Keys with summed counts, merged now and then."""
+    """Keys of some columns with summed counts, merged now and then."""
 
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, columns: int = 1, flush: int = FLUSH):
+        self.columns, self.flush = columns, flush
+        self.parts: list[tuple[np.ndarray, ...]] = []
         self.held = 0
 
-    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
-        if counts is None:
-            keys, counts = np.unique(keys, return_counts=True)
-        self.parts.append((keys, counts.astype(np.int64)))
-        self.held += len(keys)
-        if len(self.parts) > 1 and self.held > 2 * FLUSH:
+    def add(self, *keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        part = _summed(keys, np.ones(len(keys[0]), np.int64)) if counts is None else (*keys, counts.astype(np.int64))
+        self.parts.append(part)
+        self.held += len(part[0])
+        if len(self.parts) > 1 and self.full:
             self.parts = [self.merged()]
             self.held = len(self.parts[0][0])
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+    @property
+    def full(self) -> bool:
+        return self.held > 2 * self.flush
+
+    def merged(self) -> tuple[np.ndarray, ...]:
         if not self.parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return (np.zeros(0, np.int64),) * (self.columns + 1)
         if len(self.parts) == 1:
             return self.parts[0]
-        keys = np.concatenate([k for k, _ in self.parts])
-        counts = np.concatenate([c for _, c in self.parts])
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        return keys[begin], np.add.reduceat(counts[order], begin)
-
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        *keys, counts = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        return _summed(tuple(keys), counts)
+
+    def take(self) -> tuple[np.ndarray, ...]:
         out = self.merged()
         self.parts, self.held = [], 0
         return out
@@ -147,6 +164,55 @@ def _discounts(n: np.ndarray) -> np.ndarray:
     return np.array([0.0, *(min(max(x, 0.05), k + 0.95) for k, x in enumerate(d))])
 
 
+MANY = 255  # counts from here on are in a list of their own
+
+
+class Triples:
+    """A bucket's triples: ascending contexts with their sums, and ascending (place of context, word) with counts."""
+
+    SUMS = np.dtype([("total", "<i8"), ("n1", "<u4"), ("n2", "<u4")])
+
+    def __init__(self, path: str):
+        self.contexts, self.sums = _map(f"{path}.context", np.int64), _map(f"{path}.sums", self.SUMS)
+        self.keys, self.counts, self.many = _map(f"{path}.key", np.int64), _map(f"{path}.count", np.uint8), _map(f"{path}.many", np.int64)
+
+    @classmethod
+    def save(cls, path: str, context: np.ndarray, word: np.ndarray, n: np.ndarray) -> None:
+        """Write ascending (context, word) with counts."""
+        new = np.ones(len(context), bool)
+        new[1:] = context[1:] != context[:-1]
+        begin = np.flatnonzero(new)
+        sums = np.zeros(len(begin), cls.SUMS)
+        for name, x in (("total", n), ("n1", n == 1), ("n2", n == 2)):
+            sums[name] = np.add.reduceat(x.astype(np.int64), begin) if len(begin) else 0
+        at = np.flatnonzero(n >= MANY)
+        _save(f"{path}.context", context[begin])
+        _save(f"{path}.sums", sums)
+        _save(f"{path}.key", (np.cumsum(new) - 1) << 32 | word)
+        _save(f"{path}.count", np.minimum(n, MANY).astype(np.uint8))
+        _save(f"{path}.many", np.stack([at, n[at]], axis=1).ravel())
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each context is known, its total, its triples counted once, twice and oftener, and the triple's count."""
+        at = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
+        hit = self.contexts[at] == context
+        sums = self.sums[at]
+        begin, end = np.searchsorted(self.keys, at << 32), np.searchsorted(self.keys, (at + 1) << 32)
+        once, twice = sums["n1"].astype(float), sums["n2"].astype(float)
+        key = at << 32 | np.maximum(word, 0)
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        count = np.where((self.keys[place] == key) & (word >= 0), self.counts[place], 0).astype(np.int64)
+        if (large := np.flatnonzero(count == MANY)).size:
+            many = np.asarray(self.many).reshape(-1, 2)
+            count[large] = many[np.searchsorted(many[:, 0], place[large]), 1]
+        return hit, sums["total"].astype(float), np.stack([once, twice, end - begin - once - twice], axis=1), count
+
+
+def triple_bucket(context: np.ndarray, buckets: int) -> np.ndarray:
+    """The two words before a word, as one number, say where its triples are."""
+    return (mix(context) % np.uint64(buckets)).astype(np.int64)
+
+
 class Model:
     """A worker's view of a model folder."""
 
@@ -155,6 +221,9 @@ class Model:
         self.words = Words(folder, spec["shards"])
         self.v = self.words.size
         self.tokens, self.buckets = spec["tokens"], spec["buckets"]
+        self.order = spec["order"]
+        self.d3 = _discounts(np.array(spec["n3"]))
+        self.triples = {b: Triples(f"{folder}/triples-{b}") for b in spec["filled3"]}
         self.pairs = {b: (_map(f"{folder}/pairs-{b}.key", np.int64), _map(f"{folder}/pairs-{b}.count", np.uint32)) for b in spec["filled"]}
         self.stats = {k: _map(f"{folder}/{k}.dense", np.int64) for k in ("total", "n1", "n2", "n3", "follows")}
         self.d, self.d0 = _discounts(np.array(spec["n"])), _discounts(np.array(spec["n0"]))
@@ -186,9 +255,31 @@ class Model:
             both = np.flatnonzero((context >= 0) & known)
             c = self.pair_counts(context[both], word[both])
             p[both] += np.maximum(c - self.d[np.minimum(c, 3)], 0) / np.maximum(self.stats["total"][context[both]], 1)
+        if self.triples:
+            before = np.empty_like(word)
+            before[2:] = word[:-2]
+            before[first[:-1]] = self.v
+            second = first[:-1] + 1
+            before[second[second < first[1:]]] = self.v
+            self._with_triples(p, before, context, word)
         begin = first[:-1]
         return np.diff(first), np.add.reduceat(known.astype(np.int64), begin), np.add.reduceat(base, begin), np.add.reduceat(np.log10(p), begin)
 
+    def _with_triples(self, p: np.ndarray, before: np.ndarray, context: np.ndarray, word: np.ndarray) -> None:
+        """Make p, the pairs' probabilities, those of triples wherever the two words before were seen together."""
+        some = np.flatnonzero((before >= 0) & (context >= 0))
+        pair = before[some] << 32 | context[some]
+        bucket = triple_bucket(pair, self.buckets)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        for b, table in self.triples.items():
+            part = order[cuts[b] : cuts[b + 1]]
+            if len(part):
+                hit, total, kinds, c = table.find(pair[part], word[some[part]])
+                at, c = some[part[hit]], c[hit]
+                gamma = kinds[hit] @ self.d3[1:]
+                p[at] = (np.maximum(c - self.d3[np.minimum(c, 3)], 0) + gamma * p[at]) / total[hit]
+
     def pair_counts(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         keys, which = np.unique(context << 32 | word, return_inverse=True)
         bucket = bucket_of(keys >> 32, keys & 0xFFFFFFFF, self.buckets)
@@ -215,8 +306,10 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def train(docs: DataFrame, *, text: str = "text") -> dict:
-    """Count docs and write the model; the result says where it is and has its few totals."""
+def train(docs: DataFrame, *, text: str = "text", order: int = 2) -> dict:
+    """Count docs and write a model of order 2 or 3; the result says where it is and has its few totals."""
+    if order not in (2, 3):
+        raise ValueError("the model's order is 2 or 3")
     spark = docs.sparkSession
     uri = tables.shared_dir(spark)
     folder = tables.local_path(uri)
@@ -228,7 +321,7 @@ def train(docs: DataFrame, *, text: str = "text") -> dict:
         sums = _Sums()
         for _, _, _, data, offsets in _blocks(batches):
             sums.add(_with_end(data, offsets)[0])
-            if sums.held > 2 * FLUSH:
+            if sums.full:
                 keys, counts = sums.take()
                 yield _batch(word=pa.array(keys), n=pa.array(counts))
         keys, counts = sums.take()
@@ -284,10 +377,45 @@ def train(docs: DataFrame, *, text: str = "text") -> dict:
             context[1:] = word[:-1]
             context[first[:-1]] = v
             sums.add(context << 32 | word)
-            if sums.held > 2 * FLUSH:
+            if sums.full:
                 yield out()
         yield out()
 
+    def triples(batches):
+        vocabulary, sums = Words(folder, spec["shards"]), _Sums(2, FLUSH // 2)
+
+        def out():
+            context, word, counts = sums.take()
+            return packed(triple_bucket(context, buckets), context, word, counts)
+
+        for _, _, _, data, offsets in _blocks(batches):
+            hashes, first = _with_end(data, offsets)
+            word, _ = vocabulary.find(hashes)
+            context = np.empty_like(word)
+            context[1:] = word[:-1]
+            context[first[:-1]] = v
+            before = np.empty_like(word)
+            before[1:] = context[:-1]
+            before[first[:-1]] = v
+            sums.add(before << 32 | context, word)
+            if sums.full:
+                yield out()
+        yield out()
+
+    def save_triples(batches):
+        # pairs count the distinct words before them; a bucket hands on what it has seen of them
+        for bucket, held in groups(batches, 3):
+            sums = _Sums(2)
+            for _, (context, word, counts) in held:
+                sums.add(context, word, counts=counts)
+            context, word, counts = sums.take()
+            Triples.save(f"{folder}/triples-{bucket}", context, word, counts)
+            kinds = [int((counts == k).sum()) for k in (1, 2, 3, 4)] + [bucket]
+            yield _batch(bucket=pa.array([-1], pa.int64()), kind=pa.array([3], pa.int64()), packed=pa.array([np.array(kinds, "<i8").tobytes()], pa.binary()))
+            last = context & 0xFFFFFFFF
+            keys, n = _summed((last << 32 | word,), np.where(last == v, counts, 1))
+            yield packed(bucket_of(keys >> 32, keys & 0xFFFFFFFF, buckets), keys, n)
+
     width = max(1, -(-(v + 1) // parts))  # words in a range of the dense arrays
 
     def groups(batches, n_arrays):
@@ -299,7 +427,7 @@ def train(docs: DataFrame, *, text: str = "text") -> dict:
                     yield last, held
                     held = []
                 last = bucket
-                held.append((kind, raw if n_arrays is None else unpack(raw, n_arrays)))
+                held.append((kind, raw if n_arrays is None or bucket < 0 else unpack(raw, n_arrays)))
         if held:
             yield last, held
 
@@ -319,9 +447,12 @@ def train(docs: DataFrame, *, text: str = "text") -> dict:
                 held.clear()
 
         for bucket, held in groups(batches, 2):
+            if bucket < 0:  # what is known of triples as a whole goes on
+                yield _batch(bucket=pa.array([-1] * len(held), pa.int64()), kind=pa.array([3] * len(held), pa.int64()), packed=pa.array([raw for _, raw in held], pa.binary()))
+                continue
             sums = _Sums()
             for _, (keys, counts) in held:
-                sums.add(keys, counts)
+                sums.add(keys, counts=counts)
             keys, counts = sums.take()
             _save(f"{folder}/pairs-{bucket}.key", keys)
             _save(f"{folder}/pairs-{bucket}.count", counts.astype(np.uint32))
@@ -349,15 +480,21 @@ def train(docs: DataFrame, *, text: str = "text") -> dict:
             yield _batch(n=pa.array([[int((dense[4] == k).sum()) for k in (1, 2, 3, 4)] + [int((dense[4] > 2).sum())]], pa.list_(pa.int64())))
 
     schema = "bucket long, kind long, packed binary"
+    def bucketed(rows: DataFrame, worker: Callable) -> DataFrame:
+        return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(worker, schema)
+
     with tables.shuffle_files_dropped(spark):
-        stored = texts.mapInArrow(pairs, schema).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(save_pairs, schema)
-        stored.write.parquet(f"{uri}/stats")
+        counted = texts.mapInArrow(pairs, schema) if order == 2 else bucketed(texts.mapInArrow(triples, schema), save_triples)
+        bucketed(counted, save_pairs).write.parquet(f"{uri}/stats")
         stats = spark.read.schema(schema).parquet(f"{uri}/stats")
-        own = [np.frombuffer(bytes(r[0]), "<i8") for r in stats.where("kind = 2").select("packed").collect()]  # one row for each bucket
+        # one row for each bucket
+        own, above = ([np.frombuffer(bytes(r[0]), "<i8") for r in stats.where(F.col("kind") == k).select("packed").collect()] for k in (2, 3))
         rest = stats.where("kind < 2").repartition(parts, "bucket").sortWithinPartitions("bucket")
         levels = [r[0] for r in rest.mapInArrow(save_stats, "n array<long>").collect()]  # one row for each range of words
     sums, low = (np.sum(own, axis=0), np.sum(levels, axis=0)) if own else (np.zeros(6), np.zeros(5))
+    third = np.sum(above, axis=0) if above else np.zeros(5)
     spec |= {"n": [int(x) for x in sums[:4]], "kinds": [int(sums[0]), int(sums[1]), int(sums[4])], "n0": [int(x) for x in low[:4]], "kinds0": [int(low[0]), int(low[1]), int(low[4])], "filled": sorted(int(x[5]) for x in own)}
+    spec |= {"order": order, "n3": [int(x) for x in third[:4]], "filled3": sorted(int(x[4]) for x in above)}
     return spec
 
 
@@ -384,7 +521,7 @@ def score(docs: DataFrame, spec: dict, *, key: str = "doc_id", text: str = "text
             found = [pa.array(x) for x in model.score(data, offsets)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(fields))), *found], names=names)
 
-    return docs.select(*(F.col(f"`{f.name}`") for f in fields), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{f.name}`") for f in fields), F.col(f"`{text}`").cast("string").alias(tables.unused(docs.columns) + "text")).mapInArrow(run, schema)
 
 
 def perplexity(score_column: str = "score", tokens: str = "n_tokens") -> Column:

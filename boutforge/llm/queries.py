@@ -62,7 +62,7 @@ def op7_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", (crc_bucket("doc_id", 10) == 0).alias("held_out"))
-    model = kneser_ney.train(docs.where(~F.col("held_out")))
+    model = kneser_ney.train(docs.where(~F.col("held_out")), order=3)
     scored = kneser_ney.score(docs, model, keep=["held_out"])
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
 
