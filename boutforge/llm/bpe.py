@@ -6,7 +6,8 @@ leftmost pair of lowest rank. A merge changes three leaves, and each update walk
 Many pieces of like length are worked on at once as rows of one array.
 
 Defined cases: a null text is empty and has no ids; an empty text decodes to an empty text; extra
-columns stay, and those named like an output are replaced; rows may repeat and tables may be empty.
+columns stay whatever their names, but those named like an output are replaced; rows may repeat and
+tables may be empty.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import tables
 from .chunks import ChunkEncoder, Vocabulary
 from .textblocks import ranges, text_blocks, trim
 
@@ -182,20 +184,21 @@ def encode(docs: DataFrame, tokenizer_path: str, *, text: str = "text", ids: str
     outputs = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(decoded, T.StringType(), False)] if decoded else [])
     schema = T.StructType(kept + outputs)
     names = [f.name for f in kept]
+    source = tables.unused(docs.columns) + "text"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, encoder = _encoder(tokenizer_path)
         for batch in batches:
-            for a, b, data, offsets in text_blocks(batch.column(batch.schema.get_field_index("__text"))):
+            for a, b, data, offsets in text_blocks(batch.column(len(names))):
                 tokens, bounds = encoder.encode(data, offsets)
-                columns = [batch.column(batch.schema.get_field_index(n)).slice(a, b - a) for n in names]
+                columns = [batch.column(k).slice(a, b - a) for k in range(len(names))]
                 columns.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens)))
                 if decoded:
                     columns.append(decoded_texts(vocabulary, tokens, bounds))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
                 trim()
 
-    return docs.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text}`").cast("string").alias(source)).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, tokenizer_path: str, *, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -203,14 +206,15 @@ def decode(tokens: DataFrame, tokenizer_path: str, *, ids: str = "ids", text: st
     kept = [f for f in tokens.schema.fields if f.name != text]
     schema = T.StructType([*kept, T.StructField(text, T.StringType(), False)])
     names = [f.name for f in kept]
+    source = tables.unused(tokens.columns) + "ids"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, _ = _encoder(tokenizer_path)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("__ids")).fill_null([])
+            column = batch.column(len(names)).fill_null([])
             values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             bounds = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-            columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
+            columns = [batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, decoded_texts(vocabulary, values, bounds)], names=schema.names)
 
-    return tokens.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{ids}`").cast("array<int>").alias("__ids")).mapInArrow(run, schema)
+    return tokens.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{ids}`").cast("array<int>").alias(source)).mapInArrow(run, schema)

@@ -155,8 +155,7 @@ def search(table: DataFrame, *, k: int = 20, every: int = 20, key: str = "vec_id
     met = corpus.unionByName(asked).withColumn("cell", F.xxhash64(*cell)).repartition(parts, "cell").sortWithinPartitions("cell", "dim", "side")
     found = met.select("cell", "dim", "side", "class_id", "packed", "ids")
     hits = found.mapInArrow(_nearest(k + 1), "class_id long, best array<struct<score:double,vec_id:long>>")
-    best = hits.groupBy("class_id").agg(vectors.sorted_best(F.array_distinct(F.flatten(F.collect_list("best"))), k).alias("best"))
-    return vectors.ranked(best, map_, k)
+    return vectors.ranked(vectors.merged(hits, k), map_, k)
 
 
 def _nearest(k: int):

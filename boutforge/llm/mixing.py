@@ -12,18 +12,18 @@ Without given targets a dimension's target is its observed shares to the power T
 
 Defined cases: null source or lang is the cell value '' ; a null or empty text weighs one token; a null
 doc_id draws as the empty text; repeated rows are drawn alike; an empty table gives an empty result;
-columns of the input named topic, tokens, probability or kept are replaced.
+columns of the input named topic, tokens, probability or kept are replaced, all others stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tables
 
 DIMENSIONS = ["source", "lang", "topic"]
-ROUNDS, STORED_EVERY, TEMPER, SHARE = 8, 4, 0.7, 0.5
+ROUNDS, STORED_EVERY, TEMPER, SHARE = 8, 3, 0.7, 0.5
 STEPS = 12
 
 
@@ -67,10 +67,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataF
     frame = tables.stored(frame.withColumn("weight", F.col("tokens").cast("double")))
     for k in range(ROUNDS):
         for d in DIMENSIONS:
-            has = F.sum("weight").over(Window.partitionBy(d))
-            frame = frame.withColumn("weight", F.when(has > 0, F.col("weight") * F.col(f"{d}_target") / has).otherwise(0.0))
-        if (k + 1) % STORED_EVERY == 0:
-            frame = tables.stored(frame)
+            has = frame.groupBy(d).agg(F.sum("weight").alias("has"))
+            scaled = F.when(F.col("has") > 0, F.col("weight") * F.col(f"{d}_target") / F.col("has")).otherwise(0.0)
+            frame = frame.join(has, d).withColumn("weight", scaled).drop("has")
+            if (k * len(DIMENSIONS) + DIMENSIONS.index(d) + 1) % STORED_EVERY == 0:
+                frame = tables.stored(frame)
     return frame.select(*DIMENSIONS, "tokens", "weight")
 
 
@@ -96,12 +97,29 @@ def mix(docs: DataFrame, *, share: float = SHARE, targets: dict[str, DataFrame]
     """docs with topic, tokens, probability and kept."""
     own = ["topic", "tokens", "probability", "kept"]
     kept = [c for c in docs.columns if c not in own]
+    p = tables.unused(docs.columns)
     content = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    key = {f"__{d}": F.coalesce(F.col(d).cast("string"), F.lit("")) for d in DIMENSIONS[:2]}
-    facts = {**key, "topic": topic(content), "tokens": tokens(content)}
-    placed = docs.select(*(F.col(f"`{c}`") for c in kept), *(v.alias(k) for k, v in facts.items()))
+    facts = {"source": _cell("source"), "lang": _cell("lang"), "topic": topic(content)}
+    keys = [p + d for d in DIMENSIONS]
+    placed = docs.select(*(F.col(f"`{c}`") for c in kept), *(v.alias(p + d) for d, v in facts.items()), tokens(content).alias(f"{p}tokens"))
     # the same three short columns, without the text, make the cells
-    cells = docs.select(*(v.alias(k.removeprefix("__")) for k, v in facts.items())).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
+    cells = docs.select(*(v.alias(d) for d, v in facts.items()), tokens(content).alias("tokens")).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
     fitted = tables.stored(calibrated(tables.stored(rake(tables.stored(cells), targets)), share))
-    lookup = fitted.select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), "topic", "probability")
-    return placed.join(lookup, ["__source", "__lang", "topic"]).withColumn("kept", draw(F.col("doc_id")) < F.col("probability")).select(*(F.col(f"`{c}`") for c in kept), *own)
+    lookup = fitted.select(*(F.col(d).alias(p + d) for d in DIMENSIONS), F.col("probability").alias(f"{p}probability"))
+    probability = F.col(f"{p}probability")
+    results = [F.col(f"{p}topic").alias("topic"), F.col(f"{p}tokens").alias("tokens"), probability.alias("probability"), (draw(F.col("doc_id")) < probability).alias("kept")]
+    return placed.join(lookup, keys).select(*(F.col(f"`{c}`") for c in kept), *results)
+
+
+def _cell(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def marginal_error(fitted: DataFrame, targets: dict[str, DataFrame] | None = None) -> float:
+    """The largest distance of a source's, language's or topic's fitted share from its target: one number."""
+    worst = 0.0
+    for d in DIMENSIONS:
+        shares = fitted.groupBy(d).agg(F.sum("weight").alias("w"))
+        far = shares.join(_targets(fitted, d, (targets or {}).get(d)), d).agg(F.max(F.abs(F.col("w") - F.col(f"{d}_target")))).first()[0]
+        worst = max(worst, far or 0.0)
+    return worst

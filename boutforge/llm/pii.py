@@ -1,12 +1,13 @@
 """Operator 4: personal data by patterns, checksums and nearby words; DataFrame functions only.
 
 Patterns propose spans; validators confirm them: Luhn for card numbers, mod-97 for account numbers
-(IBAN), ranges for addresses and digit counts for phones. Words in a window around a span raise or
-lower its score. Spans of the base kinds that pass their validators always stay; of the added kinds
+(IBAN), ranges for addresses and digit counts for phones. Words that begin in a window around a span
+raise or lower its score. Spans of the base kinds that pass their validators always stay; of the added kinds
 (iban, and short cards, national phones and identity numbers) those with a score of 0.5 or more.
 
-Defined cases: a null text is empty and has no spans; every row is kept, repeated ones too; columns of
-the input that are named like an output are replaced.
+Defined cases: a null text is empty and has no spans; every row is kept, repeated ones too; extra
+columns stay whatever their names, but one named like the output is replaced; time grows in proportion
+to a text's length and its matches.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import spans
+from . import spans, tables
 
 BASE = ["email", "ip", "card", "phone"]
 ADDED = ["iban", "short_card", "local_phone", "identity"]
@@ -28,18 +29,18 @@ PATTERNS = {
     "local_phone": r"(?<![0-9+.)-])\(?0?[0-9]{2,4}\)?[\x20/-][0-9]{3,4}[\x20-]?[0-9]{3,5}(?![0-9-])",
     "identity": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
-#: Words near a span that speak for its kind.
+#: Beginnings of words near a span that speak for its kind.
 CONTEXT = {
-    "email": "mail|contact|write|kontakt|courriel|correo",
-    "ip": r"ip|host|server|address|adresse|login",
-    "card": "card|visa|master|credit|debit|karte|carte|tarjeta|pay",
-    "phone": r"tel|phone|call|mobile|fax|handy|anruf|llam",
+    "email": "e-?mail|mail|contact|write|kontakt|courriel|correo",
+    "ip": r"ip\b|host|server|address|adresse|login",
+    "card": r"card|visa|master|credit|debit|karte|kreditkarte|carte|tarjeta|pay",
+    "phone": r"tel\b|tel[eé]|phone|call|mobile|fax|handy|anruf|llam",
     "iban": "iban|account|bank|konto|compte|cuenta",
-    "short_card": "card|visa|master|credit|debit|karte|carte|tarjeta|amex",
-    "local_phone": r"tel|phone|call|mobile|fax|handy|anruf|llam",
-    "identity": "ssn|social|insurance|tax|ident|passport",
+    "short_card": r"card|visa|master|credit|debit|karte|kreditkarte|carte|tarjeta|amex",
+    "local_phone": r"tel\b|tel[eé]|phone|call|mobile|fax|handy|anruf|llam",
+    "identity": r"ssn|social|insurance|tax\b|ident|passport",
 }
-#: Words that speak against any kind: numbers that are something else.
+#: Such beginnings that speak against any kind: numbers that are something else.
 AGAINST = "order|isbn|version|serial|article|invoice|sku|example"
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "short_card": 0.3, "local_phone": 0.3, "identity": 0.35}
 WINDOW, BONUS, MALUS, KEEP = 40, 0.3, 0.2, 0.5
@@ -73,16 +74,16 @@ def _valid(kind: str, text: Column) -> Column:
     }[kind]
 
 
-def _score(kind: str, text: Column, start: Column, end: Column) -> Column:
-    around = F.lower(F.concat(F.substring(text, F.greatest(start - WINDOW, F.lit(0)) + 1, F.least(start, F.lit(WINDOW))), F.lit(" "), F.substring(text, end + 1, F.lit(WINDOW))))
-    score = F.lit(PRIOR[kind]) + F.when(around.rlike(CONTEXT[kind]), BONUS).otherwise(0.0) - F.when(around.rlike(AGAINST), MALUS).otherwise(0.0)
+def _score(kind: str, around: Column) -> Column:
+    near = lambda words: around.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{words})")
+    score = F.lit(PRIOR[kind]) + F.when(near(CONTEXT[kind]), BONUS).otherwise(0.0) - F.when(near(AGAINST), MALUS).otherwise(0.0)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
 
 
-def _confirmed(kind: str, text: Column, matched: Column) -> Column:
+def _confirmed(kind: str, matched: Column) -> Column:
     """The matches that pass the kind's validator, as scored spans; added kinds only with a high score."""
     end = lambda m: m["start"] + F.char_length(m["text"])
-    fields = lambda m: (F.lit(kind).alias("kind"), m["start"].alias("start"), end(m).alias("end"), _score(kind, text, m["start"], end(m)).alias("score"))
+    fields = lambda m: (F.lit(kind).alias("kind"), m["start"].alias("start"), end(m).alias("end"), _score(kind, m["around"]).alias("score"))
     scored = F.transform(F.filter(matched, lambda m: _valid(kind, m["text"])), lambda m: F.struct(*fields(m)))
     return scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= KEEP)
 
@@ -90,16 +91,17 @@ def _confirmed(kind: str, text: Column, matched: Column) -> Column:
 def find(docs: DataFrame, *, text: str = "text", out: str = "pii") -> DataFrame:
     """docs with an array of (kind, start, end, score) of all spans, by kind as listed and then start."""
     kept = [c for c in docs.columns if c != out]
-    frame = docs.select(*(F.col(f"`{c}`") for c in kept), spans.without_marks(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("__text"))
+    p = tables.unused([*docs.columns, out])
+    source, digit = f"{p}text", f"{p}digit"
+    frame = docs.select(*(F.col(f"`{c}`") for c in kept), spans.without_marks(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias(source))
     # a digit or an at sign is in every span, and most texts have neither in plenty
-    some = {"email": F.contains("__text", F.lit("@")), "phone": F.contains("__text", F.lit("+"))}
-    frame = frame.withColumn("__digits", F.col("__text").rlike("[0-9]"))
-    columns = {f"__{k}": p for k, p in PATTERNS.items()}
-    for name, pattern in columns.items():
-        frame = frame.withColumn(f"{name}_in", F.when(some.get(name[2:], F.col("__digits")), F.col("__text")).otherwise(""))
-        frame = spans.matches(frame, f"{name}_in", {name: pattern}).drop(f"{name}_in")
-    found = [_confirmed(kind, F.col("__text"), F.col("__card" if kind == "short_card" else f"__{kind}")) for kind in BASE + ADDED]
-    return frame.withColumn(out, F.concat(*found)).select(*(F.col(f"`{c}`") for c in kept), out)
+    some = {"email": F.contains(source, F.lit("@")), "phone": F.contains(source, F.lit("+"))}
+    frame = frame.withColumn(digit, F.col(source).rlike("[0-9]"))
+    for kind, pattern in PATTERNS.items():
+        frame = frame.withColumn(f"{p}in", F.when(some.get(kind, F.col(digit)), F.col(source)).otherwise(""))
+        frame = spans.matches(frame, f"{p}in", {p + kind: pattern}, around=WINDOW).drop(f"{p}in")
+    found = [_confirmed(kind, F.col(p + ("card" if kind == "short_card" else kind))) for kind in BASE + ADDED]
+    return frame.withColumn(out, F.concat(*found)).select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{out}`"))
 
 
 def redacted(text: Column, found: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 MARK = "\u0001"
 BLOCK = 256
+NEIGHBOURS = 16  # parts that are looked through for what is around a match
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -36,14 +37,34 @@ def starts(parts: Column) -> Column:
     return F.flatten(F.zip_with(blocks, _before(totals, F.lit(0)), _before))
 
 
-def matches(frame: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
-    """Add for each kind an array of (text, start) of its matches, leftmost and not overlapping."""
-    for kind, pattern in patterns.items():
-        parts = f"__parts_{kind}"
+def _around(parts: Column, i: Column, tails: Column, heads: Column, width: int) -> Column:
+    """The characters next to part i on either side, lower-cased; a few parts of at most width make them."""
+    first = F.greatest(i - NEIGHBOURS, F.lit(0))
+    before = F.array_join(F.slice(tails, first + 1, i - first), "")
+    after = F.array_join(F.slice(heads, i + 2, F.lit(NEIGHBOURS)), "")
+    return F.lower(F.concat(F.right(before, F.lit(width)), F.lit(" "), F.left(after, F.lit(width))))
+
+
+def matches(frame: DataFrame, text: str, patterns: dict[str, str], *, around: int = 0) -> DataFrame:
+    """Add for each name an array of (text, start) of its matches, leftmost and not overlapping.
+
+    With ``around`` a match also has that many characters from either side. They come from the parts
+    next to it, so that a text of very many matches takes time in proportion to its length.
+    """
+    kind = "array<struct<text:string,start:int,around:string>>" if around else "array<struct<text:string,start:int>>"
+    for name, pattern in patterns.items():
+        parts = f"{name}_parts"
         frame = frame.withColumn(parts, marked(F.col(text), pattern))
         zipped = F.arrays_zip(F.col(parts).alias("text"), starts(F.col(parts)).alias("start"))
-        found = F.when(F.size(parts) > 1, F.filter(zipped, lambda x, i: i % 2 == 1)).otherwise(F.array().cast("array<struct<text:string,start:int>>"))
-        frame = frame.withColumn(kind, found).drop(parts)
+        extra = []
+        if around:
+            some = lambda f: F.when(F.size(parts) > 1, F.transform(parts, f))
+            frame = frame.withColumn(f"{name}_tails", some(lambda x: F.right(x, F.lit(around)))).withColumn(f"{name}_heads", some(lambda x: F.left(x, F.lit(around))))
+            extra = [f"{name}_tails", f"{name}_heads"]
+            near = lambda i: _around(F.col(parts), i, F.col(extra[0]), F.col(extra[1]), around)
+            zipped = F.transform(zipped, lambda x, i: F.struct(x["text"].alias("text"), x["start"].alias("start"), F.when(i % 2 == 1, near(i)).alias("around")))
+        found = F.when(F.size(parts) > 1, F.filter(zipped, lambda x, i: i % 2 == 1)).otherwise(F.array().cast(kind))
+        frame = frame.withColumn(name, found).drop(parts, *extra)
     return frame
 
 

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import contextlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a stored table is made: shuffle files go with their job, and a batch that goes to a
+#: Python worker holds few rows, as texts and sets may be long.
+WHILE_STORED = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,16 +51,26 @@ def stored(df: DataFrame, *, folder: str | None = None) -> DataFrame:
 
 @contextlib.contextmanager
 def shuffle_files_dropped(spark: SparkSession) -> Iterator[None]:
-    """Jobs in this block give back their shuffle files when they end; their result is stored by then."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    """Jobs in this block give back their shuffle files when they end (their result is stored by then) and use small batches."""
+    before = {k: spark.conf.get(k, None) for k in WHILE_STORED}
+    for k, v in WHILE_STORED.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def unused(columns: Iterable[str]) -> str:
+    """A prefix that no column has, in any case of letters: names that begin with it clash with none."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
 
 
 def text_or_empty(column: str = "text") -> Column:

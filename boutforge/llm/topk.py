@@ -196,8 +196,7 @@ def search(table: DataFrame, *, k: int = 20, every: int = 20, key: str = "vec_id
         narrowed = counted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "class_id").sortWithinPartitions("class_id").mapInArrow(_narrow(wanted), "class_id long, low long, width long")
         state = tables.stored(narrowed.unionByName(state.where("width = 0")))
     final = cells(queries.join(state, "class_id"), rows, query_blocks, row_blocks).mapInArrow(_keep(wanted), "class_id long, best array<struct<score:long,vec_id:long>>")
-    best = final.groupBy("class_id").agg(vectors.sorted_best(F.flatten(F.collect_list("best")), k).alias("best"))
-    return vectors.ranked(best, map_, k)
+    return vectors.ranked(vectors.merged(final, k), map_, k)
 
 
 def _norms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
