@@ -31,4 +31,4 @@ def query(sql: str | None = None, dates: tuple[str, ...] = ()):
     return add
 
 
-from . import feeds, history, links, ratings, scalars, sequences, streams, texts  # noqa: E402, F401
+from . import feeds, history, links, ratings, scalars, sequences, streams, texts, matches  # noqa: E402, F401
