@@ -7,7 +7,7 @@ on a cycle is a matter of mutual reachability, found over all divisions at once
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import checkpointed
@@ -26,9 +26,22 @@ def reachable(edges: DataFrame, keys: list[str]) -> DataFrame:
         n = more
 
 
+def trimmed(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """The edges left when those are taken away, again and again, whose winner lost to no one or whose loser beat no one."""
+    core = checkpointed(edges.select(*keys, "winner", "loser").distinct())
+    n = core.count()
+    while True:
+        beaten = core.select(*keys, F.col("loser").alias("winner")).distinct()
+        beating = core.select(*keys, F.col("winner").alias("loser")).distinct()
+        core = checkpointed(core.join(beaten, [*keys, "winner"], "left_semi").join(beating, [*keys, "loser"], "left_semi"))
+        if (left := core.count()) == n:
+            return core
+        n = left
+
+
 def cyclic(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """The edges whose loser also reaches the winner."""
-    back = reachable(edges, keys).select(*keys, F.col("winner").alias("loser"), F.col("loser").alias("winner"))
+    """The edges whose loser also reaches the winner; paths are followed only among what can lie on a cycle."""
+    back = reachable(trimmed(edges, keys), keys).select(*keys, F.col("winner").alias("loser"), F.col("loser").alias("winner"))
     return edges.join(back, [*keys, "winner", "loser"], "left_semi")
 
 
@@ -89,19 +102,23 @@ def consistent_order(order: list[str], pairs: list[tuple[str, str, str]], reach:
 
 
 def reorder(ranking: DataFrame, edges: DataFrame, *, reach: int = 3) -> DataFrame:
-    """ranking (division, fighter, rank) with new_rank; edges (division, winner, loser, date) hold each pair once."""
-    wins = edges.groupBy("division").agg(F.sort_array(F.collect_list(F.struct("date", "winner", "loser"))).alias("wins"))
-    rows = ranking.select("division", "fighter", "rank").join(wins, "division", "left")
-
-    def apply(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["rank", "fighter"])
-        found = frame["wins"].iloc[0]
-        pairs = [] if found is None else [(w["winner"], w["loser"], str(w["date"])) for w in found]
-        order = consistent_order(frame["fighter"].tolist(), pairs, reach)
-        new = {x: k + 1 for k, x in enumerate(order)}
-        return frame.assign(new_rank=frame["fighter"].map(new))[["division", "fighter", "rank", "new_rank"]]
-
-    return rows.groupBy("division").applyInPandas(apply, "division string, fighter string, rank int, new_rank int")
+    """ranking (division, fighter, rank) with new_rank; edges (division, winner, loser, date) hold each pair once.
+
+    Only edges between places at most reach apart matter, so no others meet the ranking's rows.
+    """
+    place = F.row_number().over(Window.partitionBy("division").orderBy("rank", "fighter"))
+    rows = ranking.select("division", "fighter", "rank").withColumn("place", place)
+    at = lambda name: rows.select("division", F.col("fighter").alias(name), F.col("place").alias(f"{name}_at"))
+    near = edges.select("division", "winner", "loser", F.col("date").cast("string").alias("date")).join(at("winner"), ["division", "winner"]).join(at("loser"), ["division", "loser"])
+    near = near.where(F.abs(F.col("winner_at") - F.col("loser_at")) <= reach).select("division", "date", "winner", "loser")
+
+    def apply(own: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("place")
+        pairs = [(w, lo, d) for d, w, lo in met.sort_values(["date", "winner", "loser"])[["date", "winner", "loser"]].itertuples(index=False)]
+        new = {x: k + 1 for k, x in enumerate(consistent_order(own["fighter"].tolist(), pairs, reach))}
+        return own.assign(new_rank=own["fighter"].map(new))[["division", "fighter", "rank", "new_rank"]]
+
+    return rows.groupBy("division").cogroup(near.groupBy("division")).applyInPandas(apply, "division string, fighter string, rank int, new_rank int")
 
 
 def violations(ranking: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,20 +1,25 @@
 """Sequential ratings, eligibility and ranking.
 
-The rating of a bout depends on all earlier bouts of both sides, so a connected component of the bout
-graph is replayed in order by one task. Components are independent and spread over tasks; within one
-component there is nothing to split without changing results.
+The rating of a bout depends on all earlier bouts of both sides. Bouts are played in slices of dates, each
+slice with the ratings that the one before left; within a slice the connected components of its bouts are
+independent and spread over tasks. A task thus holds no more than a slice, however large the component
+that a fighter belongs to over the years, and the ratings are those of one replay in order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
 from .lineage import checkpointed
+from .windows import pulled_up
 
 
 @dataclass(frozen=True)
@@ -32,12 +37,30 @@ class Tilt:
 LIVE = Tilt(1.8, 0.7, 0.9, 1.1, 3, 0.5)
 
 
-def components(bouts: DataFrame, rounds: int = 64) -> DataFrame:
-    """node, component: the smallest node reachable, by spreading minima until nothing changes."""
-    edges = bouts.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    edges = checkpointed(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+def _united(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union-find over a task's edges: each node with the smallest one it is joined to."""
+    parent: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for frame in frames:
+        for a, b in zip(frame["x"], frame["y"], strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    yield pd.DataFrame([(x, root(x)) for x in parent], columns=["x", "y"])
+
+
+def components(bouts: DataFrame) -> DataFrame:
+    """node, component: the smallest node reachable. Tasks unite what they have, then minima spread until nothing changes."""
+    stars = bouts.select(F.col("a").cast("string").alias("x"), F.col("b").cast("string").alias("y")).mapInPandas(_united, "x string, y string").distinct()
+    edges = checkpointed(stars.unionByName(stars.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
     label = edges.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component"))
-    for _ in range(rounds):
+    while True:
         spread = edges.join(label, edges["y"] == label["node"]).groupBy("x").agg(F.min("component").alias("near"))
         jumped = label.join(spread, label["node"] == spread["x"]).select("node", F.least("component", "near").alias("component"), (F.col("near") < F.col("component")).alias("moved"))
         # a label is itself a node: its own label is a shorter way
@@ -45,51 +68,97 @@ def components(bouts: DataFrame, rounds: int = 64) -> DataFrame:
         new = checkpointed(jumped.join(short, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "moved"))
         label = new.select("node", "component")
         if not new.where("moved").take(1):
-            break
-    return label
-
-
-def replay(bouts: pd.DataFrame, tilt: Tilt, seeds: dict[str, float] | None = None) -> list[tuple]:
-    """Play bouts in order of (date, key); one row for each side of each bout, ratings before and after."""
-    state: dict[str, tuple[float, int]] = {}
-    out = []
-    for key, date, a, b, score, finish in bouts.sort_values(["date", "key"])[["key", "date", "a", "b", "score_a", "finish"]].itertuples(index=False):
+            return label
+
+
+def replay(bouts: pd.DataFrame, tilt: Tilt, start: dict[str, tuple[float, int]] | None = None) -> pd.DataFrame:
+    """Play bouts in order of (date, key), from the ratings and numbers of bouts in start; a row for each side of each bout."""
+    bouts = bouts.sort_values(["date", "key"])
+    sides = pd.concat([bouts["a"], bouts["b"]])
+    codes, known = pd.factorize(sides)
+    first = [(start or {}).get(x, (scores.INITIAL_RATING, 0)) for x in known]
+    rating, fights = [x for x, _ in first], [n for _, n in first]
+    n = len(bouts)
+    out: list[tuple] = []
+    add = out.append
+    for i, j, s, finish in zip(codes[:n].tolist(), codes[n:].tolist(), bouts["score_a"].tolist(), bouts["finish"].tolist(), strict=True):
         k = scores.K_FINISH if finish else scores.K_BASE
-        before = [state.get(x, ((seeds or {}).get(x, scores.INITIAL_RATING), 0)) for x in (a, b)]
-        for own, (me, other, s) in enumerate(((a, b, score), (b, a, 1 - score))):
-            (rating, fights), (against, their_fights) = before[own], before[1 - own]
-            weight = 1.0
-            if s == 1:
-                weight = (tilt.strong_win if against > rating else tilt.weak_win) * (tilt.thin_win if their_fights < tilt.thin_fights else 1.0)
-            elif s == 0:
-                weight = tilt.strong_loss if against > rating else tilt.weak_loss
-            after = rating + k * weight * (s - 1 / (1 + 10 ** ((against - rating) / 400)))
-            state[me] = (after, fights + 1)
-            out.append((key, date, me, other, s, rating, after, fights + 1))
-    return out
+        x, y, m, o = rating[i], rating[j], fights[i], fights[j]
+        expected = 1 / (1 + 10 ** ((y - x) / 400))
+        up, down = x, y
+        if s == 1:
+            up += k * (tilt.strong_win if y > x else tilt.weak_win) * (tilt.thin_win if o < tilt.thin_fights else 1.0) * (1 - expected)
+            down += k * (tilt.strong_loss if x > y else tilt.weak_loss) * (expected - 1)
+        elif s == 0:
+            up += k * (tilt.strong_loss if y > x else tilt.weak_loss) * -expected
+            down += k * (tilt.strong_win if x > y else tilt.weak_win) * (tilt.thin_win if m < tilt.thin_fights else 1.0) * expected
+        else:
+            up += k * (s - expected)
+            down += k * (expected - s)
+        rating[i], rating[j], fights[i], fights[j] = up, down, m + 1, o + 1
+        add((x, up, m + 1))
+        add((y, down, o + 1))
+    told = pd.DataFrame(out, columns=["before", "after", "fights"])
+    each = bouts.loc[bouts.index.repeat(2)].reset_index(drop=True)
+    second = np.arange(2 * n) % 2 == 1
+    return pd.DataFrame(
+        {
+            "key": each["key"],
+            "date": each["date"],
+            "fighter": np.where(second, each["b"], each["a"]),
+            "opponent": np.where(second, each["a"], each["b"]),
+            "score": np.where(second, 1 - each["score_a"], each["score_a"]),
+            "before": told["before"],
+            "after": told["after"],
+            "fights": told["fights"],
+        }
+    )
 
 
 TRACE = "key string, date date, fighter string, opponent string, score double, before double, after double, fights int"
 
 
-def trace(bouts: DataFrame, tilt: Tilt = LIVE, seeds: DataFrame | None = None) -> DataFrame:
+def trace(bouts: DataFrame, tilt: Tilt = LIVE, seeds: DataFrame | None = None, *, slice_bouts: int = 2_000_000) -> DataFrame:
     """The rating of both sides before and after every bout (key, date, a, b, score_a, finish).
 
-    Bouts without a score don't count. seeds (fighter, seed) gives first ratings other than the usual.
+    Bouts without a score don't count. seeds (fighter, seed) gives first ratings other than the usual. Slices
+    hold about slice_bouts bouts, and at least a day's.
     """
-    played = bouts.where(F.col("score_a").isNotNull() & F.col("date").isNotNull()).select(F.col("key").cast("string").alias("key"), F.col("date").cast("date").alias("date"), "a", "b", F.col("score_a").cast("double").alias("score_a"), F.col("finish").cast("boolean").alias("finish"))
-    placed = played.join(components(played), F.col("a") == F.col("node")).drop("node")
-    if seeds is not None:
+    played = bouts.where(F.col("score_a").isNotNull() & F.col("date").isNotNull()).select(F.col("key").cast("string").alias("key"), F.col("date").cast("date").alias("date"), F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("score_a").cast("double").alias("score_a"), F.col("finish").cast("boolean").alias("finish"))
+    state = None if seeds is None else seeds.select(F.col("fighter").cast("string").alias("fighter"), F.col("seed").cast("double").alias("rating"), F.lit(0).alias("fights"))
+    number = F.datediff("date", F.lit("1970-01-01").cast("date"))
+    n = played.count()
+    slices = max(1, -(-n // slice_bouts))
+    bounds = sorted(set(played.agg(F.percentile_approx(number, [k / slices for k in range(1, slices)], 10_000)).first()[0])) if slices > 1 else []
+    parts = []
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        inside = F.lit(True) if low is None else number > low
+        part = played.where(inside if high is None else inside & (number <= high))
+        told = _played_slice(part, tilt, state)
+        if high is None:
+            parts.append(told)
+            break
+        told = checkpointed(told)
+        parts.append(told)
+        last = told.groupBy("fighter").agg(F.max_by("after", "fights").alias("rating"), F.max("fights").alias("fights"))
+        state = checkpointed(last if state is None else last.unionByName(state.join(last.select("fighter"), "fighter", "left_anti")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _played_slice(bouts: DataFrame, tilt: Tilt, state: DataFrame | None) -> DataFrame:
+    placed = bouts.join(components(bouts), F.col("a") == F.col("node")).drop("node")
+    if state is not None:
         for side in ("a", "b"):
-            placed = placed.join(seeds.select(F.col("fighter").alias(side), F.col("seed").alias(f"seed_{side}")), side, "left")
+            placed = placed.join(state.select(F.col("fighter").alias(side), F.col("rating").alias(f"rating_{side}"), F.col("fights").alias(f"fights_{side}")), side, "left")
     settings = asdict(tilt)
 
     def play(frame: pd.DataFrame) -> pd.DataFrame:
-        given = {}
-        if "seed_a" in frame:
+        start = {}
+        if "rating_a" in frame:
             for side in ("a", "b"):
-                given |= dict(frame.loc[frame[f"seed_{side}"].notna(), [side, f"seed_{side}"]].itertuples(index=False))
-        return pd.DataFrame(replay(frame, Tilt(**settings), given), columns=["key", "date", "fighter", "opponent", "score", "before", "after", "fights"])
+                known = frame.loc[frame[f"rating_{side}"].notna(), [side, f"rating_{side}", f"fights_{side}"]]
+                start |= {x: (r, int(n)) for x, r, n in known.itertuples(index=False)}
+        return replay(frame, Tilt(**settings), start)
 
     return placed.groupBy("component").applyInPandas(play, TRACE)
 
@@ -114,15 +183,20 @@ def eligibility(sides: DataFrame, as_of: Column, *, tie: str = "bout_id", recent
     months unless the fighter had four bouts by then. Three bouts, or two since recent_from, one win
     and a bout within 18 months are needed.
     """
-    from .windows import division_cutoff, last_before_gap
-
-    counted = sides.where("not opener")
-    gap = last_before_gap(counted, 18 * scores.ELIGIBLE_MONTH_DAYS, tie=tie).withColumnRenamed("cutoff", "gap")
-    moved = division_cutoff(counted, tie=tie).withColumnRenamed("cutoff", "moved")
-    cut = counted.join(gap, "fighter", "left").join(moved, "fighter", "left")
-    veteran = F.sum(F.when(F.col("date") <= F.col("gap"), 1).otherwise(0)).over(Window.partitionBy("fighter")) >= 4
+    # every window and the last sums have fighters together, so rows are dealt once
+    mine = Window.partitionBy("fighter")
+    order = mine.orderBy("date", tie)
+    counted = sides.where("not opener").select("fighter", "date", tie, "division", "current", "result")
+    before = F.lag("date").over(order)
+    previous = F.last("division", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    following = F.first("division", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    seen = counted.withColumns({"before": before, "previous": previous, "following": following})
+    away = F.datediff("date", "before") > 18 * scores.ELIGIBLE_MONTH_DAYS
+    trip = F.coalesce((F.col("previous") == F.col("current")) & (F.col("following") == F.col("current")), F.lit(False))
+    gaps = seen.withColumns({"gap": F.max(F.when(away, F.col("before"))).over(mine), "moved": F.max(F.when((F.col("division") != F.col("current")) & ~trip, F.col("date"))).over(mine)})
+    veteran = F.sum(F.when(F.col("date") <= F.col("gap"), 1).otherwise(0)).over(mine) >= 4
     cutoff = F.greatest(F.when(~veteran, F.col("gap")), F.col("moved"))
-    inside = cut.withColumn("cutoff", cutoff).withColumn("inside", F.col("cutoff").isNull() | (F.col("date") > F.col("cutoff")))
+    inside = gaps.withColumn("cutoff", cutoff).withColumn("inside", F.col("cutoff").isNull() | (F.col("date") > F.col("cutoff")))
     sums = inside.groupBy("fighter").agg(
         F.count(F.when(F.col("inside"), 1)).alias("fights"),
         F.count(F.when(F.col("inside") & (F.col("result") == "win"), 1)).alias("wins"),
@@ -161,11 +235,15 @@ def ripples(previous: DataFrame, current: DataFrame, played: DataFrame, least: f
     return p.join(c, "fighter").where(F.abs(F.col("after") - F.col("before")) > least).join(played.select("fighter").distinct(), "fighter", "left_anti")
 
 
-def pound_for_pound(rows: DataFrame, *, per_title: float = 15.0) -> DataFrame:
-    """rows (division, position, fighter, rating, title_value) ranked over divisions, no one above a better one of their division."""
-    from .windows import pulled_up
-
-    scored = pulled_up(rows.withColumn("own_score", F.col("rating") + per_title * F.coalesce("title_value", F.lit(0.0))), "division", "position", "own_score", "score")
-    return scored.withColumn("p4p_rank", F.row_number().over(Window.orderBy(F.desc("score"), "position", "fighter")))
-
+def pound_for_pound(rows: DataFrame, order: list[Column], *, top: int, per_title: float = 15.0) -> DataFrame:
+    """rows (division, fighter, rating, title_value): the first of each division in that order, ranked over all divisions.
 
+    No one scores less than anyone below in the division. Only the first of each division travel; of all
+    others their highest score is enough.
+    """
+    scored = rows.withColumn("own_score", F.col("rating") + per_title * F.coalesce("title_value", F.lit(0.0)))
+    first = scored.withColumn("position", F.row_number().over(Window.partitionBy("division").orderBy(*order))).where(F.col("position") <= top)
+    others = scored.join(first.select("division", "fighter"), ["division", "fighter"], "left_anti").groupBy("division").agg(F.max("own_score").alias("__below"))
+    up = pulled_up(first.join(others, "division", "left"), "division", "position", "own_score", "score").withColumn("score", F.greatest("score", "__below")).drop("__below")
+    # a division's first few, so one window over all is small
+    return up.withColumn("p4p_rank", F.row_number().over(Window.orderBy(F.desc("score"), "position", "fighter", "division")))

@@ -31,7 +31,7 @@ def resolution_cascade(spark, sf_dir):
 
 
 @query(f"""{BOUTS_SQL}, o AS (SELECT fighter, date, opponent AS oo, 'official ' || result AS orr, count(*) OVER (PARTITION BY fighter, date) AS n FROM sides WHERE org = 'org2' AND fighter LIKE 'C%')
-SELECT s.bout_id, s.fighter, coalesce(o.orr, s.result) AS result, o.orr IS NOT NULL AS overridden FROM sides s LEFT JOIN o ON s.fighter = o.fighter AND s.date = o.date AND (o.n = 1 OR s.opponent = o.oo) WHERE s.org = 'org1'""")
+SELECT s.bout_id, s.fighter, coalesce(o.orr, p.orr, s.result) AS result, coalesce(o.orr, p.orr) IS NOT NULL AS overridden FROM sides s LEFT JOIN (SELECT * FROM o WHERE n = 1) o ON s.fighter = o.fighter AND s.date = o.date LEFT JOIN (SELECT * FROM o WHERE n > 1) p ON s.fighter = p.fighter AND s.date = p.date AND s.opponent = p.oo WHERE s.org = 'org1'""")
 def official_override(spark, sf_dir):
     s = sides(spark, sf_dir)
     official = s.where("org = 'org2' and fighter like 'C%'").select("fighter", "date", "opponent", F.concat(F.lit("official "), "result").alias("result"))

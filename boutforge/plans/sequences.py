@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import rating
 from ..operators import windows as ops
+from ..operators.bouts import count_if
 from .registry import query
 from .testdata import BOUTS_SQL, sides, table
 
@@ -89,13 +91,9 @@ p AS (SELECT *, CAST(row_number() OVER (PARTITION BY division ORDER BY n DESC, f
 q AS (SELECT *, max(own_score) OVER (PARTITION BY division ORDER BY position ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS score FROM s)
 SELECT division, fighter, position, own_score, score, CAST(row_number() OVER (ORDER BY score DESC, position, fighter, division) AS INTEGER) AS p4p_rank FROM q WHERE position <= 10""")
 def pound_for_pound(spark, sf_dir):
-    from ..operators.bouts import count_if
-
     win = F.col("result") == "win"
-    r = sides(spark, sf_dir).groupBy("division", "fighter").agg((1500 + 10 * (count_if(win) - count_if(F.col("result") == "loss"))).cast("double").alias("rating"), count_if(win & (F.col("quantity") >= 49)).alias("titles"), F.count("*").alias("n"))
-    p = ops.ranked(r, [F.desc("n"), F.asc("fighter")], "division", out="position").withColumn("own_score", F.col("rating") + 15.0 * F.col("titles"))
-    up = ops.pulled_up(p, "division", "position", "own_score", "score").where("position <= 10")
-    return ops.ranked(up, [F.desc("score"), F.asc("position"), F.asc("fighter"), F.asc("division")], out="p4p_rank").select("division", "fighter", "position", "own_score", "score", "p4p_rank")
+    r = sides(spark, sf_dir).groupBy("division", "fighter").agg((1500 + 10 * (count_if(win) - count_if(F.col("result") == "loss"))).cast("double").alias("rating"), count_if(win & (F.col("quantity") >= 49)).cast("double").alias("title_value"), F.count("*").alias("n"))
+    return rating.pound_for_pound(r, [F.desc("n"), F.asc("fighter")], top=10).select("division", "fighter", "position", "own_score", "score", "p4p_rank")
 
 
 @query("SELECT event_id, event_type, CAST(place AS INTEGER) AS place FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS place FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY) WHERE place <= 24")

@@ -58,6 +58,30 @@ def test_replay_over_components_matches_one_replay(spark):
     assert all(abs(got[x][0] - want[x][0]) < 1e-9 and got[x][1] == want[x][1] for x in want)
 
 
+def test_replay_in_slices_matches_one_replay(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(240):
+        a, b = rng.sample([f"F{i}" for i in range(12)], 2)
+        rows.append((f"{k:04d}", D(2020, 1, 1) + dt.timedelta(days=rng.randrange(120)), a, b, rng.choice([0.0, 0.5, 1.0]), rng.random() < 0.5))
+    want = plain_replay(rows, rating.LIVE)
+    traced = rating.trace(bouts(spark, rows), slice_bouts=80)
+    got = {r.fighter: (r.rating, r.fights) for r in rating.states(traced).collect()}
+    assert traced.count() == 480 and got.keys() == want.keys()
+    assert all(abs(got[x][0] - want[x][0]) < 1e-9 and got[x][1] == want[x][1] for x in want)
+
+
+def test_long_chains_are_one_component(spark):
+    edges = spark.createDataFrame([(f"n{k:03d}", f"n{k + 1:03d}") for k in range(300)] + [("x", "y")], "a string, b string").repartition(8)
+    assert {r.component for r in rating.components(edges).collect()} == {"n000", "x"}
+
+
+def test_no_one_scores_less_than_anyone_below(spark):
+    rows = [("d", f"f{k}", float(r), 0.0, k) for k, r in enumerate([1500, 1490, 1600, 1400, 1700])] + [("e", "g", 1650.0, 2.0, 0)]
+    out = rating.pound_for_pound(spark.createDataFrame(rows, "division string, fighter string, rating double, title_value double, n int"), [F.asc("n")], top=2)
+    assert {(r.fighter, r.own_score, r.score, r.p4p_rank) for r in out.collect()} == {("f0", 1500.0, 1700.0, 1), ("f1", 1490.0, 1700.0, 2), ("g", 1680.0, 1680.0, 3)}
+
+
 def test_seeds_are_first_ratings(spark):
     seeds = spark.createDataFrame([("A", 1580.0)], "fighter string, seed double")
     first = rating.trace(bouts(spark, [("1", D(2020, 1, 1), "A", "B", 0.5, False)]), rating.Tilt(), seeds).where("fighter = 'A'").first()
