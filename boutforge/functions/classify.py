@@ -82,7 +82,6 @@ FURTHER_PROMOTIONS = [
 ]
 OTHER_PROMOTION = "Wikipedia(その他団体)"
 FIVE_CLASSES = [("女子|アトム", None), ("メガトン|スーパーヘビー|ヘビー級", "ヘビー級"), ("ストロー|ウェルター|ミドル|ライトヘビー", None), ("フライ級", "フライ級"), ("バンタム級", "バンタム級"), ("フェザー級", "フェザー級"), ("ライト級", "ライト級")]
-FLASH_PREFIXES = {"result": "試合結果", "card_announcement": "カード発表", "card_change": "カード変更", "weigh_in": "計量", "retirement_transfer": "去就"}
 CLASS_KG = {"ストロー級": 52.2, "フライ級": 56.7, "バンタム級": 61.2, "フェザー級": 65.8, "ライト級": 70.3, "ウェルター級": 77.1, "ミドル級": 83.9, "ライトヘビー級": 93.0, "ヘビー級": 120.2, "メガトン級": 120.2, "スーパーヘビー級": 120.2}
 WOMEN_KG = {"女子ミクロ級": 44.0, "女子アトム級": 47.6, "女子スーパーアトム級": 50.0, "女子ストロー級": 52.2, "女子フライ級": 56.7, "女子バンタム級": 61.2, "女子フェザー級": 65.8}
 
@@ -268,3 +267,15 @@ def series_key(org: Column, name: Column) -> Column:
     keys = [F.when((org == o) & (number(p) != ""), F.concat(F.lit(f"{label}."), number(p))) for o, p, label in rules]
     tokyo = r"(?i)TOKYO IMPACT\s*(\d{4})\s*(\d+)"
     return F.coalesce(*keys, F.when((org == "deep") & (number(tokyo) != ""), F.concat_ws(".", F.lit("tokyo-impact"), number(tokyo), number(tokyo, 2))))
+
+
+def flash_prefix(news_type_: Column) -> Column:
+    return F.when(news_type_.isin(FLASH_TYPES), "【速報】").otherwise("")
+
+
+def stated_record(text: Column) -> Column:
+    """A struct of total, wins, losses and draws from a profile's line such as 20戦 15勝(8KO) 4敗 1分; null without one."""
+    line = r"(\d+)戦\s*(\d+)勝(?:\s*[(（][^)）]*[)）])?\s*(\d+)敗(?:\s*(\d+)分)?"
+    part = lambda n: F.regexp_extract(text, line, n).try_cast("int")
+    row = F.struct(part(1).alias("total"), part(2).alias("wins"), part(3).alias("losses"), F.coalesce(part(4), F.lit(0)).alias("draws"))
+    return F.when(part(1).isNotNull(), row)

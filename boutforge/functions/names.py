@@ -40,6 +40,30 @@ def roster_key(name: Column) -> Column:
     return F.lower(F.regexp_replace(plain, "[-_.,=＝!！?？☆★]", ""))
 
 
+#: Characters that are written for one another.
+VARIANTS = ("髙﨑齋齊斎濵", "高崎斉斉斉浜")
+LOOKALIKES = ("ニロカエト", "二口力工卜")
+QUOTES = "\"'‘’“”〝〞〟′″「」『』・･·‧"
+
+
+def kick_key(name: Column) -> Column:
+    """The one key under which names meet: compatible form, no white space or quotes, variants and lookalikes unified, lower case."""
+    plain = F.translate(F.regexp_replace(nfkc(F.coalesce(name, F.lit(""))), "[\\s　]", ""), QUOTES, "")
+    return F.lower(F.translate(F.translate(plain, *VARIANTS), *LOOKALIKES))
+
+
+def gym_key(gym: Column) -> Column:
+    """A gym's name without the words that gyms have in common; null for nothing."""
+    plain = F.translate(F.lower(nfkc(gym)), "“”\"'’‘`「」『』【】〈〉《》〔〕", "")
+    return F.nullif(F.regexp_replace(F.regexp_replace(plain, "ジム|gym|きっくぼくしんぐ|キックボクシング|kickboxing|道場|会館|team|チーム", ""), "[\\s　／/・\\-,、。]", ""), F.lit(""))
+
+
+def reading_of_kana(name: Column) -> Column:
+    """A name that is written in kana is its own reading, in katakana; null for any other."""
+    bare_ = F.regexp_replace(F.coalesce(name, F.lit("")), "[\\s・ー.．＝=“”\"'’]", "")
+    return F.when(bare_.rlike("^[ァ-ヺぁ-ゖ]+$"), to_katakana(bare_))
+
+
 def to_katakana(text: Column) -> Column:
     return F.translate(text, HIRAGANA, KATAKANA)
 

@@ -128,3 +128,21 @@ def title_value(titles: DataFrame, as_of: Column) -> DataFrame:
     years = F.datediff(as_of, F.col("date")) / F.lit(365.25)
     weight = F.least(F.lit(1.0), F.pow(F.lit(0.5), years / 2))
     return titles.groupBy("fighter").agg(F.sum(weight).alias("title_value"), F.count("*").alias("titles"), F.max("date").alias("last_title"))
+
+
+def records_by_winner_name(bouts: DataFrame) -> DataFrame:
+    """Records from bouts (a, b, name_a, name_b, winner_name, result_type, rules), where only a name says who won.
+
+    Bouts under other rules than mixed martial arts are counted apart; a winner who is neither side is unknown.
+    """
+    side = lambda own, name: F.struct(F.col(own).alias("fighter"), (F.col("winner_name") == F.col(name)).alias("won"), F.col("winner_name").isin(F.col("name_a"), F.col("name_b")).alias("known"))
+    rows = bouts.select("result_type", "rules", F.explode(F.array(side("a", "name_a"), side("b", "name_b"))).alias("s")).select("s.*", "result_type", "rules").where("fighter is not null")
+    counted = F.col("rules").isin("MMA", "unknown")
+    decided = counted & (F.col("result_type") == "decisive") & F.col("known")
+    return rows.groupBy("fighter").agg(
+        count_if(decided & F.col("won")).alias("wins"),
+        count_if(decided & ~F.col("won")).alias("losses"),
+        count_if(counted & (F.col("result_type") == "draw")).alias("draws"),
+        count_if(counted & (F.col("result_type") == "nc")).alias("no_contests"),
+        count_if(~counted).alias("excluded"),
+    )

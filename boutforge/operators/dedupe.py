@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,6 +22,26 @@ def unordered_pairs(rows: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
     return rows.select(*keys, F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct()
 
 
+def united(tables: dict[str, DataFrame], columns: list[str]) -> DataFrame:
+    """Tables of several sources under shared columns, with the source of each row."""
+    shaped = [rows.select(F.lit(name).alias("source"), *((F.col(c) if c in rows.columns else F.lit(None)).alias(c) for c in columns)) for name, rows in tables.items()]
+    return reduce(DataFrame.unionByName, shaped)
+
+
+def keys_of_either(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    return left.select(key).union(right.select(key)).distinct()
+
+
+def keys_of_both(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    return left.select(key).intersect(right.select(key))
+
+
+def latest_article(rows: DataFrame, keys: list[str], article: str) -> DataFrame:
+    """Rows told by several articles once each: by the latest article that tells them."""
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(article)))
+    return rows.withColumn("__n", last).where("__n = 1").drop("__n")
+
+
 MERGED = "fighter string, bout_id long, date date, opponent string, merged array<long>"
 
 

@@ -248,3 +248,33 @@ def flattened(sources: list[DataFrame], columns: list[str]) -> DataFrame:
     shaped = [s.select(*((F.col(c) if c in s.columns else F.lit(None)).cast("string").alias(c) for c in columns)) for s in sources]
     return reduce(DataFrame.unionByName, shaped).where(F.trim("event") != "")
 
+
+
+def fuzzy(rows: DataFrame, key: str, name: str, roster: DataFrame, verified: DataFrame | None = None) -> DataFrame:
+    """rows with slug from roster (slug, name, aliases): a verified one (key, slug), else by alias, by the name without
+    a quoted nickname, by the plain name, or by a roster name without its own nickname; ambiguous forms resolve to none."""
+    plain, bare = names.kick_key(F.col("name")), names.kick_key(names.nameless_quotes(F.col("name")))
+    tables = [
+        roster.select(F.explode("aliases").alias("n"), "slug").select(names.kick_key(F.col("n")).alias("k"), "slug"),
+        roster.select(plain.alias("k"), "slug"),
+        roster.select(plain.alias("k"), "slug"),
+        roster.where(plain != bare).select(bare.alias("k"), "slug"),
+    ]
+    own, stripped = names.kick_key(F.col(name)), names.kick_key(names.nameless_quotes(F.col(name)))
+    wanted = rows.select(key, own.alias("__0"), F.when(own != stripped, stripped).alias("__1"), own.alias("__2"), own.alias("__3"))
+    found = []
+    for n, table in enumerate(tables):
+        sole = table.groupBy("k").agg(F.min("slug").alias("lo"), F.max("slug").alias("hi")).where("lo = hi").select(F.col("k").alias(f"__{n}"), F.col("lo").alias(f"slug_{n}"))
+        wanted = wanted.join(sole, f"__{n}", "left")
+        found.append(F.col(f"slug_{n}"))
+    if verified is not None:
+        wanted = wanted.join(verified.select(key, F.col("slug").alias("slug_v")), key, "left")
+        found.insert(0, F.col("slug_v"))
+    return rows.join(wanted.select(key, F.coalesce(*found).alias("slug")), key)
+
+
+def by_alias(rows: DataFrame, column: str, aliases: dict[str, str], dimension: DataFrame, name: str) -> DataFrame:
+    """rows with the dimension row whose name is the column's, written otherwise for the aliases."""
+    pairs = [F.lit(x) for pair in aliases.items() for x in pair]
+    usual = F.coalesce(F.create_map(*pairs)[F.col(column)], F.col(column)) if pairs else F.col(column)
+    return rows.withColumn("__usual", usual).join(dimension, F.col("__usual") == F.col(name), "left").drop("__usual")

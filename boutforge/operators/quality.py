@@ -47,3 +47,39 @@ def coverage(ours: DataFrame, theirs: DataFrame, key: str) -> DataFrame:
     o = ours.groupBy(key).agg(F.count("*").alias("ours"))
     t = theirs.groupBy(key).agg(F.count("*").alias("theirs"))
     return t.join(o, key, "left").withColumn("ours", F.coalesce("ours", F.lit(0))).where("theirs > ours").withColumn("missing", F.col("theirs") - F.col("ours"))
+
+
+def drifted(registry: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Registered manual edits (keys, field, value) that the rows (keys, and a column for each field) no longer show.
+
+    The value that is there now is beside it; null where the row is gone.
+    """
+    fields = [c for c in rows.columns if c not in keys]
+    told = rows.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("now")) for c in fields))).alias("f")).select(*keys, "f.*")
+    return registry.join(told, [*keys, "field"], "left").where(~F.col("value").eqNullSafe(F.col("now")))
+
+
+def stale(rows: DataFrame, resolved: str, fresh: str) -> DataFrame:
+    """Rows whose stored resolution is not what resolving them now gives."""
+    return rows.where(~F.col(resolved).eqNullSafe(F.col(fresh)))
+
+
+def unresolved_variants(rows: DataFrame, known: DataFrame, name: str, variants: dict[str, str]) -> DataFrame:
+    """Names that no key matches as written, but one does once variant characters are unified."""
+    plain = lambda c: F.translate(c, "".join(variants), "".join(variants.values()))
+    keys = known.select(F.col(known.columns[0]).alias("__k")).distinct()
+    open_ = rows.join(keys, F.col(name) == F.col("__k"), "left_anti")
+    return open_.join(keys.select(plain(F.col("__k")).alias("__p")).distinct(), plain(F.col(name)) == F.col("__p"), "left_semi")
+
+
+def volume(name: str, rows: DataFrame, least: int, most: int) -> DataFrame:
+    """One row: whether a scrape brought a plausible number of rows."""
+    return rows.agg(F.count("*").alias("rows")).select(F.lit(name).alias("gate"), "rows", F.col("rows").between(least, most).alias("passed"))
+
+
+def may_run(jobs: DataFrame, name: str, now: Column, *, frozen: bool, lease_minutes: int = 60) -> DataFrame:
+    """One row: whether a job may start. Not while frozen, nor while a run of the same name holds its lease, nor
+    where the register of runs (name, state, started) is empty, which says nothing is known."""
+    held = (F.col("name") == name) & (F.col("state") == "running") & (F.unix_timestamp(now) - F.unix_timestamp("started") < lease_minutes * 60)
+    told = jobs.agg(F.count("*").alias("known"), F.count(F.when(held, 1)).alias("running"))
+    return told.select(F.lit(name).alias("job"), "running", (~F.lit(frozen) & (F.col("known") > 0) & (F.col("running") == 0)).alias("may_run"))

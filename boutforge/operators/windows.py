@@ -92,6 +92,29 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFr
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def clamped_page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
+    """One page of an ordering; numbers beyond the last page are the last. All earlier rows are sorted, so late pages cost more."""
+    pages = max(1, -(-rows.count() // size))
+    return page(rows, order, min(number, pages), size)
+
+
+def by_reading(rows: DataFrame, reading: str, name: str, out: str = "place") -> DataFrame:
+    """Places in the Japanese order of readings, then names; rows without a reading come last, by name."""
+    collated = lambda c: F.collate(F.col(c), "ja")
+    return rows.withColumn(out, F.row_number().over(Window.orderBy(F.col(reading).isNull(), collated(reading), collated(name))))
+
+
+def quantiles(rows: DataFrame, value: str, *by: str, parts: int = 4) -> DataFrame:
+    """Each group's exact quartiles (or other parts) of a value."""
+    steps = [k / parts for k in range(1, parts)]
+    return rows.groupBy(*by).agg(F.percentile(value, F.array(*map(F.lit, steps))).alias("cuts"))
+
+
+def within_range(rows: DataFrame, by: str, at: str, back: int, out: str = "n") -> DataFrame:
+    """How many of the group's rows lie at most so many units before each row, itself included."""
+    return rows.withColumn(out, F.count("*").over(Window.partitionBy(by).orderBy(at).rangeBetween(-back, 0)))
+
+
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """A sample that depends on the seed and the keys alone."""
     return rows.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key).limit(n)

@@ -27,3 +27,18 @@ def stream_daily_counts(spark, sf_dir):
 @query("SELECT user_id, min(event_id) AS first_seen, count(*) AS times FROM events GROUP BY user_id")
 def stream_first_seen(spark, sf_dir):
     return ops.run_complete(ops.first_seen(_stream(spark, sf_dir), "user_id", "event_id"), "seen")
+
+
+@query("SELECT CAST(s AS VARCHAR) AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS s FROM events) WHERE s + INTERVAL 2 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL")
+def stream_sliding_counts(spark, sf_dir):
+    """Two-day windows, a new one every day."""
+    counts = ops.sliding(_stream(spark, sf_dir), "ts", "10 minutes", "2 days", "1 day", "event_type")
+    return ops.run_append(counts, "sliding").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
+@query("SELECT c.event_id, p.event_id AS purchase_id FROM events c JOIN events p ON c.user_id = p.user_id AND c.event_type = 'click' AND p.event_type = 'purchase' AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 2 DAY")
+def stream_purchases(spark, sf_dir):
+    """Two views of the stream joined by user and time."""
+    clicks = _stream(spark, sf_dir).where("event_type = 'click'").select("event_id", "user_id", "ts")
+    buys = _stream(spark, sf_dir).where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), "user_id", F.col("ts").alias("bought"))
+    return ops.run_append(ops.joined(clicks, buys, "user_id", "ts", "bought", "60 days", "2 DAYS").select("event_id", "purchase_id"), "purchases")

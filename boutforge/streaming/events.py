@@ -32,6 +32,20 @@ def first_seen(stream: DataFrame, key: str, at: str) -> DataFrame:
     return stream.groupBy(key).agg(F.min(at).alias("first_seen"), F.count("*").alias("times"))
 
 
+def sliding(stream: DataFrame, at: str, late: str, width: str, step: str, *by: str) -> DataFrame:
+    """Counts per overlapping window and group."""
+    windowed = stream.withWatermark(at, late).groupBy(F.window(at, width, step).alias("w"), *by)
+    return windowed.agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n")
+
+
+def joined(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, late: str, within: str) -> DataFrame:
+    """Rows of two streams with one key, the right one's time in the interval after the left one's; state ends with the watermarks."""
+    a = left.withWatermark(left_at, late)
+    b = right.withWatermark(right_at, late).withColumnRenamed(key, f"right_{key}")
+    close = (F.col(right_at) >= F.col(left_at)) & (F.col(right_at) <= F.col(left_at) + F.expr(f"INTERVAL {within}"))
+    return a.join(b, (F.col(key) == F.col(f"right_{key}")) & close).drop(f"right_{key}")
+
+
 def split_late(rows: DataFrame, at: str, now) -> tuple[DataFrame, DataFrame]:
     """Rows up to now, and those without a time or with one to come."""
     good = F.col(at).isNotNull() & (F.col(at) <= now)
