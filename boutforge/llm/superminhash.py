@@ -11,10 +11,11 @@ A document's set holds its distinct 5-word shingles (A-Z lower-cased, words ``[^
    compared with it on full sets (size ratios that cannot reach the threshold are left out, exactly).
 4. Links become components: tasks run union-find on what they have, then minimum labels spread by
    star contraction until nothing changes.
-5. Classes that share buckets make a candidate group. The members of its largest component are joined
+5. A hub with all its partners makes a candidate group. The members of its largest component are joined
    already; each other member is compared with all members, in cells of a block against a block, where
    a task counts intersections and hands on only as many links as join what they join. So nothing is
    lost, no pair is written out, and a group of k copies that resemble their hub costs k comparisons.
+   Groups don't chain: one holds no more than the documents that share a bucket with its hub.
 
 A pair at the threshold of 0.85 shares no band with probability (1 - 0.85**ROWS)**BANDS, 2e-9.
 
@@ -25,7 +26,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,10 @@ BANDS, ROWS = 42, 6
 PERCENT = 85  # of the union that the intersection has to reach
 PLACES = BANDS * ROWS
 WORK = 1 << 17  # shingles whose permutations are held at once
-CELL_CLASSES, CELL_SHINGLES = 128, 1 << 20  # of one side of a cell, about
+CELL_CLASSES, CELL_SHINGLES = 1024, 1 << 20  # of a block of outliers, which a task holds, about
+PASSING_CLASSES, PASSING_SHINGLES = 8192, 1 << 23  # of a block of insiders, which pass by
+PASSING_AT_ONCE = 256
+BATCH_BYTES = 4 << 20  # of sets that go on together
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -165,6 +169,42 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
+def _set_at(column: pa.Array, row: int) -> np.ndarray:
+    """A set within a batch, without a copy."""
+    return np.frombuffer(column[row].as_buffer(), np.uint64)
+
+
+def _dealt(fields: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (doc_id, text, roles): the fields of each role, the doc_id and its set, in batches of about BATCH_BYTES."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            kinds = [pa.int32() if f in ("role", "i", "j", "side") else pa.int64() for f in fields]
+            arrays = [pa.array([r[c] for r in rows], t) for c, t in enumerate([*kinds, pa.int64(), pa.binary()])]
+            return pa.RecordBatch.from_arrays(arrays, names=[*fields, "doc_id", "shingles"])
+
+        for batch in batches:
+            for a, b, data, offsets in text_blocks(batch.column(1)):
+                sets, first = shingles(data, offsets)
+                for k in range(b - a):
+                    own = sets[first[k] : first[k + 1]].tobytes()
+                    doc_id = batch.column(0)[a + k].as_py()
+                    for r in batch.column(2)[a + k].as_py():
+                        rows.append((*(r[f] for f in fields), doc_id, own))
+                        size += len(own) + 64
+                        if size > BATCH_BYTES:
+                            yield out()
+                            rows, size = [], 0
+            trim()
+        if rows:
+            yield out()
+
+    return run
+
+
 def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (hub, other) with 100 * intersection >= percent * union of their full sets.
 
@@ -179,25 +219,15 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     )
     wanted = roles.groupBy("doc_id", F.pmod(F.xxhash64("hub", "part"), F.lit(16)).alias("slice")).agg(F.collect_list(F.struct("hub", "part", "role")).alias("roles"))
 
-    def expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in text_blocks(batch.column(1)):
-                sets, first = shingles(data, offsets)
-                for k in range(b - a):
-                    own = sets[first[k] : first[k + 1]].tobytes()
-                    doc_id = batch.column(0)[a + k].as_py()
-                    for r in batch.column(2)[a + k].as_py():
-                        yield pa.RecordBatch.from_arrays([pa.array([r["hub"]]), pa.array([r["part"]]), pa.array([r["role"]], pa.int32()), pa.array([doc_id]), pa.array([own])], names=["hub", "part", "role", "doc_id", "shingles"])
-            trim()
-
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, hub_set = None, None
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for hub, part, role, doc_id, raw in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                own = np.frombuffer(raw, np.uint64)
+            keys = zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
+            for row, (hub, part, role, doc_id) in enumerate(keys):
+                own = _set_at(batch.column(4), row)
                 if role == 0:
-                    key, hub_set = (hub, part), own
+                    key, hub_set = (hub, part), own.copy()  # it outlives its batch
                     continue
                 if key != (hub, part):
                     raise ValueError("a hub's set has to come before its partners'")
@@ -205,10 +235,10 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 both = int((hub_set[at] == own).sum())
                 if 100 * both >= percent * (len(own) + len(hub_set) - both):
                     found.append((hub, doc_id))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+            yield _links(found)
 
-    schema = "hub long, part long, role int, doc_id long, shingles binary"
-    texts = docs.join(wanted, "doc_id").select("doc_id", "text", "roles").mapInArrow(expand, schema)
+    fields = ["hub", "part", "role"]
+    texts = docs.join(wanted, "doc_id").select("doc_id", "text", "roles").mapInArrow(_dealt(fields), "hub long, part long, role int, doc_id long, shingles binary")
     return texts.repartition("hub", "part").sortWithinPartitions("hub", "part", "role").mapInArrow(compare, "a long, b long")
 
 
@@ -241,7 +271,8 @@ def verified_cells(docs: DataFrame, members: DataFrame, percent: int) -> DataFra
     one of outliers and one of insiders.
     """
     size = members.groupBy("grp", "outlier").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("k") / CELL_CLASSES), F.ceil(F.col("shingles") / CELL_SHINGLES)).cast("int")
+    classes, total = F.when(F.col("outlier"), CELL_CLASSES).otherwise(PASSING_CLASSES), F.when(F.col("outlier"), CELL_SHINGLES).otherwise(PASSING_SHINGLES)
+    blocks = F.greatest(F.ceil(F.col("k") / classes), F.ceil(F.col("shingles") / total)).cast("int")
     per = size.groupBy("grp").agg(F.max(F.when(F.col("outlier"), blocks)).alias("p"), F.coalesce(F.max(F.when(~F.col("outlier"), blocks)), F.lit(0)).alias("q")).where("p is not null")
     own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("outlier"), F.col("p")).otherwise(F.col("q"))).cast("int")
     upto = lambda lo, hi: F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
@@ -256,62 +287,60 @@ def verified_cells(docs: DataFrame, members: DataFrame, percent: int) -> DataFra
     dealt = members.join(per, "grp").withColumn("block", own).select("doc_id", "grp", F.explode(F.when(F.col("outlier"), outlier).otherwise(insider)).alias("c"))
     roles = dealt.select("doc_id", "grp", "c.*").groupBy("doc_id", F.pmod(F.xxhash64("i", "j"), F.lit(16)).alias("slice")).agg(F.collect_list(F.struct("grp", "i", "j", "side")).alias("roles"))
 
-    def expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first_row, end_row, data, offsets in text_blocks(batch.column(1)):
-                sets, first = shingles(data, offsets)
-                rows: list[tuple] = []
-                for k in range(end_row - first_row):
-                    raw = sets[first[k] : first[k + 1]].tobytes()
-                    doc_id = batch.column(0)[first_row + k].as_py()
-                    rows += [(r["grp"], r["i"], r["j"], r["side"], doc_id, raw) for r in batch.column(2)[first_row + k].as_py()]
-                    if len(rows) >= 256 or k + 1 == end_row - first_row:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["grp", "i", "j", "side", "doc_id", "shingles"])
-                        rows = []
-            trim()
-
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = None
-        held: tuple[list, list] = ([], [])
-
-        def done() -> pa.RecordBatch:
-            left, right = held if key[1] != key[2] else (held[0], held[0])
-            return _links(_joined(_cell_links(left, right, percent)))
+        rows: list[tuple[int, np.ndarray]] = []
+        passing: list[tuple[int, np.ndarray]] = []
+        block: _Block | None = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            # a block meets itself once; others pass by it some at a time
+            nonlocal block
+            if rows and (passing or key[1] == key[2]):
+                block = block or _Block(rows)
+                yield _links(_joined(block.links(passing or rows, percent)))
+            passing.clear()
 
         for batch in batches:
-            for grp, i, j, side, doc_id, raw in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+            for row, (grp, i, j, side, doc_id) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)):
                 if (grp, i, j) != key:
-                    if held[0]:
-                        yield done()
-                    key, held = (grp, i, j), ([], [])
-                held[side].append((doc_id, np.frombuffer(raw, np.uint64)))
-        if held[0]:
-            yield done()
-
-    texts = docs.join(roles, "doc_id").select("doc_id", "text", "roles").mapInArrow(expand, "grp long, i int, j int, side int, doc_id long, shingles binary")
-    return texts.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(compare, "a long, b long")
-
-
-def _cell_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of a cell whose sets reach the threshold, by counting each left set's marks in all right sets at once."""
-    if not left or not right:
-        return
-    n = np.array([len(x) for _, x in right])
-    _, number = np.unique(np.concatenate([x for _, x in right] + [x for _, x in left]), return_inverse=True)
-    flat, rest = number[: n.sum()], number[n.sum() :]
-    starts = np.cumsum(n) - n
-    mark = np.zeros(int(number.max()) + 1, bool)
-    ids = [d for d, _ in right]
-    at = 0
-    for doc_id, own in left:
-        mine = rest[at : at + len(own)]
-        at += len(own)
-        mark[mine] = True
-        both = np.add.reduceat(mark[flat].astype(np.int64), starts)
-        mark[mine] = False
-        for k in np.flatnonzero(100 * both >= percent * (len(own) + n - both)):
-            if ids[k] != doc_id:
-                yield doc_id, ids[k]
+                    yield from flush()
+                    key, rows, block = (grp, i, j), [], None
+                (passing if side else rows).append((doc_id, _set_at(batch.column(5), row).copy()))
+                if len(passing) == PASSING_AT_ONCE:
+                    yield from flush()
+        yield from flush()
+
+    texts = docs.join(roles, "doc_id").select("doc_id", "text", "roles").mapInArrow(_dealt(["grp", "i", "j", "side"]), "grp long, i int, j int, side int, doc_id long, shingles binary")
+    return texts.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side").mapInArrow(compare, "a long, b long")
+
+
+class _Block:
+    """Sets that others are compared with, by marking one set's members among those of all."""
+
+    def __init__(self, rows: list[tuple[int, np.ndarray]]):
+        self.rows = rows
+        self.values, self.number = np.unique(np.concatenate([x for _, x in rows]), return_inverse=True)
+
+    def links(self, others: list[tuple[int, np.ndarray]], percent: int) -> Iterator[tuple[int, int]]:
+        """Pairs of a set of the block and another whose intersection reaches the share of their union."""
+        n = np.array([len(x) for _, x in others])
+        flat = np.concatenate([x for _, x in others])
+        at = np.minimum(np.searchsorted(self.values, flat), len(self.values) - 1)
+        at[self.values[at] != flat] = len(self.values)  # in no set of the block
+        starts = np.cumsum(n) - n
+        mark = np.zeros(len(self.values) + 1, bool)
+        ids = [d for d, _ in others]
+        first = 0
+        for doc_id, own in self.rows:
+            mine = self.number[first : first + len(own)]
+            first += len(own)
+            mark[mine] = True
+            both = np.add.reduceat(mark[at].astype(np.int64), starts)
+            mark[mine] = False
+            for k in np.flatnonzero(100 * both >= percent * (len(own) + n - both)):
+                if ids[k] != doc_id:
+                    yield doc_id, ids[k]
 
 
 def _local_union(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +371,7 @@ def components(links: DataFrame) -> DataFrame:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each distinct doc_id of docs (doc_id, text)."""
     docs = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text")) if repeats(docs) else docs.where("doc_id is not null").select("doc_id", "text")
     sketched = tables.stored(sketch(docs))
@@ -352,15 +381,13 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     placed = head.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     # buckets of one member have no pair
     crowd = placed.groupBy("band").agg(F.count("*").alias("size"), F.min("doc_id").alias("hub")).where("size > 1")
-    sizes = head.select(F.col("doc_id").alias("hub"), F.col("n_shingles").alias("hub_n"))
     stars = tables.stored(placed.join(crowd, "band").where("doc_id <> hub").select("hub", F.col("doc_id").alias("other"), "n").distinct())
     sizes = head.select(F.col("doc_id").alias("hub"), F.col("n_shingles").alias("hub_n"))
     fits = F.lit(100) * F.least("n", "hub_n") >= F.lit(percent) * F.greatest("n", "hub_n")
     links = tables.stored(verified(docs, stars.join(sizes, "hub").where(fits).select("hub", "other"), percent))
     found = components(links)
-    group = components(stars.select(F.col("hub").alias("a"), F.col("other").alias("b")))
-    # a group's smallest member is in no row of its own there
-    everyone = group.select(F.col("node").alias("doc_id"), F.col("component").alias("grp")).unionByName(group.select(F.col("component").alias("doc_id"), F.col("component").alias("grp")).distinct())
+    # whoever shares a bucket shares its hub, so a hub and its partners hold all candidate pairs of its buckets
+    everyone = stars.select(F.col("other").alias("doc_id"), F.col("hub").alias("grp")).unionByName(stars.select(F.col("hub").alias("doc_id"), F.col("hub").alias("grp")).distinct())
     placed_in = everyone.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     counts = placed_in.groupBy("grp", "component").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max_by("component", F.struct("k", -F.col("component"))).alias("main"), F.sum("k").alias("all"), F.count("*").alias("parts"))
     # a group of two has been compared, and one of a single component has nothing to join

@@ -35,6 +35,7 @@ from .textblocks import LOWER, spans_hash, text_blocks, trim, words
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 WINDOW = 48  # units of a lattice that are decoded together
 ROW = 32  # single letters that form one lattice
+KNOWN_BYTES = 16 << 20  # of restored words that a task keeps
 #: Channel costs, in nats.
 SUBSTITUTE, KEEP_SIGN, SHORTEN, KEEP_RUN, DROP_GAP, KEEP_GAP = 1.0, 8.0, 0.7, 3.0, 0.4, 2.5
 
@@ -151,11 +152,14 @@ class Reader:
     def __init__(self, model: CharacterModel):
         self.model = model
         self.known: dict[bytes, tuple[bytes, ...]] = {}
+        self.held = 0
 
     def restored(self, raw: bytes) -> tuple[bytes, ...]:
         if raw not in self.known:
-            if len(self.known) > 200_000:
+            self.held += len(raw) + 200  # the entry's objects, about
+            if self.held > KNOWN_BYTES:
                 self.known.clear()
+                self.held = len(raw) + 200
             texts = restore(raw.decode("utf-8", "ignore"), self.model)
             self.known[raw] = tuple(dict.fromkeys(w.encode() for text in texts for w in _SPLIT.findall(text) if len(w) > 2))
         return self.known[raw]
@@ -277,14 +281,20 @@ def fit(rows: list[tuple[int, list[int]]], n_features: int, *, steps: int = 400,
     return float(w[-1]), w[:-1]
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, max_features: int = 4_096) -> dict:
-    """docs (doc_id, text): all texts; labels (doc_id, toxic): the rows to learn from."""
+def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, evidence: float = 7.0) -> dict:
+    """docs (doc_id, text): all texts; labels (doc_id, toxic): the rows to learn from, at most max_labelled of them.
+
+    Features are all words of the sample whose spread over the two labels gives that much evidence: the log
+    likelihood ratio against a word that goes with neither. With fewer texts than that takes, no word is one.
+    """
     spark = docs.sparkSession
     counts = character_counts(docs)
     labelled = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = docs.select("doc_id", "text").join(labelled, "doc_id").select("toxic", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("h"), "doc_id")
+    chosen = docs.select("doc_id", "text").join(labelled, "doc_id").select("toxic", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("h"))
     bound = labelled.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(max_labelled).agg(F.max("h")).first()[0]
-    sample = tables.stored(chosen.where(F.col("h") <= (bound if bound is not None else 0)).select("toxic", "text"))
+    # dealt anew, as reading words takes longer than reading files
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sample = tables.stored(chosen.where(F.col("h") <= (bound if bound is not None else 0)).repartition(parts, "h").select("toxic", "text"))
     shared = spark.sparkContext.broadcast(counts)  # fixed length
 
     def count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,12 +319,12 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, max
         return spec
     by_word = sample.mapInArrow(count_words, "word binary, neg long, pos long").groupBy("word").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     rate = p / n
-    expected = (F.col("pos") + F.col("neg")) * F.lit(rate)
-    gain = F.col("pos") * F.log(F.col("pos") / expected)
-    features = [bytes(r[0]) for r in by_word.where((F.col("pos") >= 4) & (F.col("pos") > 2 * expected)).withColumn("gain", gain).where("gain > 9").orderBy(F.desc("gain"), "word").limit(max_features).collect()]
+    share = lambda part, base: F.when(part > 0, part * F.log(part / ((F.col("pos") + F.col("neg")) * F.lit(base)))).otherwise(0.0)
+    told = by_word.where(share(F.col("pos"), rate) + share(F.col("neg"), 1 - rate) > evidence)
+    features = [bytes(r[0]) for r in told.orderBy("word").select("word").collect()]  # of at most max_labelled texts
     if not features:
         return spec
-    listed = spark.sparkContext.broadcast(features)  # at most max_features words
+    listed = spark.sparkContext.broadcast(features)  # words of at most max_labelled texts
 
     def present(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(shared.value, listed.value)
@@ -357,7 +367,7 @@ def score(docs: DataFrame, spec: dict, *, text: str = "text", out: str = "score"
     """docs with the score of each text (0 to 1); a column already named so is replaced."""
     kept = [f for f in docs.schema.fields if f.name != out]
     names = [f.name for f in kept]
-    shared = docs.sparkSession.sparkContext.broadcast(spec)  # counts of fixed length, at most max_features words
+    shared = docs.sparkSession.sparkContext.broadcast(spec)  # counts of fixed length, words of at most max_labelled texts
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{out}` double"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,4 +382,4 @@ def score(docs: DataFrame, spec: dict, *, text: str = "text", out: str = "score"
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(names))), pa.array(p)], names=[*names, out])
             trim()
 
-    return docs.select(*(F.col(f"`{n}`") for n in names), F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{n}`") for n in names), F.col(f"`{text}`").cast("string").alias(tables.unused(docs.columns) + "text")).mapInArrow(run, schema)
