@@ -30,18 +30,24 @@ def _before(lengths: Column, start: Column) -> Column:
 
 
 def starts(parts: Column) -> Column:
-    """The place of each part; sums run within blocks, then over blocks, so many parts stay cheap."""
-    lengths = F.transform(parts, lambda x: F.char_length(x))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
+    """The place of each part."""
+    return places(F.transform(parts, lambda x: F.char_length(x)))
+
+
+def places(lengths: Column) -> Column:
+    """The place of each part from the column of the parts' lengths; sums run within blocks, then over blocks, so many parts stay cheap."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
     totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n))
     return F.flatten(F.zip_with(blocks, _before(totals, F.lit(0)), _before))
 
 
-def _around(parts: Column, i: Column, tails: Column, heads: Column, width: int) -> Column:
-    """The characters next to part i on either side, lower-cased; a few parts of at most width make them."""
-    first = F.greatest(i - NEIGHBOURS, F.lit(0))
-    before = F.array_join(F.slice(tails, first + 1, i - first), "")
-    after = F.array_join(F.slice(heads, i + 2, F.lit(NEIGHBOURS)), "")
+def _around(i: Column, tails: Column, heads: Column, width: int) -> Column:
+    """The characters next to part i on either side, lower-cased; a few parts of at most width make them.
+
+    Parts are taken one by one, since a slice would copy the whole array for each match.
+    """
+    before = F.concat_ws("", *(F.get(tails, i - k) for k in range(NEIGHBOURS, 0, -1)))
+    after = F.concat_ws("", *(F.get(heads, i + k) for k in range(1, NEIGHBOURS + 1)))
     return F.lower(F.concat(F.right(before, F.lit(width)), F.lit(" "), F.left(after, F.lit(width))))
 
 
@@ -55,16 +61,19 @@ def matches(frame: DataFrame, text: str, patterns: dict[str, str], *, around: in
     for name, pattern in patterns.items():
         parts = f"{name}_parts"
         frame = frame.withColumn(parts, marked(F.col(text), pattern))
-        zipped = F.arrays_zip(F.col(parts).alias("text"), starts(F.col(parts)).alias("start"))
+        # a column of its own: within a lambda it would be made again for each block
+        frame = frame.withColumn(f"{name}_lengths", F.when(F.size(parts) > 1, F.transform(parts, lambda x: F.char_length(x))))
+        frame = frame.withColumn(f"{name}_starts", F.when(F.size(parts) > 1, places(F.col(f"{name}_lengths"))))
+        zipped = F.arrays_zip(F.col(parts).alias("text"), F.col(f"{name}_starts").alias("start"))
         extra = []
         if around:
             some = lambda f: F.when(F.size(parts) > 1, F.transform(parts, f))
             frame = frame.withColumn(f"{name}_tails", some(lambda x: F.right(x, F.lit(around)))).withColumn(f"{name}_heads", some(lambda x: F.left(x, F.lit(around))))
             extra = [f"{name}_tails", f"{name}_heads"]
-            near = lambda i: _around(F.col(parts), i, F.col(extra[0]), F.col(extra[1]), around)
+            near = lambda i: _around(i, F.col(extra[0]), F.col(extra[1]), around)
             zipped = F.transform(zipped, lambda x, i: F.struct(x["text"].alias("text"), x["start"].alias("start"), F.when(i % 2 == 1, near(i)).alias("around")))
         found = F.when(F.size(parts) > 1, F.filter(zipped, lambda x, i: i % 2 == 1)).otherwise(F.array().cast(kind))
-        frame = frame.withColumn(name, found).drop(parts, *extra)
+        frame = frame.withColumn(name, found).drop(parts, f"{name}_lengths", f"{name}_starts", *extra)
     return frame
 
 
