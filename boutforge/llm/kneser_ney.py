@@ -51,8 +51,9 @@ def _summed(keys: tuple[np.ndarray, ...], counts: np.ndarray) -> tuple[np.ndarra
     order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
     keys = tuple(k[order] for k in keys)
     new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    new[1:] = keys[0][1:] != keys[0][:-1]
+    for k in keys[1:]:
+        new[1:] |= k[1:] != k[:-1]
     begin = np.flatnonzero(new)
     return (*(k[begin] for k in keys), np.add.reduceat(counts[order], begin) if len(begin) else counts[:0])
 
@@ -66,7 +67,12 @@ class _Sums:
         self.held = 0
 
     def add(self, *keys: np.ndarray, counts: np.ndarray | None = None) -> None:
-        part = _summed(keys, np.ones(len(keys[0]), np.int64)) if counts is None else (*keys, counts.astype(np.int64))
+        if counts is not None:
+            part = (*keys, counts.astype(np.int64))
+        elif len(keys) == 1:
+            part = np.unique(keys[0], return_counts=True)
+        else:
+            part = _summed(keys, np.ones(len(keys[0]), np.int64))
         self.parts.append(part)
         self.held += len(part[0])
         if len(self.parts) > 1 and self.full:
