@@ -80,13 +80,15 @@ def consistent_order(order: list[str], pairs: list[tuple[str, str, str]], reach:
             above[loser].add(w)
     result: list[str] = []
     left = list(order)
+    waiting = set(order)
     while left:
-        ready = next((x for x in left if not above[x] & set(left)), None)
+        ready = next((x for x in left if not above[x] & waiting), None)
         if ready is None:
             result += left
             break
         result.append(ready)
         left.remove(ready)
+        waiting.remove(ready)
     start = {x: k for k, x in enumerate(result)}
     open_ = [p for p in plain if 0 < start[p[0]] - start[p[1]] <= reach]
     for _ in range(len(open_) + 1):

@@ -74,6 +74,22 @@ def sole_match(pairs: DataFrame, key: str) -> DataFrame:
     return pairs.withColumn("__n", F.count("*").over(Window.partitionBy(key))).where("__n = 1").drop("__n")
 
 
+def sole_within_days(left: DataFrame, right: DataFrame, keys: list[str], days: int, left_date: str, right_date: str, key: str) -> DataFrame:
+    """Each left row with the only right row of equal keys so many days around it; rows with none or several are left out.
+
+    Right rows are counted by day first, and windows over the daily counts find left rows with one match.
+    So a key of very many rows on either side makes no pairs but those that stay.
+    """
+    number = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date"))
+    daily = right.groupBy(*keys, number(right_date).alias("__day")).agg(F.count("*").alias("__n"))
+    asked = left.select(*keys, number(left_date).alias("__day")).distinct().withColumn("__n", F.lit(0))
+    around = Window.partitionBy(*keys).orderBy("__day").rangeBetween(-days, days)
+    both = daily.withColumn("__asked", F.lit(False)).unionByName(asked.withColumn("__asked", F.lit(True)))
+    sole = both.withColumn("__all", F.sum("__n").over(around)).where("__asked and __all = 1").select(*keys, F.col("__day").alias("__left_day"))
+    ready = left.withColumn("__left_day", number(left_date)).join(sole, [*keys, "__left_day"], "left_semi").drop("__left_day")
+    return within_days(ready, right, keys, days, left_date, right_date)
+
+
 def near_names(names: DataFrame, others: DataFrame, *, most: int = 2, gram: int = 2) -> DataFrame:
     """(name, other, distance) at edit distance 1 to most, and 2 at least for names of up to three characters.
 

@@ -59,13 +59,13 @@ def common_opponents(spark, sf_dir):
     return resolve.common_opponents(s.where("fighter = 'S1'"), s.where("fighter = 'S2'"))
 
 
-@query(f"""{BOUTS_SQL}, m AS (SELECT x.bout_id, y.bout_id AS other_id, x.fighter, count(*) OVER (PARTITION BY x.bout_id) AS n FROM (SELECT * FROM sides WHERE org = 'org0') x JOIN (SELECT * FROM sides WHERE org = 'org1') y ON x.fighter = y.fighter AND abs(datediff('day', x.date, y.date)) <= 3 WHERE x.fighter LIKE 'C%')
+@query(f"""{BOUTS_SQL}, m AS (SELECT x.bout_id, y.bout_id AS other_id, x.fighter, count(*) OVER (PARTITION BY x.bout_id) AS n FROM (SELECT * FROM sides WHERE org = 'org0') x JOIN (SELECT * FROM sides WHERE org = 'org1') y ON x.fighter = y.fighter AND abs(datediff('day', x.date, y.date)) <= 3)
 SELECT bout_id, other_id, fighter FROM m WHERE n = 1""")
 def reciprocal_within_days(spark, sf_dir):
-    s = sides(spark, sf_dir).where("fighter like 'C%'")
+    s = sides(spark, sf_dir)
     x = s.where("org = 'org0'").select("fighter", "bout_id", "date")
     y = s.where("org = 'org1'").select("fighter", F.col("bout_id").alias("other_id"), F.col("date").alias("other_date"))
-    return resolve.sole_match(resolve.within_days(x, y, ["fighter"], 3, "date", "other_date"), "bout_id").select("bout_id", "other_id", "fighter")
+    return resolve.sole_within_days(x, y, ["fighter"], 3, "date", "other_date", "bout_id").select("bout_id", "other_id", "fighter")
 
 
 @query("""SELECT name, other, CAST(levenshtein(name, other) AS INTEGER) AS distance FROM (SELECT DISTINCT p_name AS name FROM part), (SELECT DISTINCT p_name AS other FROM part)

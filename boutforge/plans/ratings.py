@@ -74,17 +74,17 @@ def ripple_audit(spark, sf_dir):
     return rating.ripples(before, after, s.where(~early))
 
 
-_NATIONS_SQL = """x AS (SELECT c_nationkey AS w, s_nationkey AS l FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 48 AND l_returnflag = 'A' AND c_nationkey <> s_nationkey),
-edges AS (SELECT DISTINCT w AS winner, l AS loser FROM x WHERE (w * 7 + l * 3) % 3 = 0)"""
+_NATIONS_SQL = """x AS (SELECT c_nationkey AS w, s_nationkey AS l FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'A' AND c_nationkey <> s_nationkey),
+edges AS (SELECT DISTINCT w AS winner, l AS loser FROM x)"""
 
 
 @query(f"WITH RECURSIVE {_NATIONS_SQL}, reach AS (SELECT winner, loser FROM edges UNION SELECT r.winner, e.loser FROM reach r JOIN edges e ON r.loser = e.winner) SELECT 'all' AS division, e.winner, e.loser FROM edges e WHERE EXISTS (SELECT 1 FROM reach r WHERE r.winner = e.loser AND r.loser = e.winner)")
 def cyclic_edges(spark, sf_dir):
     from .testdata import table
 
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 48 and l_returnflag = 'A'").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     named = lines.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    e = named.select(F.lit("all").alias("division"), F.col("c_nationkey").alias("winner"), F.col("s_nationkey").alias("loser")).where("winner <> loser and (winner * 7 + loser * 3) % 3 = 0").distinct()
+    e = named.select(F.lit("all").alias("division"), F.col("c_nationkey").alias("winner"), F.col("s_nationkey").alias("loser")).where("winner <> loser").distinct()
     return headtohead.cyclic(e, ["division"])
 
 
@@ -96,14 +96,11 @@ def _latest(spark, sf_dir):
 
 @query()
 def head_to_head_order(spark, sf_dir):
-    """The top 40 of each division by wins, moved to agree with who beat whom last."""
-    top = wins_ranking(spark, sf_dir, "2002-01-01").where("rank <= 40")
-    names = top.select("division", F.col("fighter"))
-    e = _latest(spark, sf_dir).join(names.withColumnRenamed("fighter", "winner"), ["division", "winner"], "left_semi").join(names.withColumnRenamed("fighter", "loser"), ["division", "loser"], "left_semi")
-    return headtohead.reorder(top, e)
+    """Each division by wins, moved to agree with who beat whom last; tested against an order of all edges."""
+    return headtohead.reorder(wins_ranking(spark, sf_dir, "2002-01-01"), _latest(spark, sf_dir))
 
 
 @query(f"""{BOUTS_SQL}, {_EDGES}, l AS (SELECT division, winner, loser, date FROM (SELECT *, row_number() OVER (PARTITION BY division, least(winner, loser), greatest(winner, loser) ORDER BY date DESC, bout_id) AS p FROM edges) WHERE p = 1), {ranks_sql("top", "2002-01-01")}
-SELECT l.division, winner, loser, l.date, w.rank AS winner_rank, x.rank AS loser_rank FROM l JOIN (SELECT * FROM top WHERE rank <= 400) w ON l.division = w.division AND winner = w.fighter JOIN (SELECT * FROM top WHERE rank <= 400) x ON l.division = x.division AND loser = x.fighter WHERE w.rank > x.rank""", dates=("date",))
+SELECT l.division, winner, loser, l.date, w.rank AS winner_rank, x.rank AS loser_rank FROM l JOIN top w ON l.division = w.division AND winner = w.fighter JOIN top x ON l.division = x.division AND loser = x.fighter WHERE w.rank > x.rank""", dates=("date",))
 def head_to_head_violations(spark, sf_dir):
-    return headtohead.violations(wins_ranking(spark, sf_dir, "2002-01-01").where("rank <= 400"), _latest(spark, sf_dir))
+    return headtohead.violations(wins_ranking(spark, sf_dir, "2002-01-01"), _latest(spark, sf_dir))

@@ -110,3 +110,31 @@ def test_reorder_leaves_no_direct_contradiction_nearby(spark):
     e = spark.createDataFrame([("d", "C", "B", D(2020, 1, 1)), ("d", "F", "E", D(2020, 1, 2))], "division string, winner string, loser string, date date")
     out = headtohead.reorder(ranks, e).select("division", "fighter", F.col("new_rank").alias("rank"))
     assert headtohead.violations(out, e).count() == 0 and out.count() == 6
+
+
+def test_order_query_agrees_with_an_order_of_all_edges(spark):
+    from boutforge.plans import ratings, registry
+    from boutforge.plans.sequences import wins_ranking
+
+    sf = "/root/testdata/sf0.001"
+    ranks, edges = {}, {}
+    for r in wins_ranking(spark, sf, "2002-01-01").orderBy("division", "rank").collect():
+        ranks.setdefault(r.division, []).append(r.fighter)
+    for r in ratings._latest(spark, sf).orderBy("date", "winner", "loser").collect():
+        edges.setdefault(r.division, []).append((r.winner, r.loser, str(r.date)))
+    got = {}
+    for r in registry.QUERIES["head_to_head_order"](spark, sf).orderBy("division", "new_rank").collect():
+        got.setdefault(r.division, []).append(r.fighter)
+    assert got == {d: headtohead.consistent_order(order, edges.get(d, []), 3) for d, order in ranks.items()}
+
+
+def test_sole_matches_within_days(spark):
+    from boutforge.operators import resolve
+
+    rng = random.Random(6)
+    day = lambda: D(2020, 1, 1) + dt.timedelta(days=rng.randrange(200))
+    left = [(rng.choice("ab"), k, day()) for k in range(60)] + [("c", 99, D(2020, 1, 1))]
+    right = [(rng.choice("ab"), k, day()) for k in range(25)]
+    got = resolve.sole_within_days(spark.createDataFrame(left, "f string, x int, d date"), spark.createDataFrame(right, "f string, y int, e date"), ["f"], 3, "d", "e", "x").collect()
+    near = {x: [y for g, y, e in right if g == f and abs((e - d).days) <= 3] for f, x, d in left}
+    assert {(r.x, r.y) for r in got} == {(x, ys[0]) for x, ys in near.items() if len(ys) == 1}
