@@ -50,13 +50,15 @@ def patched(history: DataFrame, patches: DataFrame) -> DataFrame:
     row = F.struct(*(F.col(c).cast("string").alias(c) for c in FIELDS), F.lit(True).alias("alive"))
     old = history.join(by_fighter, "fighter", "left").withColumn("__p", F.coalesce("__p", none))
     adds = patches.where("type = 'add'").select("fighter", F.col("ord").alias("__at"), *FIELDS)
-    # what the history has become by the time of an addition decides whether it is needed
-    told = old.select("fighter", row.alias("__r"), "__p").join(adds.select("fighter", "__at", F.col("date").alias("__d"), F.col("opponent").alias("__o")), "fighter")
-    then = told.withColumn("__r", _folded(F.col("__r"), F.filter("__p", lambda p: p["ord"] < F.col("__at"))))
+    added = adds.join(by_fighter, "fighter", "left").withColumn("__p", F.coalesce("__p", none))
+    # what history and earlier additions have become by the time of an addition decides whether it is needed; an
+    # earlier one that wasn't needed has a row of its key beside it that fares alike
+    rows_so_far = old.select("fighter", row.alias("__r"), "__p", F.lit(-1).alias("__from")).unionByName(added.select("fighter", row.alias("__r"), "__p", F.col("__at").alias("__from")))
+    told = rows_so_far.join(adds.select("fighter", "__at", F.col("date").alias("__d"), F.col("opponent").alias("__o")), "fighter").where("__from < __at")
+    then = told.withColumn("__r", _folded(F.col("__r"), F.filter("__p", lambda p: (p["ord"] > F.col("__from")) & (p["ord"] < F.col("__at")))))
     there = then.where(F.col("__r.alive") & (F.col("__r.date") == F.col("__d")) & (F.col("__r.opponent") == F.col("__o"))).select("fighter", "__at")
-    first = F.row_number().over(Window.partitionBy("fighter", "date", "opponent").orderBy("__at"))
-    new = adds.join(there, ["fighter", "__at"], "left_anti").withColumn("__n", first).where("__n = 1").join(by_fighter, "fighter", "left")
-    later = F.filter(F.coalesce("__p", none), lambda p: p["ord"] > F.col("__at"))
+    new = added.join(there, ["fighter", "__at"], "left_anti")
+    later = F.filter("__p", lambda p: p["ord"] > F.col("__at"))
     rows = old.select("fighter", _folded(row, F.col("__p")).alias("r")).unionByName(new.select("fighter", _folded(row, later).alias("r")))
     return rows.where("r.alive").select("fighter", *(F.col(f"r.{c}").alias(c) for c in FIELDS))
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, headlines
@@ -58,24 +61,20 @@ def unposted(rows: DataFrame, posted: DataFrame, key: str) -> DataFrame:
     return rows.join(posted.select(key).distinct(), key, "left_anti").dropDuplicates([key])
 
 
-def post_once(rows: DataFrame, path: str, key: str, send) -> int:
-    """Send rows whose key isn't in the log at path, then log them; a repeated run sends nothing again.
+def post_once(rows: DataFrame, path: str, key: str, send: Callable[[Row], None]) -> int:
+    """Write rows whose key no batch under path has as a new batch, then send that batch; a repeated run sends nothing again.
 
-    The log is written before rows are sent, so after a failure a row may be missing but is never sent twice.
+    The batch is written before its rows are sent, so after a failure a row may be missing but is never sent twice.
     """
     spark = rows.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    before = spark.read.parquet(path) if there else spark.createDataFrame([], rows.select(key).schema)
-    new = unposted(rows, before, key).cache()
-    try:
-        n = new.count()
-        if n:
-            new.select(key).write.mode("append").parquet(path)
-            new.foreachPartition(lambda part: [send(r) for r in part])
-        return n
-    finally:
-        new.unpersist()
+    before = spark.read.schema(rows.schema).parquet(f"{path}/*") if there else spark.createDataFrame([], rows.schema)
+    batch = f"{path}/{uuid.uuid4().hex}"
+    unposted(rows, before, key).write.parquet(batch)
+    new = spark.read.schema(rows.schema).parquet(batch)
+    new.foreachPartition(lambda part: [send(r) for r in part])
+    return new.count()
 
 
 def markdown(rows: DataFrame, title: str, columns: list[str], order: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from boutforge.functions import classify, markup, names, scores
-from boutforge.operators import dedupe, resolve
+from boutforge.operators import dedupe, overrides, reports, resolve
 from boutforge.sources import feeds, sinks
 from boutforge.streaming import events
 
@@ -122,3 +122,31 @@ def test_late_rows_are_set_apart(spark):
     rows = spark.createDataFrame([(1, dt.datetime(2024, 1, 1)), (2, dt.datetime(2030, 1, 1)), (3, None)], "id int, ts timestamp")
     good, bad = events.split_late(rows, "ts", F.lit(dt.datetime(2024, 6, 1)))
     assert [r.id for r in good.collect()] == [1] and {r.id for r in bad.collect()} == {2, 3}
+
+
+def test_rows_are_posted_once(spark, tmp_path):
+    log, sent = str(tmp_path / "posted"), str(tmp_path / "sent")
+    (tmp_path / "sent").mkdir()
+
+    def send(row):
+        (tmp_path / "sent" / row.key).open("a").write("x")
+
+    rows = spark.createDataFrame([("a",), ("b",), ("a",)], "key string")
+    assert reports.post_once(rows, log, "key", send) == 2
+    assert reports.post_once(rows.union(spark.createDataFrame([("c",)], "key string")), log, "key", send) == 1
+    assert reports.post_once(rows, log, "key", send) == 0
+    assert {p.name: p.read_text() for p in (tmp_path / "sent").iterdir()} == {"a": "x", "b": "x", "c": "x"} and sent
+
+
+def test_added_rows_take_later_patches_only(spark):
+    history = [("f", "2020-01-01", "x", "win", "KO", "e", "1", None)]
+    patches = [
+        ("f", 1, "remove", "2020-01-01", "x", None, None, None, None, None, None),
+        ("f", 2, "add", "2020-01-01", "x", "loss", "判定", "e2", "3", None, None),
+        ("f", 3, "patch-date", "2020-01-01", "x", None, None, None, None, None, "2020-01-02"),
+        ("f", 4, "add", "2020-01-02", "x", "draw", "", "", "", None, None),
+        ("g", 5, "add", "2021-01-01", "y", "win", "TKO", "e3", "2", None, None),
+    ]
+    columns = "fighter string, date string, opponent string, result string, method string, event string, round string, weight_class string"
+    got = overrides.patched(spark.createDataFrame(history, columns), spark.createDataFrame(patches, columns.replace("date string, opponent", "ord int, type string, date string, opponent") + ", new_date string"))
+    assert {(r.fighter, r.date, r.opponent, r.result) for r in got.collect()} == {("f", "2020-01-02", "x", "loss"), ("g", "2021-01-01", "y", "win")}
