@@ -11,11 +11,12 @@ A document's set holds its distinct 5-word shingles (A-Z lower-cased, words ``[^
    compared with it on full sets (size ratios that cannot reach the threshold are left out, exactly).
 4. Links become components: tasks run union-find on what they have, then minimum labels spread by
    star contraction until nothing changes.
-5. A hub with all its partners makes a candidate group. The members of its largest component are joined
-   already; each other member is compared with all members, in cells of a block against a block, where
-   a task counts intersections and hands on only as many links as join what they join. So nothing is
-   lost, no pair is written out, and a group of k copies that resemble their hub costs k comparisons.
-   Groups don't chain: one holds no more than the documents that share a bucket with its hub.
+5. Hubs some of whose partners are not joined to them yet chain to candidate groups, through the partners
+   that they share. The members of a group's largest component are joined already; each other member is
+   compared with all members, in cells of a block against a block, where a task counts intersections and
+   hands on only as many links as join what they join. So nothing is lost, no pair is written out, and a
+   group of k copies that resemble their hub costs k comparisons.
+   Where a hub has reached all of its partners nothing chains.
 
 A pair at the threshold of 0.85 shares no band with probability (1 - 0.85**ROWS)**BANDS, 2e-9.
 
@@ -386,13 +387,23 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     fits = F.lit(100) * F.least("n", "hub_n") >= F.lit(percent) * F.greatest("n", "hub_n")
     links = tables.stored(verified(docs, stars.join(sizes, "hub").where(fits).select("hub", "other"), percent))
     found = components(links)
-    # whoever shares a bucket shares its hub, so a hub and its partners hold all candidate pairs of its buckets
-    everyone = stars.select(F.col("other").alias("doc_id"), F.col("hub").alias("grp")).unionByName(stars.select(F.col("hub").alias("doc_id"), F.col("hub").alias("grp")).distinct())
-    placed_in = everyone.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    counts = placed_in.groupBy("grp", "component").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max_by("component", F.struct("k", -F.col("component"))).alias("main"), F.sum("k").alias("all"), F.count("*").alias("parts"))
-    # a group of two has been compared, and one of a single component has nothing to join
-    mixed = counts.where("parts > 1 and all > 2")
-    members = placed_in.join(mixed, "grp").select("doc_id", "grp", (F.col("component") != F.col("main")).alias("outlier")).join(sizes.select(F.col("hub").alias("doc_id"), F.col("hub_n").alias("n")), "doc_id")
+    label = found.select(F.col("node").alias("doc_id"), "component")
+
+    def placed_in(groups: DataFrame) -> DataFrame:
+        return groups.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        # a group of two has been compared, and one of a single component has nothing to join
+        counts = rows.groupBy("grp", "component").agg(F.count("*").alias("k")).groupBy("grp")
+        return counts.agg(F.max_by("component", F.struct("k", -F.col("component"))).alias("main"), F.sum("k").alias("all"), F.count("*").alias("parts")).where("parts > 1 and all > 2")
+
+    # whoever shares a bucket shares its hub; hubs whose partners are not all joined chain to groups
+    stars_of = stars.select(F.col("other").alias("doc_id"), F.col("hub").alias("grp")).unionByName(stars.select(F.col("hub").alias("doc_id"), F.col("hub").alias("grp")).distinct())
+    open_ = stars.join(mixed(placed_in(stars_of)).select(F.col("grp").alias("hub")), "hub").select(F.col("hub").alias("a"), F.col("other").alias("b"))
+    group = components(open_)
+    # a group's smallest member is in no row of its own there
+    everyone = placed_in(group.select(F.col("node").alias("doc_id"), F.col("component").alias("grp")).unionByName(group.select(F.col("component").alias("doc_id"), F.col("component").alias("grp")).distinct()))
+    members = everyone.join(mixed(everyone), "grp").select("doc_id", "grp", (F.col("component") != F.col("main")).alias("outlier")).join(sizes.select(F.col("hub").alias("doc_id"), F.col("hub_n").alias("n")), "doc_id")
     more = tables.stored(verified_cells(docs, tables.stored(members), percent))
     if more.take(1):
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
