@@ -17,8 +17,8 @@ from .textblocks import mix, ranges, spans_hash
 
 _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in ".,;:!?"]] = True
-KEEP_CHUNKS = 1 << 21  # entries a worker keeps; then it starts anew
-KEEP_TOKENS = 1 << 24
+KEEP_CHUNKS = 1 << 19  # entries a worker keeps; then it starts anew
+KEEP_TOKENS = 1 << 22
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -8,6 +8,7 @@ forms a block of its own, so memory is bounded by that or by one row.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,10 +55,19 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+_release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def trim() -> None:
-    """Give back tables that one very long document has made larger than a block needs."""
+    """Give back what a batch has needed: tables that a very long document has made larger, and free memory of the allocators.
+
+    A worker outlives its tasks, and what it keeps is missing to the stages after.
+    """
     if "up" in _powers and len(_powers["up"]) > 2 * BLOCK_BYTES:
         _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if _release is not None:
+        _release(0)
 
 
 def text_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
