@@ -23,6 +23,23 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.z, c.z) A
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
 
 
+#: Every document goes through every order: its first failing filter there removes it.
+FILTER_AUDIT = """WITH l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS low FROM d),
+f AS (SELECT part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c,
+regexp_matches(t, '[#$%&*|]') AS d, coalesce(w.doc_id > low, false) AS e, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+g AS (SELECT part, good, toxic, count(*) AS n, CAST(a AS INT) + CAST(b AS INT) + CAST(c AS INT) + CAST(d AS INT) + CAST(e AS INT) AS fails,
+list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END) AS failed FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f), o AS (SELECT p.f || q.f || r.f || s.f || t.f AS filter_order FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.f, q.f, r.f, s.f, t.f])) = 5),
+u AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o), v AS (SELECT *, substr(filter_order, step, 1) AS f FROM u),
+h AS (SELECT g.*, filter_order, list_min(list_transform(failed, lambda y: strpos(filter_order, y))) AS gone FROM g, o),
+k AS (SELECT h.part, v.filter_order, v.step, v.f, CAST(sum(CASE WHEN gone IS NULL OR gone > step THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN gone = step THEN n ELSE 0 END) AS BIGINT) AS removed,
+CAST(sum(CASE WHEN gone < step AND list_contains(failed, v.f) THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN fails = 1 AND failed[1] = v.f THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+CAST(sum(CASE WHEN gone = step AND good THEN n ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN gone = step AND toxic THEN n ELSE 0 END) AS BIGINT) AS toxic_lost FROM h JOIN v USING (filter_order) GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM k"""
+
+
 def mixing_sql() -> str:
     """The fitting rounds and the factor's steps, one after another."""
     dims = mixing.DIMENSIONS
