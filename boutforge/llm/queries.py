@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, filter_audit, hilbert, kneser_ney, mixing, oracles, pii, rans, secrets, spans, superminhash, topk, toxicity
+from . import bpe, filter_audit, hilbert, kneser_ney, lexical, mixing, oracles, pii, rans, secrets, spans, superminhash, topk, toxicity
 from .tables import crc_bucket, read, shared_dir, text_or_empty
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -90,6 +90,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(spark, docs, sf_dir).select("doc_id", "held_out", "score", "predicted")
 
 
+def op12_max_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return filter_audit.audit(docs, read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
@@ -106,7 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_rans": op9_rans,
     "op10_toxicity": op10_toxicity,
+    "op12_max_tree": op12_max_tree,
     "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_superminhash": oracles.NEAR_DUPLICATES, "op5_mixing": oracles.mixing_sql(), "op6_topk": oracles.TOP_K, "op13_filter_audit": oracles.FILTER_AUDIT}
+ORACLE_SQL: dict[str, str] = {"op3_superminhash": oracles.NEAR_DUPLICATES, "op5_mixing": oracles.mixing_sql(), "op6_topk": oracles.TOP_K, "op12_max_tree": oracles.RANKED_DOCUMENTS, "op13_filter_audit": oracles.FILTER_AUDIT}
