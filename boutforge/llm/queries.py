@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, filter_audit, hilbert, kneser_ney, lexical, mixing, oracles, pii, rans, secrets, spans, superminhash, topk, toxicity
+from . import bpe, filter_audit, hilbert, kneser_ney, lexical, line_crf, mixing, oracles, pii, rans, secrets, spans, superminhash, topk, toxicity
 from .tables import crc_bucket, read, shared_dir, text_or_empty
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -90,6 +90,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(spark, docs, sf_dir).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality").where(crc_bucket("doc_id", 3) != 1)
+    scored = line_crf.score(docs, line_crf.train(docs, labels))
+    return scored.select("doc_id", (crc_bucket("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op12_max_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
 
@@ -110,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_rans": op9_rans,
     "op10_toxicity": op10_toxicity,
+    "op11_line_crf": op11_line_crf,
     "op12_max_tree": op12_max_tree,
     "op13_filter_audit": op13_filter_audit,
 }
