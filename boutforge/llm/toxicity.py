@@ -13,7 +13,8 @@ the character counts and the scores, covers every text.
 
 Defined cases: a null or empty text has no words, so its score is the model's intercept; without
 usable labels of both kinds the score is the share of label 1 among those there are (0.0 without any);
-label rows with a null doc_id or label are ignored, repeated ones count once by their highest label.
+label rows with a null doc_id or label are ignored, repeated ones count once by their highest label;
+rows that repeat a labelled doc_id are documents of their own, each learnt from and each scored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tables
@@ -39,6 +40,9 @@ KNOWN_BYTES = 16 << 20  # of restored words that a task keeps
 #: Channel costs, in nats.
 SUBSTITUTE, KEEP_SIGN, SHORTEN, KEEP_RUN, DROP_GAP, KEEP_GAP = 1.0, 8.0, 0.7, 3.0, 0.4, 2.5
 
+#: Among these the evidence that a word needs is chosen.
+EVIDENCE = (5.0, 7.0, 9.0)
+
 CLASSES = 43  # 0 ends a word; a-z; 16 for the bytes of other letters
 _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123] = np.arange(1, 27)
@@ -281,11 +285,31 @@ def fit(rows: list[tuple[int, list[int]]], n_features: int, *, steps: int = 400,
     return float(w[-1]), w[:-1]
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, evidence: float = 7.0) -> dict:
+def chosen_evidence(rows: list[tuple[bool, int, list[int]]], told: np.ndarray) -> float:
+    """Of EVIDENCE, that under which rows held back from the sample are likeliest when words and weights come from the rest.
+
+    rows: (held back, label, words by number); told: each word's evidence in the rest. Ties go to the stricter one.
+    """
+    seen, back = [r[1:] for r in rows if not r[0]], [r[1:] for r in rows if r[0]]
+    if len({y for y, _ in seen}) < 2 or not back:
+        return max(EVIDENCE)
+    best = (math.inf, max(EVIDENCE))
+    for e in sorted(EVIDENCE, reverse=True):
+        number = np.where(told > e, np.cumsum(told > e) - 1, -1)
+        listed = lambda part: [(y, number[x][number[x] >= 0].tolist()) for y, x in ((y, np.array(x, np.int64)) for y, x in part)]
+        bias, weights = fit(listed(seen), int((told > e).sum()))
+        z = np.array([bias + weights[x].sum() for _, x in listed(back)])
+        y = np.array([y for y, _ in back])
+        best = min(best, (float(np.logaddexp(0, np.where(y == 1, -z, z)).mean()), e), key=lambda found: found[0])
+    return best[1]
+
+
+def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, evidence: float | None = None) -> dict:
     """docs (doc_id, text): all texts; labels (doc_id, toxic): the rows to learn from, at most max_labelled of them.
 
     Features are all words of the sample whose spread over the two labels gives that much evidence: the log
     likelihood ratio against a word that goes with neither. With fewer texts than that takes, no word is one.
+    How much evidence, unless it is given, is chosen within the sample: a quarter of it, by hash, is held back.
     """
     spark = docs.sparkSession
     counts = character_counts(docs)
@@ -294,49 +318,62 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, evi
     bound = labelled.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(max_labelled).agg(F.max("h")).first()[0]
     # dealt anew, as reading words takes longer than reading files
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sample = tables.stored(chosen.where(F.col("h") <= (bound if bound is not None else 0)).repartition(parts, "h").select("toxic", "text"))
+    back = (F.pmod(F.col("h"), F.lit(4)) == 0).cast("long")
+    sample = tables.stored(chosen.where(F.col("h") <= (bound if bound is not None else 0)).repartition(parts, "h").select("toxic", "text", back.alias("back")))
     shared = spark.sparkContext.broadcast(counts)  # fixed length
 
     def count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(CharacterModel(shared.value))
         found: dict[bytes, list[int]] = {}
         for batch in batches:
-            label = batch.column(0).to_numpy()
+            place = batch.column(0).to_numpy() + 2 * batch.column(2).to_numpy()
             for a, b, data, offsets in text_blocks(batch.column(1)):
                 begin, last, doc, h, restored, raw = reader.read(data, offsets)
                 _, one = np.unique(np.stack([doc, h.view(np.int64)]), axis=1, return_index=True) if len(h) else (None, [])
                 pairs = {(int(doc[k]), raw[begin[k] : last[k]]) for k in one}
                 pairs |= {(d, w) for d, ws in restored for w in ws}
                 for d, w in pairs:
-                    found.setdefault(w, [0, 0])[label[a:b][d]] += 1
+                    found.setdefault(w, [0, 0, 0, 0])[place[a:b][d]] += 1
         some = list(found)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([found[w][0] for w in some], pa.int64()), pa.array([found[w][1] for w in some], pa.int64())], names=["word", "neg", "pos"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), *(pa.array([found[w][k] for w in some], pa.int64()) for k in range(4))], names=["word", "neg", "pos", "neg_back", "pos_back"])
 
-    totals = sample.agg(F.count("*"), F.sum("toxic")).first()
-    n, p = int(totals[0]), int(totals[1] or 0)
+    totals = sample.agg(F.count("*"), F.sum("toxic"), F.sum("back"), F.sum(F.col("back") * F.col("toxic"))).first()
+    n, p, n_back, p_back = (int(x or 0) for x in totals)
     spec = {"counts": counts, "words": [], "weights": np.zeros(0), "bias": -math.inf if not p else math.inf if p == n else math.log(p / (n - p))}
     if not p or p == n:
         return spec
-    by_word = sample.mapInArrow(count_words, "word binary, neg long, pos long").groupBy("word").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    rate = p / n
-    share = lambda part, base: F.when(part > 0, part * F.log(part / ((F.col("pos") + F.col("neg")) * F.lit(base)))).otherwise(0.0)
-    told = by_word.where(share(F.col("pos"), rate) + share(F.col("neg"), 1 - rate) > evidence)
-    features = [bytes(r[0]) for r in told.orderBy("word").select("word").collect()]  # of at most max_labelled texts
-    if not features:
+    summed = [F.sum(c).alias(c) for c in ("neg", "pos", "neg_back", "pos_back")]
+    by_word = sample.mapInArrow(count_words, "word binary, neg long, pos long, neg_back long, pos_back long").groupBy("word").agg(*summed)
+
+    def told(neg: Column, pos: Column, rate: float) -> Column:
+        share = lambda part, base: F.when(part > 0, part * F.log(part / ((pos + neg) * F.lit(base)))).otherwise(0.0)
+        return share(pos, rate) + share(neg, 1 - rate)
+
+    seen = told(F.col("neg"), F.col("pos"), (p - p_back) / max(1, n - n_back)) if 0 < p - p_back < n - n_back else F.lit(0.0)
+    both = told(F.col("neg") + F.col("neg_back"), F.col("pos") + F.col("pos_back"), p / n)
+    least = min(EVIDENCE) if evidence is None else evidence
+    listed_words = by_word.select("word", seen.alias("seen"), both.alias("told")).where(F.greatest("seen", "told") > least).orderBy("word").collect()  # of at most max_labelled texts
+    if not listed_words:
         return spec
-    listed = spark.sparkContext.broadcast(features)  # words of at most max_labelled texts
+    shared_words = spark.sparkContext.broadcast([bytes(r.word) for r in listed_words])  # words of at most max_labelled texts
 
     def present(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(shared.value, listed.value)
+        finder = Finder(shared.value, shared_words.value)
         for batch in batches:
             for a, b, data, offsets in text_blocks(batch.column(1)):
                 doc, feature = finder.find(data, offsets)
                 found = np.split(feature, np.searchsorted(doc, np.arange(1, b - a)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array([x.tolist() for x in found], pa.list_(pa.int64()))], names=["toxic", "features"])
-
-    rows = sorted((int(y), list(x)) for y, x in sample.mapInArrow(present, "toxic long, features array<long>").collect())  # at most max_labelled short rows
-    bias, weights = fit(rows, len(features))
-    return spec | {"words": features, "weights": weights, "bias": bias}
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a), batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array([x.tolist() for x in found], pa.list_(pa.int64()))], names=["back", "toxic", "features"])
+
+    rows = sorted((bool(r.back), int(r.toxic), list(r.features)) for r in sample.mapInArrow(present, "back long, toxic long, features array<long>").collect())  # at most max_labelled short rows
+    if evidence is None:
+        evidence = chosen_evidence(rows, np.array([r.seen for r in listed_words]))
+    number = {k: i for i, k in enumerate(k for k, r in enumerate(listed_words) if r.told > evidence)}
+    spec["evidence"] = evidence
+    if not number:
+        return spec
+    bias, weights = fit(sorted((y, [number[k] for k in x if k in number]) for _, y, x in rows), len(number))
+    return spec | {"words": [bytes(listed_words[k].word) for k in number], "weights": weights, "bias": bias}
 
 
 class Finder:

@@ -350,11 +350,22 @@ def test_toxicity_restores_and_learns(spark):
     tests = {1: "the 1d1ot with stone", 2: "the river s t u p i d table", 3: "the stuuuupid and", 4: "the river and stone", 5: None, 6: "w.o.r.t.h.l.e.s.s the"}
     got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(tests.items()), "doc_id long, text string").withColumn("score", F.lit("x")), model).collect()}
     assert all(got[k] >= 0.3 for k in (1, 2, 3, 6)) and all(got[k] < 0.3 for k in (4, 5))
+    assert model["evidence"] in toxicity.EVIDENCE
+    long = docs.limit(1).withColumn("text", F.lit("the river " * 100_000 + "1d1ot"))
+    assert [r.score >= 0.3 for r in toxicity.score(long.union(long), model).collect()] == [True, True]
     none = toxicity.train(docs, marks.limit(0))
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_evidence_is_chosen_within_the_sample():
+    """A word of one row in five that tells all: stricter is as good, so the strictest wins; one that only the least admits makes the least likeliest."""
+    rows = [(k % 4 == 0, int(k % 5 == 0), [0] if k % 5 == 0 else [1]) for k in range(400)]
+    assert toxicity.chosen_evidence(rows, np.array([100.0, 100.0])) == 9.0
+    assert toxicity.chosen_evidence(rows, np.array([6.0, 6.0])) == 5.0
+    assert toxicity.chosen_evidence([(False, 1, [0])], np.array([6.0])) == 9.0
+
+
 def test_forms_of_disguise():
     plain = "the and with reading stone onion river table idiot stupid worthless loser pathetic trash moron scum"
     counts = np.zeros(toxicity.CLASSES**3, np.int64)
@@ -422,7 +433,7 @@ def test_pipeline_stages(spark):
     start, clean, unique, redacted, mixed, tokens = seen
     scores = {r.doc_id: r.score for r in queries.op10_toxicity(spark, sf).collect()}
     assert set(clean.doc_id) == {i for i in start.doc_id if scores[i] < queries.THRESHOLD}
-    _, label = brute_components(dict(zip(clean.doc_id, clean.text, strict=True)))
+    _, label = brute_components(dict(zip(clean.doc_id, clean.text, strict=True)), percent=80)
     assert set(unique.doc_id) == {i for i in clean.doc_id if label[i] == i}
     assert set(redacted.doc_id) == set(unique.doc_id) and not redacted.text.str.contains(r"[a-z0-9]@[a-z0-9]+\.example").any()
     assert set(mixed.doc_id) <= set(redacted.doc_id) and set(tokens.doc_id) == set(mixed.doc_id)
