@@ -17,12 +17,16 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: documents predicted toxic go."""
+    """Operator 10: documents predicted toxic go.
+
+    A null or empty text has no words and stays unless most labelled documents are toxic; each row of a repeated
+    or null doc_id is judged by its own text; no documents give none.
+    """
     return toxicity_scores(spark, docs.select(*COLUMNS), sf_dir).where("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: of each group the document of smallest doc_id stays; one without doc_id is in no group.
+    """Operator 3 at a similarity of 0.8: of each group the document of smallest doc_id stays; one without doc_id is in no group.
 
     Rows that repeat a doc_id are one document, so one of them stays: that of the largest text, as compared.
     """
@@ -30,12 +34,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         largest = F.max_by(F.struct(*COLUMNS), F.struct(F.coalesce("text", F.lit("")), *(c for c in COLUMNS if c != "doc_id")))
         single = docs.where("doc_id is not null").groupBy("doc_id").agg(largest.alias("row")).select("row.*")
         docs = single.unionByName(docs.where("doc_id is null").select(*COLUMNS))
-    kept = superminhash.near_duplicates(docs.select("doc_id", "text"), percent=superminhash.PERCENT).where("kept").select("doc_id")
+    kept = superminhash.near_duplicates(docs.select("doc_id", "text"), percent=80).where("kept").select("doc_id")
     return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: each span of personal data gives way to its kind in brackets; n_chars follows."""
+    """Operator 4: each span of personal data gives way to its kind in brackets; n_chars follows.
+
+    A null text stays null with its n_chars, and so does an n_chars where nothing was found; every row stays.
+    """
     found = pii.find(docs.select(*COLUMNS), out="__pii")
     clean = F.when(F.col("text").isNotNull(), pii.redacted(F.col("text"), F.col("__pii")))
     changed = F.size("__pii") > 0
@@ -43,12 +50,16 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: documents are drawn by the probabilities that bring sources, languages and topics to target."""
+    """Operator 5: documents are drawn by the probabilities that bring sources, languages and topics to target.
+
+    The draw is a hash of doc_id, so rows that repeat one are drawn alike where they are of one cell; null
+    sources and languages are cells like others; a null or empty text weighs one token.
+    """
     return mixing.mix(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: each text's token ids."""
+    """Operator 1: each text's token ids; a null or empty text has none, and every row stays."""
     return bpe.encode(docs.select(*COLUMNS), TOKENIZER).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
