@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from . import tables
 from .chunks import ChunkEncoder, Vocabulary
-from .textblocks import ranges, text_blocks, trim
+from .textblocks import giving_back, ranges, text_blocks, trim
 
 #: Fixed value: the public pattern by which byte-level BPE splits a text before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -180,6 +180,7 @@ def encode(docs: DataFrame, tokenizer_path: str, *, text: str = "text", ids: str
 
     The tokenizer file is read on the workers, so its path must exist there.
     """
+    tables.small_batches(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name not in (ids, decoded)]
     outputs = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(decoded, T.StringType(), False)] if decoded else [])
     schema = T.StructType(kept + outputs)
@@ -197,8 +198,9 @@ def encode(docs: DataFrame, tokenizer_path: str, *, text: str = "text", ids: str
                     columns.append(decoded_texts(vocabulary, tokens, bounds))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
                 trim()
+        encoder.clear()
 
-    return docs.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text}`").cast("string").alias(source)).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text}`").cast("string").alias(source)).mapInArrow(giving_back(run), schema)
 
 
 def decode(tokens: DataFrame, tokenizer_path: str, *, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -217,4 +219,4 @@ def decode(tokens: DataFrame, tokenizer_path: str, *, ids: str = "ids", text: st
             columns = [batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, decoded_texts(vocabulary, values, bounds)], names=schema.names)
 
-    return tokens.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{ids}`").cast("array<int>").alias(source)).mapInArrow(run, schema)
+    return tokens.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{ids}`").cast("array<int>").alias(source)).mapInArrow(giving_back(run), schema)

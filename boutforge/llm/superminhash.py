@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tables
-from .textblocks import hashed_words, mix, mix_int, ranges, text_blocks, trim
+from .textblocks import giving_back, hashed_words, mix, mix_int, ranges, text_blocks, trim
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 42, 6
@@ -167,7 +167,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 )
             trim()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(giving_back(run), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def _set_at(column: pa.Array, row: int) -> np.ndarray:
@@ -239,8 +239,8 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             yield _links(found)
 
     fields = ["hub", "part", "role"]
-    texts = docs.join(wanted, "doc_id").select("doc_id", "text", "roles").mapInArrow(_dealt(fields), "hub long, part long, role int, doc_id long, shingles binary")
-    return texts.repartition("hub", "part").sortWithinPartitions("hub", "part", "role").mapInArrow(compare, "a long, b long")
+    texts = docs.join(wanted, "doc_id").select("doc_id", "text", "roles").mapInArrow(giving_back(_dealt(fields)), "hub long, part long, role int, doc_id long, shingles binary")
+    return texts.repartition("hub", "part").sortWithinPartitions("hub", "part", "role").mapInArrow(giving_back(compare), "a long, b long")
 
 
 def _joined(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -312,8 +312,8 @@ def verified_cells(docs: DataFrame, members: DataFrame, percent: int) -> DataFra
                     yield from flush()
         yield from flush()
 
-    texts = docs.join(roles, "doc_id").select("doc_id", "text", "roles").mapInArrow(_dealt(["grp", "i", "j", "side"]), "grp long, i int, j int, side int, doc_id long, shingles binary")
-    return texts.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side").mapInArrow(compare, "a long, b long")
+    texts = docs.join(roles, "doc_id").select("doc_id", "text", "roles").mapInArrow(giving_back(_dealt(["grp", "i", "j", "side"])), "grp long, i int, j int, side int, doc_id long, shingles binary")
+    return texts.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side").mapInArrow(giving_back(compare), "a long, b long")
 
 
 class _Block:
@@ -356,7 +356,7 @@ def components(links: DataFrame) -> DataFrame:
     node's larger neighbours are tied to its smallest one, then its smaller ones, until only stars are
     left. Neighbour minima are aggregates with partial sums, so a node of very many links is no bottleneck.
     """
-    links = tables.stored(links.select("a", "b").where("a <> b").mapInArrow(_local_union, "a long, b long").distinct())
+    links = tables.stored(links.select("a", "b").where("a <> b").mapInArrow(giving_back(_local_union), "a long, b long").distinct())
     while True:
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

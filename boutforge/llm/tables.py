@@ -65,6 +65,13 @@ def shuffle_files_dropped(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of the session hold few bytes, as texts may be long: rows that go to a worker wait in the JVM and there."""
+    for k, v in WHILE_STORED.items():
+        if ".arrow." in k:
+            spark.conf.set(k, v)
+
+
 def unused(columns: Iterable[str]) -> str:
     """A prefix that no column has, in any case of letters: names that begin with it clash with none."""
     prefix = "__"

@@ -9,6 +9,8 @@ forms a block of its own, so memory is bounded by that or by one row.
 from __future__ import annotations
 
 import ctypes
+import functools
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,6 +72,21 @@ def trim() -> None:
         _release(0)
 
 
+def giving_back(task):
+    """A worker's task that leaves nothing behind: what it has built is dropped, and free memory given back, when it ends.
+
+    Idle workers wait for later stages beside the JVM, so what they hold counts against whatever runs then.
+    """
+
+    @functools.wraps(task)
+    def run(*batches):
+        yield from task(*batches)
+        gc.collect()
+        trim()
+
+    return run
+
+
 def text_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, end row, bytes, offsets) of whole documents; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

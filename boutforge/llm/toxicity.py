@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tables
-from .textblocks import LOWER, spans_hash, text_blocks, trim, words
+from .textblocks import LOWER, giving_back, spans_hash, text_blocks, trim, words
 
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -262,7 +262,7 @@ def character_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.list_(pa.int64()))], names=["slice", "n"])
 
     schema = "slice int, n array<long>"
-    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, schema).repartition(slices, "slice").mapInArrow(add, schema)
+    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(giving_back(count), schema).repartition(slices, "slice").mapInArrow(giving_back(add), schema)
     found = np.zeros(size, np.int64)
     for k, row in rows.collect():  # 16 rows of fixed length
         found[cuts[k] : cuts[k + 1]] += np.array(row, np.int64)
@@ -343,7 +343,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, evi
     if not p or p == n:
         return spec
     summed = [F.sum(c).alias(c) for c in ("neg", "pos", "neg_back", "pos_back")]
-    by_word = sample.mapInArrow(count_words, "word binary, neg long, pos long, neg_back long, pos_back long").groupBy("word").agg(*summed)
+    by_word = sample.mapInArrow(giving_back(count_words), "word binary, neg long, pos long, neg_back long, pos_back long").groupBy("word").agg(*summed)
 
     def told(neg: Column, pos: Column, rate: float) -> Column:
         share = lambda part, base: F.when(part > 0, part * F.log(part / ((pos + neg) * F.lit(base)))).otherwise(0.0)
@@ -365,7 +365,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, evi
                 found = np.split(feature, np.searchsorted(doc, np.arange(1, b - a)))
                 yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a), batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array([x.tolist() for x in found], pa.list_(pa.int64()))], names=["back", "toxic", "features"])
 
-    rows = sorted((bool(r.back), int(r.toxic), list(r.features)) for r in sample.mapInArrow(present, "back long, toxic long, features array<long>").collect())  # at most max_labelled short rows
+    rows = sorted((bool(r.back), int(r.toxic), list(r.features)) for r in sample.mapInArrow(giving_back(present), "back long, toxic long, features array<long>").collect())  # at most max_labelled short rows
     if evidence is None:
         evidence = chosen_evidence(rows, np.array([r.seen for r in listed_words]))
     number = {k: i for i, k in enumerate(k for k, r in enumerate(listed_words) if r.told > evidence)}
@@ -402,6 +402,7 @@ class Finder:
 
 def score(docs: DataFrame, spec: dict, *, text: str = "text", out: str = "score") -> DataFrame:
     """docs with the score of each text (0 to 1); a column already named so is replaced."""
+    tables.small_batches(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name != out]
     names = [f.name for f in kept]
     shared = docs.sparkSession.sparkContext.broadcast(spec)  # counts of fixed length, words of at most max_labelled texts
@@ -419,4 +420,4 @@ def score(docs: DataFrame, spec: dict, *, text: str = "text", out: str = "score"
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(names))), pa.array(p)], names=[*names, out])
             trim()
 
-    return docs.select(*(F.col(f"`{n}`") for n in names), F.col(f"`{text}`").cast("string").alias(tables.unused(docs.columns) + "text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{n}`") for n in names), F.col(f"`{text}`").cast("string").alias(tables.unused(docs.columns) + "text")).mapInArrow(giving_back(run), schema)
