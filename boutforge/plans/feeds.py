@@ -44,8 +44,11 @@ def digest_topics(spark, sf_dir):
     return feed.digest(_clusters(spark, sf_dir), [F.asc("user_id")], good=40, least=20, enough=8, cap=12)
 
 
-@query("""WITH old AS (SELECT event_id, ts, props, TIMESTAMP '2024-01-15 00:00:00' AS first_seen FROM events WHERE ts < TIMESTAMP '2024-01-15' AND event_id % 3 = 0), fresh AS (SELECT event_id, ts, props FROM events WHERE ts >= TIMESTAMP '2024-01-10')
-SELECT * FROM (SELECT * FROM old UNION ALL SELECT event_id, ts, props, TIMESTAMP '2024-01-31 00:00:00' FROM fresh WHERE event_id NOT IN (SELECT event_id FROM old)) ORDER BY ts DESC, event_id LIMIT 5000""")
+ARCHIVE_SQL = """WITH old AS (SELECT event_id, ts, props, TIMESTAMP '2024-01-15 00:00:00' AS first_seen FROM events WHERE ts < TIMESTAMP '2024-01-15' AND event_id % 3 = 0), fresh AS (SELECT event_id, ts, props FROM events WHERE ts >= TIMESTAMP '2024-01-10')
+SELECT * FROM (SELECT * FROM old UNION ALL SELECT event_id, ts, props, TIMESTAMP '2024-01-31 00:00:00' FROM fresh WHERE event_id NOT IN (SELECT event_id FROM old)) ORDER BY ts DESC, event_id LIMIT 5000"""
+
+
+@query(ARCHIVE_SQL)
 def archive_append(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "ts", "props")
     old = events.where("ts < timestamp_ntz '2024-01-15' and event_id % 3 = 0").withColumn("first_seen", F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00'"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import events as ops
+from ..streaming import timers
 from .registry import query
 from .testdata import table
 
@@ -42,3 +43,30 @@ def stream_purchases(spark, sf_dir):
     clicks = _stream(spark, sf_dir).where("event_type = 'click'").select("event_id", "user_id", "ts")
     buys = _stream(spark, sf_dir).where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), "user_id", F.col("ts").alias("bought"))
     return ops.run_append(ops.joined(clicks, buys, "user_id", "ts", "bought", "60 days", "2 DAYS").select("event_id", "purchase_id"), "purchases")
+
+
+REMEMBERED, STAGES = "7 DAY", [("article", 24), ("old", 48), ("gone", 168)]
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT user_id, min(ts) AS at FROM events GROUP BY user_id UNION ALL SELECT s.user_id, (SELECT min(e.ts) FROM events e WHERE e.user_id = s.user_id AND e.ts >= s.at + INTERVAL {REMEMBERED}) FROM s WHERE s.at IS NOT NULL)
+SELECT s.user_id, CAST(epoch_us(s.at) AS BIGINT) AS first_seen, min(e.event_id) AS event_id FROM s JOIN events e ON e.user_id = s.user_id AND e.ts = s.at GROUP BY ALL""")
+def stream_first_sightings(spark, sf_dir):
+    """A user's first event, and again the first one a week or more after the last first one; state ends with that week."""
+    rows = _stream(spark, sf_dir).withWatermark("ts", "10 minutes").select("user_id", "ts", F.unix_micros("ts").alias("at"), F.col("event_id").alias("id"))
+    seen = timers.with_state(rows, "user_id", timers.FirstSightings(168 * timers.HOUR), "key long, at long, id long")
+    return ops.run_append(seen, "sightings").toDF("user_id", "first_seen", "event_id")
+
+
+@query("""WITH RECURSIVE n AS (SELECT event_type || '/' || props AS link, ts, event_type IN ('signup', 'purchase') AS flash FROM events),
+s AS (SELECT link, min(ts) AS at FROM n GROUP BY link UNION ALL SELECT s.link, (SELECT min(n.ts) FROM n WHERE n.link = s.link AND n.ts >= s.at + INTERVAL 7 DAY) FROM s WHERE s.at IS NOT NULL),
+f AS (SELECT s.link, s.at, bool_or(n.flash) AS flash FROM s JOIN n ON n.link = s.link AND n.ts = s.at GROUP BY ALL), l AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events)
+SELECT link, CASE WHEN flash THEN 'flash' ELSE 'article' END AS stage, CAST(epoch_us(f.at) AS BIGINT) AS since FROM f
+UNION ALL SELECT link, 'article', CAST(epoch_us(f.at + INTERVAL 24 HOUR) AS BIGINT) FROM f, l WHERE flash AND f.at + INTERVAL 24 HOUR <= mark
+UNION ALL SELECT link, 'old', CAST(epoch_us(f.at + INTERVAL 48 HOUR) AS BIGINT) FROM f, l WHERE f.at + INTERVAL 48 HOUR <= mark
+UNION ALL SELECT link, 'gone', CAST(epoch_us(f.at + INTERVAL 168 HOUR) AS BIGINT) FROM f, l WHERE f.at + INTERVAL 168 HOUR <= mark""")
+def stream_news_stages(spark, sf_dir):
+    """Flash news of a link turns into an article after a day, leaves the feed after two and is forgotten after seven."""
+    link = F.concat_ws("/", "event_type", "props")
+    rows = _stream(spark, sf_dir).withWatermark("ts", "10 minutes").select(link.alias("link"), "ts", F.unix_micros("ts").alias("at"), F.col("event_type").alias("kind"))
+    stages = timers.with_state(rows, "link", timers.NewsStages(["signup", "purchase"], STAGES), "key string, stage string, at long")
+    return ops.run_append(stages, "stages").toDF("link", "stage", "since")

@@ -5,28 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .versions import Versions, stamp  # noqa: F401
+
 
 def write_snapshot(rows: DataFrame, folder: str, date: str, changed: bool) -> None:
-    """Replace the latest snapshot, and keep a dated one where something changed."""
-    rows.write.mode("overwrite").parquet(f"{folder}/latest")
-    if changed:
-        rows.write.mode("overwrite").parquet(f"{folder}/archive/snapshot_date={date}")
-
-
-def promote(fresh: DataFrame, previous: DataFrame, folder: str, least: float = 0.5) -> bool:
-    """Write fresh rows unless they are at most half of the previous ones."""
-    n, before = fresh.count(), previous.count()
-    if before and n <= least * before:
-        return False
-    fresh.write.mode("overwrite").parquet(folder)
-    return True
-
-
-def stamp(rows: DataFrame) -> str:
-    """A content hash that doesn't depend on order: the sum of row hashes and their number."""
-    h = F.xxhash64(F.to_json(F.struct(*sorted(rows.columns))))
-    row = rows.agg(F.count("*"), F.sum(F.pmod(h, F.lit(1 << 40)))).first()
-    return f"{row[0]}-{row[1] or 0:x}"
+    """A new version of the snapshot, kept as that date's where something changed; earlier ones stay readable."""
+    Versions(rows.sparkSession, folder).write(rows, day=date if changed else None)
+
+
+def promote(fresh: DataFrame, folder: str, least: float = 0.5) -> bool:
+    """A new version of fresh rows unless they are at most half of the last version's."""
+    return Versions(fresh.sparkSession, folder).promote(fresh, least)
 
 
 def serve_by_key(rows: DataFrame, key: str, folder: str, buckets: int = 64) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from boutforge.functions import classify, markup, names, scores
 from boutforge.operators import dedupe, overrides, reports, resolve
-from boutforge.sources import feeds, sinks
+from boutforge.sources import feeds, sinks, versions
 from boutforge.streaming import events
 
 
@@ -109,13 +109,15 @@ def test_agreeing_resolution_and_denial(spark):
 
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(k, k * 2) for k in range(10)], "k long, v long")
-    assert sinks.promote(rows, rows.limit(0), str(tmp_path / "p")) and not sinks.promote(rows.limit(5), rows, str(tmp_path / "p"))
-    assert spark.read.parquet(str(tmp_path / "p")).count() == 10
+    assert sinks.promote(rows, str(tmp_path / "p")) and not sinks.promote(rows.limit(5), str(tmp_path / "p")) and sinks.promote(rows.limit(6), str(tmp_path / "p"))
+    assert [r.n for r in versions.Versions(spark, str(tmp_path / "p")).history()] == [10, 6]
     assert sinks.stamp(rows) == sinks.stamp(rows.orderBy(F.desc("k"))) != sinks.stamp(rows.limit(9))
     sinks.serve_by_key(rows, "k", str(tmp_path / "s"), 4)
     assert sinks.served(spark, str(tmp_path / "s"), "k", 7, 4).first().v == 14
     sinks.write_snapshot(rows, str(tmp_path / "w"), "2024-01-01", True)
-    assert spark.read.parquet(str(tmp_path / "w" / "archive")).count() == 10
+    sinks.write_snapshot(rows.limit(3), str(tmp_path / "w"), "2024-01-02", False)
+    kept = versions.Versions(spark, str(tmp_path / "w"))
+    assert kept.read().count() == 3 and kept.read(day="2024-01-05").count() == 10 and kept.read(day="2023-12-31") is None
 
 
 def test_late_rows_are_set_apart(spark):
