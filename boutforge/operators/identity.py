@@ -74,21 +74,21 @@ def _one_event(a: Column, b: Column) -> Column:
 
 
 def repeated_bouts(rows: DataFrame, days: int = 1) -> DataFrame:
-    """One row for each bout of rows (ord long, fighter, opponent, date, event, source, title), with where else it is told.
+    """One row for each bout of rows (ord: anything with an order, fighter, opponent, date, event, source, title), with where else it is told.
 
     Opponents and events are compared as given (normal forms). First, equal days are one bout, told by the first row.
     Then a row up to ``days`` days from an earlier one of that opponent joins it, where one event's name holds the
     other's; a row that has joined another attracts none itself. A row without a date joins the first dated bout of
     that opponent and event, and rows that have none stay. A bout keeps its first dated row's ord, date and event and
-    the first title there is. Rows without an opponent are never joined. ``also_from`` lists the other sources.
+    the first title there is. Rows without an opponent are never joined, rows without ord are left out. ``also_from`` lists the other sources.
     """
-    clean = rows.withColumns({"event_key": F.lower(F.regexp_replace(F.coalesce("event", F.lit("")), r"\s+", "")), "day": F.datediff("date", F.lit("1970-01-01").cast("date"))})
+    clean = rows.where("ord is not null").withColumns({"event_key": F.lower(F.regexp_replace(F.coalesce("event", F.lit("")), r"\s+", "")), "day": F.datediff("date", F.lit("1970-01-01").cast("date"))})
     keys = ["fighter", "opponent"]
     known = clean.where("opponent is not null")
     told = F.array_sort(F.collect_list(F.struct("ord", "source", "title")))  # one bout's tellings
     same_day = checkpointed(known.where("day is not null").groupBy(*keys, "day").agg(F.min_by(F.struct("ord", "date", "event", "event_key"), "ord").alias("h"), told.alias("told")).select(*keys, "day", "h.*", "told"))
     # days of one opponent in a row: each has a neighbour before and after at most for each day of distance
-    state = same_day.select(*keys, "day", "ord", "event_key", F.lit(None).cast("long").alias("head"))
+    state = same_day.select(*keys, "day", "ord", "event_key", F.lit(None).cast(rows.schema["ord"].dataType).alias("head"))
     w = Window.partitionBy(*keys).orderBy("day").rangeBetween(-days, days)
     while True:
         near = F.collect_list(F.struct("ord", "day", "event_key", "head")).over(w)  # 2 * days + 1 at most

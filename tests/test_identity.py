@@ -110,3 +110,10 @@ def test_repeats_equal_one_row_after_another(spark):
     got = {(r.ord, r.date, r.event, r.source, r.title, tuple(r.also_from)) for r in identity.repeated_bouts(frame).collect()}
     assert got == told_once(rows)
     assert identity.repeated_bouts(frame.limit(0)).count() == 0
+
+
+def test_roster_of_the_tables(spark):
+    from boutforge.plans import identities
+
+    rows = [tuple(r) for r in identities.roster(spark, "/root/testdata/sf0.001").collect()]
+    assert dict(tuple(r) for r in identities.roster_entities(spark, "/root/testdata/sf0.001").collect()) == united(rows)
