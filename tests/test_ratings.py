@@ -138,3 +138,21 @@ def test_sole_matches_within_days(spark):
     got = resolve.sole_within_days(spark.createDataFrame(left, "f string, x int, d date"), spark.createDataFrame(right, "f string, y int, e date"), ["f"], 3, "d", "e", "x").collect()
     near = {x: [y for g, y, e in right if g == f and abs((e - d).days) <= 3] for f, x, d in left}
     assert {(r.x, r.y) for r in got} == {(x, ys[0]) for x, ys in near.items() if len(ys) == 1}
+
+
+def test_parts_of_a_change_sum_to_it(spark):
+    from boutforge.operators import attribution
+
+    ranking = lambda rows: spark.createDataFrame(rows, "division string, fighter string, rating double, fights int, rank int")
+    before = ranking([("d", "a", 1500.0, 4, 1), ("d", "b", 1490.0, 9, 2), ("d", "c", 1480.0, 1, 3), ("d", "same", 1300.0, 5, 4), ("d", "gone", 1200.0, 5, 5)])
+    after = ranking([("d", "b", 1520.0, 10, 1), ("d", "a", 1497.0, 4, 2), ("d", "new", 1490.0, 3, 3), ("d", "c", 1480.0, 1, 3), ("d", "same", 1300.0, 5, 4)])
+    moves = [("k1", D(2020, 1, 1), "b", "x", 1.0, 1400.0, 1490.0), ("k2", D(2021, 5, 1), "b", "a", 1.0, 1494.004, 1520.0)]
+    trace = spark.createDataFrame(moves, "key string, date date, fighter string, opponent string, score double, before double, after double")
+    pairs = lambda *rows: spark.createDataFrame(list(rows), "division string, winner string, loser string")
+    told = {r.fighter: r for r in attribution.report(before, after, trace, F.lit(D(2021, 1, 1)), pairs(("d", "c", "a")), pairs(("d", "b", "a"))).collect()}
+    assert {k: (r.move, r.expired, r.resolved, r.n_new) for k, r in told.items()} == {"a": ("down", 1, 1, 0), "b": ("up", 0, 1, 1), "c": ("same", 1, 0, 0), "new": ("new", 0, 0, 0), "gone": ("dropped", 0, 0, 0)}
+    for k in "abc":
+        r = told[k]
+        assert abs(r.change - (r.bouts_part + r.ripple_part + r.discount_part)) < 1e-9
+    assert abs(told["b"].ripple_part - 4.004) < 1e-9 and told["b"].discount_part > 0 and told["a"].ripple_part == -3.0
+    assert [(x.opponent, x.result, x.delta) for x in told["b"].new_bouts] == [("a", "win", 26.0)] and told["new"].change is None
