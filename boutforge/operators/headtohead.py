@@ -1,11 +1,14 @@
 """Rankings made consistent with who beat whom.
 
-Edges within a division are few, so a division is one group; divisions run in parallel. Which edges lie
-on a cycle is a matter of mutual reachability, found over all divisions at once by joins.
+Only edges between near places count, so a division falls into parts at places that no such edge crosses.
+Parts are independent of one another and run in parallel. Which edges lie on a cycle is a matter of mutual
+reachability, found over all divisions at once by joins.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,62 +48,125 @@ def cyclic(edges: DataFrame, keys: list[str]) -> DataFrame:
     return edges.join(back, [*keys, "winner", "loser"], "left_semi")
 
 
-def _reaches(graph: dict[str, set[str]], start: str, goal: str) -> bool:
-    seen, todo = {start}, [start]
-    while todo:
-        x = todo.pop()
-        if x == goal:
-            return True
-        new = graph.get(x, set()) - seen
-        seen |= new
-        todo += new
-    return False
+def strong_parts(nodes: int, graph: list[list[int]]) -> list[int]:
+    """The number of the strongly connected part of each node (two passes of depth-first search)."""
+    back: list[list[int]] = [[] for _ in range(nodes)]
+    for x, out in enumerate(graph):
+        for y in out:
+            back[y].append(x)
+    finished: list[int] = []
+    seen = [False] * nodes
+    for root in range(nodes):
+        if seen[root]:
+            continue
+        seen[root] = True
+        path = [(root, iter(graph[root]))]
+        while path:
+            step = next((y for y in path[-1][1] if not seen[y]), None)
+            if step is None:
+                finished.append(path.pop()[0])
+            else:
+                seen[step] = True
+                path.append((step, iter(graph[step])))
+    part = [-1] * nodes
+    for root in reversed(finished):
+        if part[root] < 0:
+            part[root] = root
+            todo = [root]
+            while todo:
+                for y in back[todo.pop()]:
+                    if part[y] < 0:
+                        part[y] = root
+                        todo.append(y)
+    return part
+
+
+class Acyclic:
+    """A graph that takes edges as long as they close no cycle; an order of its nodes is kept, and only nodes between the ends of a new edge are looked at."""
+
+    def __init__(self, nodes: int):
+        self.after: list[list[int]] = [[] for _ in range(nodes)]
+        self.before: list[list[int]] = [[] for _ in range(nodes)]
+        self.at = list(range(nodes))
+
+    def _between(self, start: int, links: list[list[int]], inside) -> list[int]:
+        seen, todo = {start}, [start]
+        while todo:
+            for y in links[todo.pop()]:
+                if y not in seen and inside(self.at[y]):
+                    seen.add(y)
+                    todo.append(y)
+        return sorted(seen, key=self.at.__getitem__)
+
+    def add(self, x: int, y: int) -> bool:
+        low, high = self.at[y], self.at[x]
+        if low < high:  # y stands before x, and has to go behind it
+            later = self._between(y, self.after, lambda k: k <= high)
+            if later[-1] == x:
+                return False
+            earlier = self._between(x, self.before, lambda k: k >= low)
+            places = sorted(self.at[z] for z in earlier + later)
+            for z, k in zip(earlier + later, places, strict=True):
+                self.at[z] = k
+        self.after[x].append(y)
+        self.before[y].append(x)
+        return True
 
 
 def consistent_order(order: list[str], pairs: list[tuple[str, str, str]], reach: int) -> list[str]:
     """The order moved to agree with pairs (winner, loser, date) at most reach places apart.
 
-    Edges on cycles are taken newest first as long as they close none, and order everyone they touch;
-    then, newest first, each other winner below the loser is put right above.
+    Edges on cycles are taken newest first as long as they close none, and order everyone they touch; then,
+    newest first, each other winner below the loser is put right above. Time grows with the number of places
+    and pairs, and with how far winners move.
     """
+    n = len(order)
     place = {x: k for k, x in enumerate(order)}
-    near = [p for p in pairs if p[0] in place and p[1] in place and abs(place[p[0]] - place[p[1]]) <= reach]
-    graph: dict[str, set[str]] = {}
-    for w, loser, _ in near:
-        graph.setdefault(w, set()).add(loser)
-    on_cycle = [p for p in near if _reaches(graph, p[1], p[0])]
-    plain = [p for p in near if p not in on_cycle]
-    kept: dict[str, set[str]] = {}
-    for w, loser, _ in plain:
-        kept.setdefault(w, set()).add(loser)
-    above: dict[str, set[str]] = {x: set() for x in order}
-    for w, loser, _ in sorted(on_cycle, key=lambda p: p[2], reverse=True):
-        if not _reaches(kept, loser, w):
-            kept.setdefault(w, set()).add(loser)
-            above[loser].add(w)
-    result: list[str] = []
-    left = list(order)
-    waiting = set(order)
-    while left:
-        ready = next((x for x in left if not above[x] & waiting), None)
-        if ready is None:
-            result += left
-            break
-        result.append(ready)
-        left.remove(ready)
-        waiting.remove(ready)
-    start = {x: k for k, x in enumerate(result)}
-    open_ = [p for p in plain if 0 < start[p[0]] - start[p[1]] <= reach]
-    for _ in range(len(open_) + 1):
-        wrong = [p for p in open_ if result.index(p[0]) > result.index(p[1])]
-        if not wrong:
-            break
-        newest = max(p[2] for p in wrong)
-        chosen = next(p for p in wrong if p[2] == newest)
-        result.remove(chosen[0])
-        result.insert(result.index(chosen[1]), chosen[0])
-        open_.remove(chosen)
-    return result
+    near = [(place[w], place[lo], d) for w, lo, d in pairs if w in place and lo in place and abs(place[w] - place[lo]) <= reach]
+    graph: list[list[int]] = [[] for _ in range(n)]
+    for w, lo, _ in near:
+        graph[w].append(lo)
+    part = strong_parts(n, graph)
+    kept = Acyclic(n)  # edges between strong parts can close no cycle, so they need no place in it
+    waits = [0] * n
+    for w, lo, _ in sorted((p for p in near if part[p[0]] == part[p[1]]), key=lambda p: p[2], reverse=True):
+        if kept.add(w, lo):
+            waits[lo] += 1
+    ready = [k for k in range(n) if not waits[k]]
+    heapq.heapify(ready)
+    result: list[int] = []
+    while ready:
+        x = heapq.heappop(ready)
+        result.append(x)
+        for y in kept.after[x]:
+            waits[y] -= 1
+            if not waits[y]:
+                heapq.heappush(ready, y)
+    at = [0] * n
+    for k, x in enumerate(result):
+        at[x] = k
+    plain = [p for p in near if part[p[0]] != part[p[1]] and 0 < at[p[0]] - at[p[1]] <= reach]
+    open_ = [True] * len(plain)
+    losers_of: dict[int, list[int]] = {}
+    for k, (_, lo, _) in enumerate(plain):
+        losers_of.setdefault(lo, []).append(k)
+    newest = {d: -k for k, d in enumerate(sorted({p[2] for p in plain}))}
+    wrong = [(newest[p[2]], k) for k, p in enumerate(plain)]
+    heapq.heapify(wrong)
+    while wrong:
+        _, k = heapq.heappop(wrong)
+        w, lo, _ = plain[k]
+        if not open_[k] or at[w] < at[lo]:
+            continue
+        open_[k] = False
+        low, high = at[lo], at[w]
+        result[low : high + 1] = [w, *result[low:high]]
+        for j in range(low, high + 1):
+            at[result[j]] = j
+        for j in losers_of.get(w, ()):  # only the mover's order with those it has passed is another one now
+            if open_[j] and low < at[plain[j][0]] <= high:
+                heapq.heappush(wrong, (newest[plain[j][2]], j))
+    return [order[x] for x in result]
 
 
 def reorder(ranking: DataFrame, edges: DataFrame, *, reach: int = 3) -> DataFrame:
@@ -112,15 +178,24 @@ def reorder(ranking: DataFrame, edges: DataFrame, *, reach: int = 3) -> DataFram
     rows = ranking.select("division", "fighter", "rank").withColumn("place", place)
     at = lambda name: rows.select("division", F.col("fighter").alias(name), F.col("place").alias(f"{name}_at"))
     near = edges.select("division", "winner", "loser", F.col("date").cast("string").alias("date")).join(at("winner"), ["division", "winner"]).join(at("loser"), ["division", "loser"])
-    near = near.where(F.abs(F.col("winner_at") - F.col("loser_at")) <= reach).select("division", "date", "winner", "loser")
-
-    def apply(own: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+    near = near.where(F.abs(F.col("winner_at") - F.col("loser_at")) <= reach)
+    # a division falls into parts where no edge crosses; an edge crosses reach boundaries at most
+    crossed = near.select("division", F.explode(F.sequence(F.least("winner_at", "loser_at"), F.greatest("winner_at", "loser_at") - 1)).alias("place")).distinct()
+    linked = rows.join(crossed.withColumn("down", F.lit(True)), ["division", "place"], "left").join(crossed.select("division", (F.col("place") + 1).alias("place"), F.lit(True).alias("up")), ["division", "place"], "left")
+    parts = linked.withColumn("part", F.sum(F.when(F.col("up").isNull(), 1).otherwise(0)).over(Window.partitionBy("division").orderBy("place")))
+    parts = checkpointed(parts.select("division", "fighter", "rank", "place", "part", (F.col("up").isNotNull() | F.col("down").isNotNull()).alias("met")))
+    of_edges = parts.select(F.col("division").alias("edge_division"), F.col("fighter").alias("winner"), F.col("part").alias("edge_part"))
+    met = near.join(of_edges, (F.col("division") == F.col("edge_division")) & (near["winner"] == of_edges["winner"])).select("edge_division", "edge_part", "date", near["winner"], "loser")
+
+    def apply(own: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("place")
-        pairs = [(w, lo, d) for d, w, lo in met.sort_values(["date", "winner", "loser"])[["date", "winner", "loser"]].itertuples(index=False)]
-        new = {x: k + 1 for k, x in enumerate(consistent_order(own["fighter"].tolist(), pairs, reach))}
+        pairs = [(w, lo, d) for d, w, lo in edges.sort_values(["date", "winner", "loser"])[["date", "winner", "loser"]].itertuples(index=False)]
+        first = int(own["place"].min())
+        new = {x: k + first for k, x in enumerate(consistent_order(own["fighter"].tolist(), pairs, reach))}
         return own.assign(new_rank=own["fighter"].map(new))[["division", "fighter", "rank", "new_rank"]]
 
-    return rows.groupBy("division").cogroup(near.groupBy("division")).applyInPandas(apply, "division string, fighter string, rank int, new_rank int")
+    moved = parts.where("met").groupBy("division", "part").cogroup(met.groupBy("edge_division", "edge_part")).applyInPandas(apply, "division string, fighter string, rank int, new_rank int")
+    return moved.unionByName(parts.where("not met").select("division", "fighter", "rank", F.col("place").alias("new_rank")))
 
 
 def violations(ranking: DataFrame, edges: DataFrame) -> DataFrame:

@@ -92,10 +92,37 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFr
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
-def clamped_page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    """One page of an ordering; numbers beyond the last page are the last. All earlier rows are sorted, so late pages cost more."""
-    pages = max(1, -(-rows.count() // size))
-    return page(rows, order, min(number, pages), size)
+def ranged_page(rows: DataFrame, key: str, ties: list[Column], number: int, size: int, *, ranges: int = 64) -> DataFrame:
+    """One page of rows by key, then ties, rows without a key last; numbers below 1 are 1, those beyond the last page the last.
+
+    Counts of ranges between quantiles of the key tell where a page lies, so only the ranges it touches are
+    read and sorted, whichever page it is. A key that very many rows share is one range, sorted by ties.
+    """
+    size = max(1, size)
+    steps = [k / ranges for k in range(1, ranges)]
+    cuts = sorted(set(rows.agg(F.percentile_approx(key, steps, 10_000)).first()[0] or []))
+    marks = F.array(*map(F.lit, cuts)) if cuts else F.array().cast(f"array<{rows.schema[key].dataType.simpleString()}>")
+    bucket = F.when(F.col(key).isNull(), len(cuts) + 1).otherwise(F.size(F.filter(marks, lambda c: c < F.col(key))))
+    counts = dict(rows.groupBy(bucket.alias("b")).count().collect())  # a row for each range
+    pages = max(1, -(-sum(counts.values()) // size))
+    start = (min(max(1, number), pages) - 1) * size
+    before, touched = 0, []
+    skip = start
+    for b in sorted(counts):
+        if before + counts[b] > start and before < start + size:
+            if not touched:
+                skip = start - before
+            touched.append(b)
+        before += counts[b]
+    if not touched:
+        return rows.limit(0)
+    low, high = touched[0], touched[-1]
+    inside = F.lit(True) if low == 0 else F.col(key) > cuts[low - 1] if low <= len(cuts) else F.lit(False)
+    if high < len(cuts):
+        inside = inside & (F.col(key) <= cuts[high])
+    if high > len(cuts):
+        inside = inside | F.col(key).isNull()
+    return rows.where(inside).orderBy(F.asc_nulls_last(key), *ties).offset(skip).limit(size)
 
 
 def by_reading(rows: DataFrame, reading: str, name: str, out: str = "place") -> DataFrame:

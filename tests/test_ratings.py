@@ -99,6 +99,102 @@ def test_plain_edge_moves_winner_above_within_reach():
     assert headtohead.consistent_order(["A", "B", "C", "D", "E"], [("E", "A", "2020-01-01")], 3) == ["A", "B", "C", "D", "E"]
 
 
+def _reaches(graph: dict[str, set[str]], start: str, goal: str) -> bool:
+    seen, todo = {start}, [start]
+    while todo:
+        x = todo.pop()
+        if x == goal:
+            return True
+        new = graph.get(x, set()) - seen
+        seen |= new
+        todo += new
+    return False
+
+
+def plain_order(order: list[str], pairs: list[tuple[str, str, str]], reach: int) -> list[str]:
+    """consistent_order by looking at everything again at each step."""
+    place = {x: k for k, x in enumerate(order)}
+    near = [p for p in pairs if p[0] in place and p[1] in place and abs(place[p[0]] - place[p[1]]) <= reach]
+    graph: dict[str, set[str]] = {}
+    for w, loser, _ in near:
+        graph.setdefault(w, set()).add(loser)
+    on_cycle = [p for p in near if _reaches(graph, p[1], p[0])]
+    plain = [p for p in near if p not in on_cycle]
+    kept: dict[str, set[str]] = {}
+    for w, loser, _ in plain:
+        kept.setdefault(w, set()).add(loser)
+    above: dict[str, set[str]] = {x: set() for x in order}
+    for w, loser, _ in sorted(on_cycle, key=lambda p: p[2], reverse=True):
+        if not _reaches(kept, loser, w):
+            kept.setdefault(w, set()).add(loser)
+            above[loser].add(w)
+    result: list[str] = []
+    left = list(order)
+    waiting = set(order)
+    while left:
+        ready = next((x for x in left if not above[x] & waiting), None)
+        if ready is None:
+            result += left
+            break
+        result.append(ready)
+        left.remove(ready)
+        waiting.remove(ready)
+    start = {x: k for k, x in enumerate(result)}
+    open_ = [p for p in plain if 0 < start[p[0]] - start[p[1]] <= reach]
+    for _ in range(len(open_) + 1):
+        wrong = [p for p in open_ if result.index(p[0]) > result.index(p[1])]
+        if not wrong:
+            break
+        newest = max(p[2] for p in wrong)
+        chosen = next(p for p in wrong if p[2] == newest)
+        result.remove(chosen[0])
+        result.insert(result.index(chosen[1]), chosen[0])
+        open_.remove(chosen)
+    return result
+
+
+def test_order_equals_the_plain_one():
+    rng = random.Random(9)
+    for n, density, days in [(4, 2, 3), (9, 2, 4), (30, 1, 9), (30, 3, 2), (120, 1, 60), (120, 2, 500)]:
+        for _ in range(60):
+            order = [f"x{k}" for k in range(n)]
+            met = {}
+            for _ in range(n * density):
+                a = rng.randrange(n)
+                b = a + rng.randint(1, 4)
+                if b < n:
+                    met[a, b] = (order[a], order[b]) if rng.random() < 0.5 else (order[b], order[a])
+            pairs = sorted(((w, lo, f"{rng.randrange(days):04d}") for w, lo in met.values()), key=lambda p: (p[2], p[0], p[1]))
+            assert headtohead.consistent_order(order, pairs, 3) == plain_order(order, pairs, 3)
+
+
+def test_long_orders_take_little_time():
+    import time
+
+    rng = random.Random(10)
+    order = [f"x{k}" for k in range(100_000)]
+    pairs = [(order[a], order[b], f"{rng.randrange(4000):04d}") for a in range(99_997) for b in [a + rng.randint(1, 3)] for a, b in [(a, b) if rng.random() < 0.5 else (b, a)]]
+    began = time.time()
+    assert sorted(headtohead.consistent_order(order, pairs, 3)) == sorted(order)
+    assert time.time() - began < 60
+
+
+def test_pages_by_ranges(spark):
+    from boutforge.operators import windows
+
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 5, 5, 5, *range(100)]), k) for k in range(500)]
+    frame = spark.createDataFrame(rows, "k int, v int")
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    for number in (-3, 1, 2, 7, 13, 50, 51, 999):
+        for size in (10, 37):
+            at = (min(max(1, number), -(-500 // size)) - 1) * size
+            got = windows.ranged_page(frame, "k", [F.asc("v")], number, size, ranges=9)
+            assert [tuple(r) for r in got.collect()] == ordered[at : at + size], (number, size)
+    assert windows.ranged_page(frame.limit(0), "k", [], 3, 10).count() == 0
+    assert windows.ranged_page(frame.where("k is null"), "k", [F.asc("v")], 1, 3).count() == 3
+
+
 def test_cyclic_edges(spark):
     e = spark.createDataFrame([("d", "A", "B"), ("d", "B", "C"), ("d", "C", "A"), ("d", "C", "D"), ("x", "A", "B")], "division string, winner string, loser string")
     found = {tuple(r) for r in headtohead.cyclic(e, ["division"]).select("division", "winner", "loser").collect()}
