@@ -74,7 +74,7 @@ FURTHER_PROMOTIONS = [
     ("(?i)ルンピニー|Lumpinee", "ルンピニー"),
     ("(?i)Thai ?Fight", "Thai Fight"),
     ("(?i)IT'?S SHOWTIME", "IT'S SHOWTIME"),
-    ("(?i)武林風|武風林|Wu ?Lin ?Feng", "武林風"),
+    ("(?i)武林风|武風林|Wu ?Lin ?Feng", "武林風"),
     ("(?i)EM Legend", "EM Legend"),
     ("(?i)WAKO|SuperLeague", "WAKO SuperLeague"),
     ("全日本キックボクシング連盟", "全日本キックボクシング連盟"),

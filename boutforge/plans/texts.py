@@ -94,7 +94,7 @@ worked("placeholders", [("不明", True), ("TBA", True), ("未 定", True), ("
 worked("event_tags", [("RIZIN.50 in 香川", "RIZIN_50"), ("DEEP 120 IMPACT", "DEEP_120IMPACT"), ("修斗 2026", "修斗2026"), ("RIZIN 49 雷神番外地", "RIZIN_49"), ("PANCRASE", "PANCRASE")], results.event_tag)
 worked("result_titles", [("山田が新王者に", True), ("山田が一本勝ち", True), ("カード発表", False), ("全試合結果", True)], results.tells_result)
 worked("mma_titles", [("RIZIN.50", True), ("deeper insight", False), ("DEEP132結果", True), ("INDEEP", False), ("ONE Friday Fights 3", True), ("one day", False), ("MMA", True), ("MMAX", False), ("修斗", True)], classify.is_mma)
-worked("promotions", [("K-1 WORLD", "K-1"), ("RISE 100", "RISE"), ("ARISE", "Wikipedia(その他団体)"), ("ONE 160: X", "ONE Championship"), ("One Night", "Wikipedia(その他団体)"), ("DEEP☆KICK 50", "DEEP☆KICK"), ("Glory 80", "GLORY"), ("全日本キックボクシング連盟", "全日本キックボクシング連盟")], classify.promotion)
+worked("promotions", [("K-1 WORLD", "K-1"), ("RISE 100", "RISE"), ("ARISE", "Wikipedia(その他団体)"), ("ONE 160: X", "ONE Championship"), ("One Night", "Wikipedia(その他団体)"), ("DEEP☆KICK 50", "DEEP☆KICK"), ("Glory 80", "GLORY"), ("武林风 2018", "武林風"), ("武風林", "武林風"), ("武林風", "Wikipedia(その他団体)"), ("全日本キックボクシング連盟", "全日本キックボクシング連盟")], classify.promotion)
 worked("five_classes", [("女子フライ級", None), ("メガトン級", "ヘビー級"), ("ライトヘビー級", "ヘビー級"), ("ウェルター級", None), ("バンタム級王座", "バンタム級"), ("ライト級", "ライト級"), ("", None)], classify.five_class)
 worked("class_orders", [("フライ級", 56.7), ("女子アトム級", 1047.6), ("ヘビー級", 120.2), ("無差別級", 9999.0)], classify.class_order)
 worked("rank_orders", [("王者", -2), ("暫定王者", -1), ("1", 1), ("10位", 10), ("空位", 999)], classify.rank_order)
