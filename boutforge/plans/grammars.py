@@ -140,3 +140,8 @@ composed("line_english", _chosen("p", ["'KO (punch ' || q || ')'", "'Submission
 composed("line_english_results", _chosen("p", ["'{{yes2}}Win'", "'{{no2}}Loss'", "'Draw'", "'NC'", "'Cancelled ' || p", "'?' || p"]), pages.result_in_english, _chosen("p", ["'win'", "'loss'", "'draw'", "'nc'", "NULL", "NULL"]))
 composed("line_sections", "'前' || p || '【試合結果】' || q || CASE WHEN s % 2 = 0 THEN '【写真】後' ELSE '【次】後' END || s", lambda t: classify.section(t, "【試合結果】", ["【写真】", "【次】"]), "'【試合結果】' || q")
 composed("line_event_kinds", _chosen("p", ["'DEEP KICK ' || p", "'アマチュアDEEP ' || p", "'DEEP ' || p"]), lambda t: F.concat_ws("|", classify.is_kick_event(t).cast("string"), classify.is_amateur_event(t).cast("string")), _chosen("p", ["'true|false'", "'false|true'", "'false|false'"]))
+composed("line_kick_keys", "'髙﨑　' || translate(CAST(p AS STRING), '0123456789', '０１２３４５６７８９') || '・Ａ「ニ」'", names.kick_key, "'高崎' || p || 'a二'")
+composed("line_gym_keys", "'Ｇ' || s || 'ジム / TEAM　' || translate(CAST(q AS STRING), '0123456789', '０１２３４５６７８９')", names.gym_key, "'g' || s || q")
+composed("line_non_pro", _chosen("p", ["'アマチュア大会' || p", "'大会' || p", "'アマチュア ネオブラッド' || p"]), classify.non_pro, _chosen("p", ["'not_pro_amateur'", "NULL", "NULL"]))
+composed("line_japanese_results", _chosen("p", ["'○'", "' × '", "'△'", "'－'", "'ー'", "'?' || p"]), pages.result_in_japanese, _chosen("p", ["'win'", "'loss'", "'draw'", "CASE WHEN q % 2 = 0 THEN NULL ELSE 'nc' END", "CASE WHEN q % 2 = 0 THEN NULL ELSE 'nc' END", "NULL"]), "CASE WHEN q % 2 = 0 THEN '試合中止' ELSE 'ノーコンテスト' END || s")
+composed("line_rule_types", _chosen("p", ["'K-1ルール ' || p", "'MMA グラップリング ' || p", "'グラップリング' || p", "'試合' || p"]), lambda t: classify.rule_type(t, F.lit("")), _chosen("p", ["'キックボクシング'", "'MMA'", "'グラップリング'", "'MMA'"]))

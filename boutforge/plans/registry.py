@@ -31,4 +31,4 @@ def query(sql: str | None = None, dates: tuple[str, ...] = ()):
     return add
 
 
-from . import feeds, history, links, ratings, scalars, sequences, streams, texts, matches, corrections, views, pages, posts, gates, snapshots, cards, identities, attributions, mentions, grammars  # noqa: E402, F401
+from . import feeds, history, links, ratings, scalars, sequences, streams, texts, matches, corrections, views, pages, posts, gates, snapshots, cards, identities, attributions, mentions, grammars, wikis  # noqa: E402, F401

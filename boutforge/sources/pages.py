@@ -191,7 +191,8 @@ def listed_bouts(pages: DataFrame, text: str, mark: str = r"[○×△ー-]") ->
     Lines of one pair count once, and names of more than 30 characters are garble.
     """
     keep = [c for c in pages.columns if c != text]
-    line = rf"({mark})\s*([^\n（(]+?)\s*(?:vs\.?|VS|対)\s*({mark})\s*([^\n（(]+?)\s*(?:[（(]([^）)\n]*)[）)])?\s*(?=\n|$)"
+    gap = r"[\s　]*"  # white space of full width too
+    line = rf"({mark}){gap}([^\n（(]+?){gap}(?:vs\.?|VS|対){gap}({mark}){gap}([^\n（(]+?){gap}(?:[（(]([^）)\n]*)[）)])?{gap}(?=\n|$)"
     found = pages.select(*keep, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(line), 0)).alias("place", "__l"))
     part = lambda n: F.trim(F.regexp_extract("__l", line, n))
     rows = found.select(*keep, "place", part(1).alias("mark_a"), part(2).alias("a"), part(3).alias("mark_b"), part(4).alias("b"), part(5).alias("method"))

@@ -24,6 +24,7 @@ SECTION_HEADING, TITLE_HEADING, LOOSE_PARAGRAPH = "article-heading", "article-su
 MARKS = "●○〇△◯×⚪⚫"
 METHOD_WORDS = "判定|反則|ノーコンテスト|棄権|降参|失格|不戦"
 MAX_LOOSE = 200
+SPACE = "[\\s\\u3000]"
 ROWS = 4096  # of an Arrow batch
 
 _BLOCK = frozenset(BLOCK_TAGS.split())
@@ -167,13 +168,13 @@ def layouts() -> dict[str, Column]:
     end = F.size(pieces)
     two = (F.col("tag") == "p") & (F.size(linked) == 2)
     a = _bout(between(F.lit(-1), low), first["text"], second["text"], _mark(between(low - 1, first["k"])), _mark(between(second["k"], high + 1)), between(high, end), two & ~F.col("bold") & first["bold"] & second["bold"])
-    old = r"^[\[［](\w+)[\]］]\s*(.+?)\s*（([\s\S]*?)）\s*(.+?)\s*[\[［](\w+)[\]］]"
+    old = r"^[\[［](\w+)[\]］]\s*(.+?)\s*（([\s\S]*?)）\s*(.+?)\s*[\[［](\w+)[\]］]".replace(r"\s", SPACE)
     old_part = lambda k: F.regexp_extract("text", old, k)
     b = _bout(F.lit(None).cast("string"), old_part(2), old_part(4), _mark(old_part(1)), _mark(old_part(5)), old_part(3), (F.col("tag") == "h3") & F.col("css").contains(TITLE_HEADING) & F.col("text").rlike(old))
     rest = between(second["k"], end)
     marked = F.regexp_extract(rest, r"^\(?(\w+)\)?", 1)
     c = _bout(F.lit(""), first["text"], second["text"], _mark(between(F.lit(-1), first["k"])), _mark(F.nullif(marked, F.lit(""))), F.regexp_replace(rest, r"^\(?\w+\)?", ""), two & F.col("bold"))
-    plain = r"^(?:\((\w+)\))?\s*(.+?)\s*\(([\s\S]*?)\)\s*(.+?)\s*(?:\((\w+)\))?$"
+    plain = r"^(?:\((\w+)\))?\s*(.+?)\s*\(([\s\S]*?)\)\s*(.+?)\s*(?:\((\w+)\))?$".replace(r"\s", SPACE)
     line = F.regexp_replace("text", "\\n", " ")
     part = lambda k: F.regexp_extract(line, plain, k)
     d = _bout(F.lit(None).cast("string"), part(2), part(4), _mark(F.nullif(part(1), F.lit(""))), _mark(F.nullif(part(5), F.lit(""))), part(3), (F.col("tag") == "p") & F.col("bold") & (F.size(linked) == 0) & line.rlike(plain))
@@ -205,7 +206,7 @@ def recovered(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     Left out as junk: long paragraphs, names that are a mark, a heading, a bracket or a method, and lines with neither mark nor method.
     """
     line = F.regexp_replace("text", "\\n", " ")
-    form = rf"^([{MARKS}]?)\s*([^（(]+?)\s*[（(][^）)]{{0,40}}[）)]\s*(?:vs\.?|VS\.?|対|ー)?\s*([{MARKS}]?)\s*([^（(]+?)\s*[（(][^）)]{{0,40}}[）)]\s*(.*)$"
+    form = rf"^([{MARKS}]?)\s*([^（(]+?)\s*[（(][^）)]{{0,40}}[）)]\s*(?:vs\.?|VS\.?|対|ー)?\s*([{MARKS}]?)\s*([^（(]+?)\s*[（(][^）)]{{0,40}}[）)]\s*(.*)$".replace(r"\s", SPACE)
     part = lambda k: F.regexp_extract(line, form, k)
     loose = rows.where((F.col("tag") == "p") & F.col("css").contains(LOOSE_PARAGRAPH) & (F.char_length("text") <= MAX_LOOSE) & line.rlike(form))
     found = loose.select(key, "n", part(1).alias("mark_a"), F.trim(part(2)).alias("a"), part(3).alias("mark_b"), F.trim(part(4)).alias("b"), F.trim(part(5)).alias("method"))
@@ -218,7 +219,7 @@ def recovered(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 def calendar(rows: DataFrame, key: str) -> DataFrame:
     """Dated lines of a calendar, ``2024年5月6日(月) title @ venue`` or with dots, slashes or dashes: date, title and venue of each."""
-    form = r"^\s*(\d{4})\s*[年./-]\s*(\d{1,2})\s*[月./-]\s*(\d{1,2})日?\s*(?:[（(][^）)]{1,6}[）)])?\s*(.+?)\s*(?:[@＠]\s*(.+?)\s*)?$"
+    form = r"^\s*(\d{4})\s*[年./-]\s*(\d{1,2})\s*[月./-]\s*(\d{1,2})日?\s*(?:[（(][^）)]{1,6}[）)])?\s*(.+?)\s*(?:[@＠]\s*(.+?)\s*)?$".replace(r"\s", SPACE)
     line = F.regexp_replace("text", "\\n", " ")
     part = lambda k: F.regexp_extract(line, form, k)
     date = F.try_to_timestamp(F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
