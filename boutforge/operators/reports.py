@@ -64,7 +64,8 @@ def unposted(rows: DataFrame, posted: DataFrame, key: str) -> DataFrame:
 def post_once(rows: DataFrame, path: str, key: str, send: Callable[[Row], None]) -> int:
     """Write rows whose key no batch under path has as a new batch, then send that batch; a repeated run sends nothing again.
 
-    The batch is written before its rows are sent, so after a failure a row may be missing but is never sent twice.
+    The batch is written before its rows are sent, so after a run that failed between the two a row may not have
+    been sent. A task that Spark repeats sends its rows again, so send should take a key it has had as sent.
     """
     spark = rows.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

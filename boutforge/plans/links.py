@@ -30,8 +30,11 @@ def resolution_cascade(spark, sf_dir):
     return found.select("p_partkey", "resolved")
 
 
-@query(f"""{BOUTS_SQL}, o AS (SELECT fighter, date, opponent AS oo, 'official ' || result AS orr, count(*) OVER (PARTITION BY fighter, date) AS n FROM sides WHERE org = 'org2' AND fighter LIKE 'C%')
-SELECT s.bout_id, s.fighter, coalesce(o.orr, p.orr, s.result) AS result, coalesce(o.orr, p.orr) IS NOT NULL AS overridden FROM sides s LEFT JOIN (SELECT * FROM o WHERE n = 1) o ON s.fighter = o.fighter AND s.date = o.date LEFT JOIN (SELECT * FROM o WHERE n > 1) p ON s.fighter = p.fighter AND s.date = p.date AND s.opponent = p.oo WHERE s.org = 'org1'""")
+@query(f"""{BOUTS_SQL}, h AS MATERIALIZED (SELECT bout_id, fighter, opponent, date, result FROM sides WHERE org = 'org1'),
+o AS MATERIALIZED (SELECT fighter, date, opponent AS named, 'official ' || result AS told FROM sides WHERE org = 'org2' AND fighter LIKE 'C%'),
+one AS MATERIALIZED (SELECT fighter, date, any_value(told) AS told FROM o GROUP BY fighter, date HAVING count(*) = 1), days AS MATERIALIZED (SELECT fighter, date FROM o GROUP BY fighter, date HAVING count(*) > 1),
+many AS MATERIALIZED (SELECT o.* FROM o JOIN days ON o.fighter = days.fighter AND o.date = days.date)
+SELECT h.bout_id, h.fighter, coalesce(one.told, many.told, h.result) AS result, coalesce(one.told, many.told) IS NOT NULL AS overridden FROM h LEFT JOIN one ON h.fighter = one.fighter AND h.date = one.date LEFT JOIN many ON h.fighter = many.fighter AND h.date = many.date AND h.opponent = many.named""")
 def official_override(spark, sf_dir):
     s = sides(spark, sf_dir)
     official = s.where("org = 'org2' and fighter like 'C%'").select("fighter", "date", "opponent", F.concat(F.lit("official "), "result").alias("result"))
