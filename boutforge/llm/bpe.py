@@ -198,7 +198,6 @@ def encode(docs: DataFrame, tokenizer_path: str, *, text: str = "text", ids: str
                     columns.append(decoded_texts(vocabulary, tokens, bounds))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
                 trim()
-        encoder.clear()
 
     return docs.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text}`").cast("string").alias(source)).mapInArrow(giving_back(run), schema)
 
