@@ -77,19 +77,30 @@ def opponents(bouts: DataFrame, roster: DataFrame) -> DataFrame:
     """bouts (bout_id, site_slug, opponent, gym) with resolved, ambiguous and candidates.
 
     roster: identity, site_slug, name, gym. A site's own link counts first, then a name that one fighter
-    has, then among homonyms the only one of a compatible gym; else the candidates are listed.
+    has, then among homonyms the only one of a compatible gym; else the candidates are listed, and n_candidates
+    is their number. What a bout finds depends on its name and gym alone, so the distinct ones of bouts meet the
+    distinct ones of the roster with their counts, and a name's candidates are collected once.
     """
     linked = roster.where("site_slug is not null").select("site_slug", F.col("identity").alias("__linked"))
-    placed = bouts.join(linked, "site_slug", "left")
-    same = roster.select(names.squeezed(F.col("name")).alias("__name"), F.col("identity").alias("__id"), F.col("gym").alias("__gym"))
-    met = placed.select("bout_id", "gym", names.squeezed(F.col("opponent")).alias("__name")).join(same, "__name")
-    fits = gym_compatible(F.col("gym"), F.col("__gym"))
-    found = met.groupBy("bout_id").agg(F.count("*").alias("__n"), F.min("__id").alias("__first"), F.count(F.when(fits, 1)).alias("__fit"), F.min(F.when(fits, F.col("__id"))).alias("__fitting"), F.sort_array(F.collect_list("__id")).alias("__all"))
+    placed = bouts.withColumn("__name", names.squeezed(F.col("opponent"))).join(linked, "site_slug", "left")
+    people = roster.select(names.squeezed(F.col("name")).alias("__name"), F.col("identity").alias("__id"), F.col("gym").alias("__theirs")).where("__name is not null")
+    alike = people.groupBy("__name", "__theirs").agg(F.count("*").alias("__n"), F.min("__id").alias("__id"))
+    asked = bouts.select(names.squeezed(F.col("opponent")).alias("__name"), F.col("gym").alias("__own")).distinct()
+    fits = gym_compatible(F.col("__own"), F.col("__theirs"))
+    found = asked.join(alike, "__name").groupBy("__name", "__own").agg(F.sum("__n").alias("__n"), F.min("__id").alias("__first"), F.coalesce(F.sum(F.when(fits, F.col("__n"))), F.lit(0)).alias("__fit"), F.min(F.when(fits, F.col("__id"))).alias("__fitting"))
+    found = found.withColumnRenamed("__name", "__asked")
+    every = people.groupBy("__name").agg(F.sort_array(F.collect_list("__id")).alias("__all"))
     open_ = F.col("__linked").isNull()
     by_name = F.when(F.col("__n") == 1, F.col("__first")).when(F.col("__fit") == 1, F.col("__fitting"))
     several = open_ & (F.col("__n") > 1) & (F.col("__fit") != 1)
-    both = placed.join(found, "bout_id", "left")
-    return both.select(*bouts.columns, F.coalesce("__linked", by_name).alias("resolved"), F.coalesce(several, F.lit(False)).alias("ambiguous"), F.when(several, F.col("__all")).alias("candidates"))
+    both = placed.join(found, (F.col("__name") == F.col("__asked")) & F.col("gym").eqNullSafe(F.col("__own")), "left").join(every, "__name", "left")
+    return both.select(
+        *bouts.columns,
+        F.coalesce("__linked", by_name).alias("resolved"),
+        F.coalesce(several, F.lit(False)).alias("ambiguous"),
+        F.when(several, F.col("__all")).alias("candidates"),
+        F.when(F.coalesce(several, F.lit(False)), F.col("__n")).otherwise(0).alias("n_candidates"),
+    )
 
 
 def event_links(rows: DataFrame, events: DataFrame, *, days: int = 1, gram: int = 3) -> DataFrame:

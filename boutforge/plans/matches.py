@@ -70,7 +70,7 @@ def opponents_by_gym(spark, sf_dir):
     slug = lambda n: F.when(key % n == 0, F.concat(F.lit("s"), key))
     roster = part.select(key.cast("string").alias("identity"), slug(4).alias("site_slug"), F.col("p_type").alias("name"), F.concat("p_brand", F.lit(" gym")).alias("gym"))
     b = part.select(key.alias("bout_id"), slug(8).alias("site_slug"), F.when(key % 2 == 0, F.col("p_type")).otherwise(F.concat("p_type", F.col("p_size").cast("string"))).alias("opponent"), F.when(key % 3 == 0, "フリー").otherwise(F.col("p_brand")).alias("gym"))
-    return linking.opponents(b, roster).select("bout_id", "resolved", "ambiguous", F.greatest(F.coalesce(F.size("candidates"), F.lit(0)), F.lit(0)).cast("long").alias("candidates"))
+    return linking.opponents(b, roster).select("bout_id", "resolved", "ambiguous", F.col("n_candidates").alias("candidates"))
 
 
 _EVENTS = """ev AS (SELECT DISTINCT 'e' || o_clerk_n || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS slug, 'CARD ' || o_clerk_n AS name, CAST(o_orderdate AS DATE) AS date FROM (SELECT *, o_custkey % 23 AS o_clerk_n FROM orders WHERE o_orderstatus = 'F'))"""
