@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,10 +31,16 @@ def without_quotes(title: Column) -> Column:
 
 
 def _prefix_that_fits(text: Column, width: float) -> Column:
-    """The longest beginning of at most that display width."""
-    size = lambda n: display_width(F.substr(text, F.lit(1), n))
-    lengths = F.sequence(F.lit(0), F.char_length(text))
-    return F.substr(text, F.lit(1), F.array_max(F.filter(lengths, lambda n: size(n) <= width)))
+    """The longest beginning of at most that display width, from one pass over the first characters that may fit."""
+    first = F.split(F.substr(text, F.lit(1), F.lit(int(2 * width) + 1)), "")
+    size = lambda c: F.when(c <= "\u00ff", 0.5).otherwise(1.0)
+    step = lambda s, c: F.struct((s["w"] + size(c)).alias("w"), (s["n"] + F.when(s["w"] + size(c) <= width, 1).otherwise(0)).alias("n"))
+    return F.substr(text, F.lit(1), F.aggregate(first, F.struct(F.lit(0.0).alias("w"), F.lit(0).alias("n")), step)["n"])
+
+
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def summarised(title: Column, width: float = 55) -> Column:
@@ -40,14 +48,17 @@ def summarised(title: Column, width: float = 55) -> Column:
 
     Labels before it and dates behind an equals sign go first.
     """
-    plain = F.trim(F.regexp_replace(F.regexp_replace(without_label(title), r"\s*＝[^＝]*\d+月\d+日.*$", ""), r"\s+", " "))
-    fitting = _prefix_that_fits(plain, width)
-    stop = F.regexp_extract(fitting, "(?s)^(.*[。！!？?])", 1)
-    # a comma may stand just beyond what fits
-    comma = F.regexp_extract(F.substr(plain, F.lit(1), F.char_length(fitting) + 1), "(?s)^(.*)、", 1)
-    cut = F.when(stop != "", stop).when(comma != "", comma)
-    short = F.trim(F.regexp_replace(cut, "[、。]$", ""))
-    return F.when(display_width(plain) <= width, plain).otherwise(F.coalesce(short, F.concat(F.trim(_prefix_that_fits(plain, width - 1)), F.lit("…"))))
+    whole = F.trim(F.regexp_replace(F.regexp_replace(without_label(title), r"\s*＝[^＝]*\d+月\d+日.*$", ""), r"\s+", " "))
+
+    def shortened(plain: Column, fitting: Column) -> Column:
+        stop = F.regexp_extract(fitting, "(?s)^(.*[。！!？?])", 1)
+        # a comma may stand just beyond what fits
+        comma = F.regexp_extract(F.substr(plain, F.lit(1), F.char_length(fitting) + 1), "(?s)^(.*)、", 1)
+        cut = F.when(stop != "", stop).when(comma != "", comma)
+        short = F.trim(F.regexp_replace(cut, "[、。]$", ""))
+        return F.coalesce(short, F.concat(F.trim(_prefix_that_fits(plain, width - 1)), F.lit("…")))
+
+    return _once(whole, lambda plain: F.when(display_width(plain) <= width, plain).otherwise(_once(_prefix_that_fits(plain, width), lambda fitting: shortened(plain, fitting))))
 
 
 def hashtags(titles: Column, sources: Column, most: int = 3) -> Column:
