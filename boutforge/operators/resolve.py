@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import checkpointed
+
+SENT_BYTES = 8 << 20  # of a table that is sent to every task
+
 
 def first_wins(names: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """key to the value that came first."""
@@ -129,11 +133,16 @@ def next_event(rows: DataFrame, events: DataFrame, key: str, at: str, event_at:
 
 
 def contained(titles: DataFrame, names: DataFrame, title: str, name: str, *, top: int, gram: int = 3) -> DataFrame:
-    """Names that occur in titles, the first few of each by place; they meet by the names' first characters."""
+    """Names that occur in titles, the first few of each by place; they meet by the names' first characters.
+
+    Names of at most ``SENT_BYTES`` in all are sent to every task, and titles stay where they are; more names are
+    shuffled with the titles. Titles are never sent: they become a row for each place, which sizes of files don't tell.
+    """
     grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(title) - gram + 1, F.lit(1))), lambda i: F.substring(F.col(title), i, gram))))
     t = titles.withColumn("__gram", grams)
-    n = names.where(F.char_length(name) >= gram).withColumn("__gram", F.substring(name, 1, gram))
-    found = t.join(n, "__gram").drop("__gram").withColumn("at", F.instr(F.col(title), F.col(name))).where("at > 0")
+    n = checkpointed(names.where(F.char_length(name) >= gram).withColumn("__gram", F.substring(name, 1, gram)))
+    few = (n.agg(F.sum(F.octet_length(name) + 16)).first()[0] or 0) <= SENT_BYTES
+    found = t.join(n.hint("broadcast" if few else "merge"), "__gram").drop("__gram").withColumn("at", F.instr(F.col(title), F.col(name))).where("at > 0")
     order = Window.partitionBy(*titles.columns).orderBy("at", name)
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
 
