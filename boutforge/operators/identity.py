@@ -1,16 +1,21 @@
 """Entities of several rosters, and repeats of bouts, found in passes under constraints.
 
-Both are greedy by a fixed order: an edge between two clusters is decided when it is the first one left at
-both of them. Constraints only tighten as clusters grow, so all such edges can be decided at once, and rounds
-of them give what going through all edges one by one would. A round is a handful of joins and aggregates.
+Both are greedy by a fixed order. Edges of different connected parts don't meet, so rosters are cut into parts, and
+those of up to ``part_edges`` edges are gone through in tasks that hold some parts each. In larger ones an edge
+between two clusters is decided when it is the first one left at both of them. Constraints only tighten as clusters
+grow, so all such edges can be decided at once, and rounds of them, until parts are small, give what going through all
+edges one by one would. A round is a handful of joins and aggregates; the number of rounds isn't that of a chain of
+edges each of which waits for the one before, unless a part is large.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import checkpointed
+from .rating import components
 
 
 def _compatible(a: Column, b: Column) -> Column:
@@ -18,7 +23,37 @@ def _compatible(a: Column, b: Column) -> Column:
     return F.forall(a, lambda x: F.forall(b, lambda y: (x == y) | x.contains(y) | y.contains(x)))
 
 
-def _contracted(edges: DataFrame, nodes: DataFrame, *, conflicts: bool) -> DataFrame:
+def _fits(a: set[str], b: set[str]) -> bool:
+    return all(x == y or y in x or x in y for x in a for y in b)
+
+
+def _gone_through(frame: pd.DataFrame, conflicts: bool) -> pd.DataFrame:
+    """Clusters (root: as before, into, sources, gyms) that edges of whole parts, one after another, have changed."""
+    into: dict[int, int] = {}
+    sets: dict[int, tuple[set[str], set[str]]] = {}
+
+    def now(x: int) -> int:
+        while into.setdefault(x, x) != x:
+            into[x] = into[into[x]]
+            x = into[x]
+        return x
+
+    frame = frame.sort_values(["block", "i", "j"])
+    for i, j, *known in zip(*(frame[c] for c in ("root_i", "root_j", "sources_i", "gyms_i", "sources_j", "gyms_j")), strict=True):
+        for root, sources, gyms in ((i, *known[:2]), (j, *known[2:])):
+            if root not in sets:
+                sets[root] = (set(sources), set(gyms))
+        low, high = sorted((now(i), now(j)))
+        (s, g), (t, h) = sets[low], sets[high]
+        if low != high and s.isdisjoint(t) and (conflicts or _fits(g, h)):
+            into[high] = low
+            sets[low] = (s | t, g | h)
+    ends = {x: now(x) for x in list(into)}
+    changed = {r for x, r in ends.items() if x != r}
+    return pd.DataFrame([(x, r, sorted(sets[r][0]), sorted(sets[r][1])) for x, r in ends.items() if r in changed], columns=["root", "into", "s", "g"])
+
+
+def _contracted(edges: DataFrame, nodes: DataFrame, *, conflicts: bool, part_edges: int) -> DataFrame:
     """nodes (ord, root, sources, gyms: those of its cluster) after all edges (i, j, at: order among edges)."""
     open_ = edges
     while True:
@@ -26,22 +61,33 @@ def _contracted(edges: DataFrame, nodes: DataFrame, *, conflicts: bool) -> DataF
         seen = open_.join(side("i"), "i").join(side("j"), "j").where("root_i <> root_j and not arrays_overlap(sources_i, sources_j)")
         if not conflicts:
             seen = seen.where(_compatible(F.col("gyms_i"), F.col("gyms_j")))
+        seen = checkpointed(seen)
+        total = seen.count()
+        if not total:
+            return nodes
+        parts = components(seen.select(F.col("root_i").alias("a"), F.col("root_j").alias("b")))
+        placed = seen.join(parts, seen["root_i"].cast("string") == parts["node"])
+        large = placed.groupBy("component").count().where(F.col("count") > part_edges).select("component")
+        some = F.pmod(F.xxhash64("component"), F.lit(-(-total // part_edges)))  # of the parts, together
+        small = placed.join(large, "component", "left_anti").select(some.alias("some"), "at.block", "i", "j", *(f"{c}_{x}" for x in "ij" for c in ("root", "sources", "gyms")))
+        apart = small.groupBy("some").applyInPandas(lambda frame: _gone_through(frame, conflicts), "root long, into long, s array<string>, g array<string>")
         # of the edges between two clusters the first one speaks for all
-        seen = checkpointed(seen.select("i", "j", "at", F.least("root_i", "root_j").alias("low"), F.greatest("root_i", "root_j").alias("high")))
-        ends = seen.select(F.col("low").alias("root"), "at").unionByName(seen.select(F.col("high").alias("root"), "at"))
+        rest = checkpointed(placed.join(large, "component", "left_semi").select("i", "j", "at", F.least("root_i", "root_j").alias("low"), F.greatest("root_i", "root_j").alias("high")))
+        joined = nodes.join(checkpointed(apart), "root", "left").select("ord", F.coalesce("into", "root").alias("root"), F.coalesce("s", "sources").alias("sources"), F.coalesce("g", "gyms").alias("gyms"))
+        if not rest.take(1):
+            return checkpointed(joined)
+        ends = rest.select(F.col("low").alias("root"), "at").unionByName(rest.select(F.col("high").alias("root"), "at"))
         first = ends.groupBy("root").agg(F.min("at").alias("at"))
-        ready = seen.join(first.withColumnRenamed("root", "low"), ["low", "at"]).join(first.withColumnRenamed("root", "high"), ["high", "at"]).select("low", "high").distinct()
+        ready = rest.join(first.withColumnRenamed("root", "low"), ["low", "at"]).join(first.withColumnRenamed("root", "high"), ["high", "at"]).select("low", "high").distinct()
         into = checkpointed(ready.select("low", F.explode(F.array("low", "high")).alias("root")))
-        if not into.take(1):
-            return nodes
-        joined = nodes.join(into, "root", "left").withColumn("root", F.coalesce("low", "root")).drop("low")
+        joined = joined.join(into, "root", "left").withColumn("root", F.coalesce("low", "root")).drop("low")
         changed = joined.join(into.select(F.col("low").alias("root")).distinct(), "root", "left_semi")
         sets = changed.groupBy("root").agg(F.array_distinct(F.flatten(F.collect_set("sources"))).alias("s"), F.array_distinct(F.flatten(F.collect_set("gyms"))).alias("g"))  # of one cluster: a row a source
         nodes = checkpointed(joined.join(sets, "root", "left").select("ord", "root", F.coalesce("s", "sources").alias("sources"), F.coalesce("g", "gyms").alias("gyms")))
-        open_ = seen.select("i", "j", "at")
+        open_ = rest.select("i", "j", "at")
 
 
-def roster_union(rows: DataFrame) -> DataFrame:
+def roster_union(rows: DataFrame, *, part_edges: int = 250_000) -> DataFrame:
     """ord and entity (the smallest ord) of roster rows (ord long, names array, source, gym, full boolean).
 
     Rows that share a name may be one person, never two of one source. Pass A joins rows whose gyms agree; pass B
@@ -62,11 +108,11 @@ def roster_union(rows: DataFrame) -> DataFrame:
     edges = checkpointed(pairs.select("block", F.col("ord_i").alias("i"), F.col("ord_j").alias("j"), tier.alias("tier"), "single", (F.col("full_i") & F.col("full_j")).alias("full"), F.struct("block", "ord_i", "ord_j").alias("at")))
     nodes = checkpointed(rows.select("ord", F.col("ord").alias("root"), F.array("source").alias("sources"), F.array_compact(F.array("gym")).alias("gyms")))
     plain = lambda which: edges.where(which).select("i", "j", "at")
-    nodes = _contracted(plain("tier = 0"), nodes, conflicts=False)
-    nodes = _contracted(plain("tier = 2 and single and full"), nodes, conflicts=True)
+    nodes = _contracted(plain("tier = 0"), nodes, conflicts=False, part_edges=part_edges)
+    nodes = _contracted(plain("tier = 2 and single and full"), nodes, conflicts=True, part_edges=part_edges)
     with_gym = own.where("gym is not null").join(nodes.select("ord", "root"), "ord").groupBy("block").agg(F.count_distinct("root").alias("roots"))
     settled = edges.where("tier = 1").join(with_gym, "block", "left").where("coalesce(roots, 0) <= 1").select("i", "j", "at")
-    return _contracted(settled, nodes, conflicts=False).select("ord", F.col("root").alias("entity"))
+    return _contracted(settled, nodes, conflicts=False, part_edges=part_edges).select("ord", F.col("root").alias("entity"))
 
 
 def _one_event(a: Column, b: Column) -> Column:
