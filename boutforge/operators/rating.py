@@ -1,13 +1,15 @@
 """Sequential ratings, eligibility and ranking.
 
-The rating of a bout depends on all earlier bouts of both sides. Bouts are played in slices of dates, each
-slice with the ratings that the one before left; within a slice the connected components of its bouts are
-independent and spread over tasks. A task thus holds no more than a slice, however large the component
-that a fighter belongs to over the years, and the ratings are those of one replay in order.
+The rating of a bout depends on all earlier bouts of both sides. The connected components of all bouts are
+independent and spread over tasks. Components of more bouts than a slice are played in slices of dates, each slice
+with the ratings that the one before left; within a slice its own components are independent. A task thus holds no
+more than a slice, however large the component that a fighter belongs to over the years, and the ratings are those
+of one replay in order.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from functools import reduce
@@ -79,8 +81,7 @@ def replay(bouts: pd.DataFrame, tilt: Tilt, start: dict[str, tuple[float, int]]
     first = [(start or {}).get(x, (scores.INITIAL_RATING, 0)) for x in known]
     rating, fights = [x for x, _ in first], [n for _, n in first]
     n = len(bouts)
-    out: list[tuple] = []
-    add = out.append
+    befores, afters, counts = array("d"), array("d"), array("i")
     for i, j, s, finish in zip(codes[:n].tolist(), codes[n:].tolist(), bouts["score_a"].tolist(), bouts["finish"].tolist(), strict=True):
         k = scores.K_FINISH if finish else scores.K_BASE
         x, y, m, o = rating[i], rating[j], fights[i], fights[j]
@@ -96,9 +97,12 @@ def replay(bouts: pd.DataFrame, tilt: Tilt, start: dict[str, tuple[float, int]]
             up += k * (s - expected)
             down += k * (expected - s)
         rating[i], rating[j], fights[i], fights[j] = up, down, m + 1, o + 1
-        add((x, up, m + 1))
-        add((y, down, o + 1))
-    told = pd.DataFrame(out, columns=["before", "after", "fights"])
+        befores.append(x)
+        befores.append(y)
+        afters.append(up)
+        afters.append(down)
+        counts.append(m + 1)
+        counts.append(o + 1)
     each = bouts.loc[bouts.index.repeat(2)].reset_index(drop=True)
     second = np.arange(2 * n) % 2 == 1
     return pd.DataFrame(
@@ -108,9 +112,9 @@ def replay(bouts: pd.DataFrame, tilt: Tilt, start: dict[str, tuple[float, int]]
             "fighter": np.where(second, each["b"], each["a"]),
             "opponent": np.where(second, each["a"], each["b"]),
             "score": np.where(second, 1 - each["score_a"], each["score_a"]),
-            "before": told["before"],
-            "after": told["after"],
-            "fights": told["fights"],
+            "before": np.frombuffer(befores, "d"),
+            "after": np.frombuffer(afters, "d"),
+            "fights": np.frombuffer(counts, "i"),
         }
     )
 
@@ -121,20 +125,28 @@ TRACE = "key string, date date, fighter string, opponent string, score double, b
 def trace(bouts: DataFrame, tilt: Tilt = LIVE, seeds: DataFrame | None = None, *, slice_bouts: int = 2_000_000) -> DataFrame:
     """The rating of both sides before and after every bout (key, date, a, b, score_a, finish).
 
-    Bouts without a score don't count. seeds (fighter, seed) gives first ratings other than the usual. Slices
-    hold about slice_bouts bouts, and at least a day's.
+    Bouts without a score don't count. seeds (fighter, seed) gives first ratings other than the usual. Components
+    of at most slice_bouts bouts are played whole, all at once; the others in slices, which hold about slice_bouts
+    bouts, and at least a day's.
     """
     played = bouts.where(F.col("score_a").isNotNull() & F.col("date").isNotNull()).select(F.col("key").cast("string").alias("key"), F.col("date").cast("date").alias("date"), F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("score_a").cast("double").alias("score_a"), F.col("finish").cast("boolean").alias("finish"))
     state = None if seeds is None else seeds.select(F.col("fighter").cast("string").alias("fighter"), F.col("seed").cast("double").alias("rating"), F.lit(0).alias("fights"))
+    labels = components(played)
+    sizes = played.groupBy("a").agg(F.count("*").alias("n")).join(labels, F.col("a") == F.col("node")).groupBy("component").agg(F.sum("n").alias("n"))
+    large = checkpointed(sizes.where(F.col("n") > slice_bouts))
+    n = large.agg(F.sum("n")).first()[0] or 0
+    if not n:
+        return _played(played.join(labels, F.col("a") == F.col("node")).drop("node"), tilt, state)
+    sliced = labels.join(large.select("component"), "component", "left_semi").select(F.col("node").alias("a"))
+    parts = [_played(played.join(labels.join(large.select("component"), "component", "left_anti"), F.col("a") == F.col("node")).drop("node"), tilt, state)]
+    played = checkpointed(played.join(sliced, "a", "left_semi"))
     number = F.datediff("date", F.lit("1970-01-01").cast("date"))
-    n = played.count()
     slices = max(1, -(-n // slice_bouts))
     bounds = sorted(set(played.agg(F.percentile_approx(number, [k / slices for k in range(1, slices)], 10_000)).first()[0])) if slices > 1 else []
-    parts = []
     for low, high in zip([None, *bounds], [*bounds, None], strict=True):
         inside = F.lit(True) if low is None else number > low
         part = played.where(inside if high is None else inside & (number <= high))
-        told = _played_slice(part, tilt, state)
+        told = _played(part.join(components(part), F.col("a") == F.col("node")).drop("node"), tilt, state)
         if high is None:
             parts.append(told)
             break
@@ -145,8 +157,8 @@ def trace(bouts: DataFrame, tilt: Tilt = LIVE, seeds: DataFrame | None = None, *
     return reduce(DataFrame.unionByName, parts)
 
 
-def _played_slice(bouts: DataFrame, tilt: Tilt, state: DataFrame | None) -> DataFrame:
-    placed = bouts.join(components(bouts), F.col("a") == F.col("node")).drop("node")
+def _played(placed: DataFrame, tilt: Tilt, state: DataFrame | None) -> DataFrame:
+    """The trace of bouts with their component, from the ratings in state."""
     if state is not None:
         for side in ("a", "b"):
             placed = placed.join(state.select(F.col("fighter").alias(side), F.col("rating").alias(f"rating_{side}"), F.col("fights").alias(f"fights_{side}")), side, "left")
