@@ -8,6 +8,7 @@ paragraphs and gives only pairs that the first one hasn't found.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -24,21 +25,30 @@ SECTION_HEADING, TITLE_HEADING, LOOSE_PARAGRAPH = "article-heading", "article-su
 MARKS = "●○〇△◯×⚪⚫"
 METHOD_WORDS = "判定|反則|ノーコンテスト|棄権|降参|失格|不戦"
 MAX_LOOSE = 200
+LAYOUTS = "abcd"
 SPACE = "[\\s\\u3000]"
 ROWS = 4096  # of an Arrow batch
 
 _BLOCK = frozenset(BLOCK_TAGS.split())
 _TOKEN = re.compile(r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<(/?)([a-z][a-z0-9]*)\b([^>]*)>")
+_BLANKS, _SPACES, _AROUND_BREAKS = re.compile(r"[ \t\r\n\f]+"), re.compile(" +"), re.compile(" *\n *")
+_HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
 _CLASS, _BOLD = re.compile(r"""(?i)\bclass\s*=\s*["']?([^"'>]*)"""), re.compile(r"(?i)font-weight:\s*bold")
 BLOCKS = "n int, tag string, opens boolean, path string, headings array<string>, css string, bold boolean, pieces array<struct<kind:string,bold:boolean,text:string>>, text string"
-_PIECES = pa.list_(pa.struct([("kind", pa.string()), ("bold", pa.bool_()), ("text", pa.string())]))
-_TYPES = [pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_(), _PIECES, pa.string()]
+_TYPES = [pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_(), None, pa.string()]  # pieces: see _nested
 
 
 def _clean(text: str) -> str:
-    for entity, char in ENTITIES:
-        text = text.replace(entity, char)
-    return re.sub(r"[ \t\r\n\f]+", " ", text)
+    if "&" in text:
+        for entity, char in ENTITIES:
+            text = text.replace(entity, char)
+    return _BLANKS.sub(" ", text)
+
+
+def _nested(pieces: list[list[tuple[str, bool, str]]]) -> pa.Array:
+    ends = [0, *itertools.accumulate(map(len, pieces))]
+    kinds, bolds, texts = zip(*itertools.chain.from_iterable(pieces), strict=True)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(bolds, pa.bool_()), pa.array(texts, pa.string())], names=["kind", "bold", "text"]))
 
 
 class Page:
@@ -62,11 +72,13 @@ class Page:
 
     def _text(self, raw: str) -> None:
         if raw:
-            link = any(t == "a" for t, _ in self.inline)
-            self.pieces.append(("link" if link else "text", any(b for _, b in self.inline), _clean(raw)))
+            link = bold = False
+            for t, b in self.inline:
+                link, bold = link or t == "a", bold or b
+            self.pieces.append(("link" if link else "text", bold, _clean(raw)))
 
     def _tag(self, name: str, closes: bool, attributes: str) -> None:
-        bold = bool(_BOLD.search(attributes)) or name in ("b", "strong")
+        bold = name in ("b", "strong") or bool(attributes and _BOLD.search(attributes))
         if name not in _BLOCK:
             if name == "br":
                 self.pieces.append(("break", False, "\n"))
@@ -87,18 +99,27 @@ class Page:
         while self.stack and (self.stack[-1][0] == "p" or self.stack[-1][0] in CLOSED_BY.get(name, ())):
             self.stack.pop()
         if name != "hr":
-            css = _CLASS.search(attributes)
-            self.stack.append((name, css[1].strip() if css else "", bool(_BOLD.search(attributes))))
+            css = _CLASS.search(attributes) if attributes else None
+            self.stack.append((name, css[1].strip() if css else "", bool(attributes and _BOLD.search(attributes))))
 
     def _flush(self) -> None:
-        pieces, self.pieces, self.inline = self.pieces, [], []
-        text = re.sub(" *\n *", "\n", re.sub(" +", " ", "".join(t for _, _, t in pieces))).strip(" \n")
+        if self.inline:
+            self.inline = []
+        if not self.pieces:
+            return
+        pieces, self.pieces = self.pieces, []
+        text = "".join([t for _, _, t in pieces])
+        if "  " in text:
+            text = _SPACES.sub(" ", text)
+        if "\n" in text:
+            text = _AROUND_BREAKS.sub("\n", text)
+        text = text.strip(" \n")
         if not text:
             return
         tag, css, bold = self.stack[-1] if self.stack else ("", "", False)
-        path = "/".join(t for t, _, _ in self.stack)
+        path = "/".join([t for t, _, _ in self.stack])
         self.rows.append((len(self.rows), tag, self.opens, path, [h for _, h in self.headings], css, bold, pieces, text))
-        if re.fullmatch("h[1-6]", tag):
+        if tag in _HEADINGS:
             level = int(tag[1])
             self.headings = [(k, h) for k, h in self.headings if k < level] + [(level, text)]
 
@@ -116,8 +137,7 @@ def blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
                 rows += [(at, *r) for r in Page(batch.column(1)[at].as_py() or "").rows]
                 if rows and (len(rows) >= ROWS or at == batch.num_rows - 1):
                     columns = [list(c) for c in zip(*rows, strict=True)]
-                    columns[8] = [[{"kind": k, "bold": bold, "text": t} for k, bold, t in pieces] for pieces in columns[8]]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0])), *(pa.array(c, t) for c, t in zip(columns[1:], _TYPES, strict=True))], names=names)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0])), *(_nested(c) if t is None else pa.array(c, t) for c, t in zip(columns[1:], _TYPES, strict=True))], names=names)
                     rows = []
 
     return pages.select(key, F.col(html).cast("string")).mapInArrow(cut, f"{key} {kind}, {BLOCKS}")
@@ -152,46 +172,56 @@ def _bout(rule: Column, a: Column, b: Column, mark_a: Column, mark_b: Column, me
     return F.when(fits & (parts["a"] != "") & (parts["b"] != ""), F.struct(*(v.alias(k) for k, v in parts.items())))
 
 
-def _joined(pieces: Column) -> Column:
-    return F.trim(F.regexp_replace(F.array_join(F.transform(pieces, lambda p: p["text"]), ""), "[ \\n]+", " "))
-
+def _with_layouts(rows: DataFrame) -> DataFrame:
+    """Blocks with what they show in each layout: names linked within bold text (a); a subtitle in brackets (b); a bold paragraph with links (c); one without (d).
 
-def layouts() -> dict[str, Column]:
-    """What a block shows in each layout: names linked within bold text; a subtitle in brackets; a bold paragraph with links; one without."""
-    pieces = F.col("pieces")
-    spot = F.transform(pieces, lambda p, k: F.struct(k.alias("k"), p["kind"].alias("kind"), p["bold"].alias("bold"), p["text"].alias("text")))
-    linked = F.filter(spot, lambda p: p["kind"] == "link")
-    first, second = F.try_element_at(linked, F.lit(1)), F.try_element_at(linked, F.lit(2))
-    bold = F.filter(spot, lambda p: p["bold"])
-    low, high = F.array_min(F.transform(bold, lambda p: p["k"])), F.array_max(F.transform(bold, lambda p: p["k"]))
-    between = lambda a, b: _joined(F.filter(spot, lambda p: (p["k"] > a) & (p["k"] < b)))
-    end = F.size(pieces)
-    two = (F.col("tag") == "p") & (F.size(linked) == 2)
-    a = _bout(between(F.lit(-1), low), first["text"], second["text"], _mark(between(low - 1, first["k"])), _mark(between(second["k"], high + 1)), between(high, end), two & ~F.col("bold") & first["bold"] & second["bold"])
+    Each place and text is a column that later ones name, so that it is found once for a block.
+    """
+    kinds, bolds, texts, n = F.col("pieces.kind"), F.col("pieces.bold"), F.col("pieces.text"), F.size("pieces")
+    place = lambda array, x: F.array_position(array, F.lit(x)).cast("int")
+    one, two, low, high = (F.col(c) for c in ("__one", "__two", "__low", "__high"))  # from 1: links, first and last bold piece
+    rows = rows.withColumns({"__one": place(kinds, "link"), "__low": place(bolds, True), "__high": n + 1 - place(F.reverse(bolds), True)})
+    rows = rows.withColumn("__next", F.when(one > 0, place(F.slice(kinds, one + 1, n), "link")).otherwise(0))
+    rows = rows.withColumn("__two", F.when(F.col("__next") > 0, one + F.col("__next")))
+    rows = rows.withColumn("__linked", F.coalesce((F.col("tag") == "p") & (place(F.slice(kinds, two + 1, n), "link") == 0), F.lit(False)))
+    # the pieces between two of them
+    between = lambda a, b: F.trim(F.regexp_replace(F.array_join(F.slice(texts, a + 1, F.greatest(b - a - 1, F.lit(0))), ""), "[ \\n]+", " "))
+    start, end, none = F.lit(0), n + 1, F.lit(None).cast("string")
+    found = lambda fits, **parts: F.when(fits, F.struct(*(v.alias(k) for k, v in parts.items())))
+    text = lambda k: F.element_at(texts, k)
     old = r"^[\[［](\w+)[\]］]\s*(.+?)\s*（([\s\S]*?)）\s*(.+?)\s*[\[［](\w+)[\]］]".replace(r"\s", SPACE)
-    old_part = lambda k: F.regexp_extract("text", old, k)
-    b = _bout(F.lit(None).cast("string"), old_part(2), old_part(4), _mark(old_part(1)), _mark(old_part(5)), old_part(3), (F.col("tag") == "h3") & F.col("css").contains(TITLE_HEADING) & F.col("text").rlike(old))
-    rest = between(second["k"], end)
-    marked = F.regexp_extract(rest, r"^\(?(\w+)\)?", 1)
-    c = _bout(F.lit(""), first["text"], second["text"], _mark(between(F.lit(-1), first["k"])), _mark(F.nullif(marked, F.lit(""))), F.regexp_replace(rest, r"^\(?\w+\)?", ""), two & F.col("bold"))
     plain = r"^(?:\((\w+)\))?\s*(.+?)\s*\(([\s\S]*?)\)\s*(.+?)\s*(?:\((\w+)\))?$".replace(r"\s", SPACE)
     line = F.regexp_replace("text", "\\n", " ")
-    part = lambda k: F.regexp_extract(line, plain, k)
-    d = _bout(F.lit(None).cast("string"), part(2), part(4), _mark(F.nullif(part(1), F.lit(""))), _mark(F.nullif(part(5), F.lit(""))), part(3), (F.col("tag") == "p") & F.col("bold") & (F.size(linked) == 0) & line.rlike(plain))
-    return {"a": a, "b": b, "c": c, "d": d}
+    of_old, of_plain = (lambda k: F.regexp_extract("text", old, k)), (lambda k: F.regexp_extract(line, plain, k))
+    linked, bold = F.col("__linked"), F.col("bold")
+    rows = rows.withColumns(
+        {
+            "__a": found(linked & ~bold & F.element_at(bolds, one) & F.element_at(bolds, two), rule=between(start, low), a=text(one), b=text(two), mark_a=between(low - 1, one), mark_b=between(two, high + 1), method=between(high, end)),
+            "__b": found((F.col("tag") == "h3") & F.col("css").contains(TITLE_HEADING) & F.col("text").rlike(old), rule=none, a=of_old(2), b=of_old(4), mark_a=of_old(1), mark_b=of_old(5), method=of_old(3)),
+            "__c": found(linked & bold, rule=F.lit(""), a=text(one), b=text(two), mark_a=between(start, one), mark_b=none, method=between(two, end)),
+            "__d": found((F.col("tag") == "p") & bold & (one == 0) & line.rlike(plain), rule=none, a=of_plain(2), b=of_plain(4), mark_a=F.nullif(of_plain(1), F.lit("")), mark_b=F.nullif(of_plain(5), F.lit("")), method=of_plain(3)),
+        }
+    )
+    behind = F.col("__c.method")
+    of_c = {"mark_b": F.nullif(F.regexp_extract(behind, r"^\(?(\w+)\)?", 1), F.lit("")), "method": F.regexp_replace(behind, r"^\(?\w+\)?", "")}
+    shown = {}
+    for k in LAYOUTS:
+        x = F.col(f"__{k}")
+        parts = {c: x[c] for c in ("rule", "a", "b", "mark_a", "mark_b", "method")} | (of_c if k == "c" else {})
+        shown[f"layout_{k}"] = _bout(parts["rule"], parts["a"], parts["b"], _mark(parts["mark_a"]), _mark(parts["mark_b"]), parts["method"], x.isNotNull())
+    return rows.withColumns(shown)
 
 
 def bouts(rows: DataFrame, key: str) -> DataFrame:
     """The bout of each section: the first block that fits layout a, else b, c or d; a rule in brackets may stand in a block of its own."""
-    placed = sections(rows, key)
-    shown = layouts()
-    placed = placed.withColumns({f"layout_{k}": v for k, v in shown.items()})
-    rule = F.regexp_extract("text", r"^\s*［([\s\S]*?)］\s*$", 1)
-    found = placed.groupBy(key, "part", "title", "heading").agg(
-        *(F.min_by(F.col(f"layout_{k}"), F.when(F.col(f"layout_{k}").isNotNull(), F.col("n"))).alias(k) for k in shown),
-        F.min_by(rule, F.when((F.col("tag") == "p") & (rule != ""), F.col("n"))).alias("bracketed"),
-    )
-    bout, layout = F.coalesce(*shown), F.coalesce(*(F.when(F.col(k).isNotNull(), k) for k in shown))
+    # headings, and paragraphs that can be a bout or a rule; what they show is told before rows move, without their pieces
+    is_heading = F.col("tag").isin("h2", "h3") & (F.col("css").contains(SECTION_HEADING) | F.col("css").contains(TITLE_HEADING))
+    may_show = (F.col("tag") == "p") & (F.col("bold") | F.col("text").contains("［") | F.exists("pieces", lambda p: p["kind"] == "link"))
+    rule = F.when(F.col("tag") == "p", F.nullif(F.regexp_extract("text", r"^\s*［([\s\S]*?)］\s*$", 1), F.lit("")))
+    slim = _with_layouts(rows.where(is_heading | may_show)).select(key, "n", "tag", "css", F.when(is_heading, F.col("text")).alias("text"), *(f"layout_{k}" for k in LAYOUTS), rule.alias("rule"))
+    first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("n")))
+    found = sections(slim, key).groupBy(key, "part", "title", "heading").agg(*(first(f"layout_{k}").alias(k) for k in LAYOUTS), first("rule").alias("bracketed"))
+    bout, layout = F.coalesce(*LAYOUTS), F.coalesce(*(F.when(F.col(k).isNotNull(), k) for k in LAYOUTS))
     found = found.select(key, "part", "title", "heading", "bracketed", bout.alias("x"), layout.alias("layout")).where("x is not null")
     return found.select(key, "part", "title", "heading", "layout", F.coalesce("x.rule", "bracketed", F.lit("")).alias("rule"), "x.a", "x.b", "x.mark_a", "x.mark_b", "x.method")
 
