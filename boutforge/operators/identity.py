@@ -5,18 +5,27 @@ those of up to ``part_edges`` edges are gone through in tasks that hold some par
 between two clusters is decided when it is the first one left at both of them. Constraints only tighten as clusters
 grow, so all such edges can be decided at once, and rounds of them, until parts are small, give what going through all
 edges one by one would. A round is a handful of joins and aggregates; the number of rounds isn't that of a chain of
-edges each of which waits for the one before, unless a part is large.
+edges each of which waits for the one before, unless a part is large. Repeats of bouts concern one pair each: its
+tellings come together and in order by one shuffle, and are gone through once.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .lineage import checkpointed
 from .rating import components
 
+ROWS = 4096  # of an Arrow batch
+
 
 def _compatible(a: Column, b: Column) -> Column:
     """No gym of one set is other than each of the other set: equal names, or one within the other."""
@@ -115,8 +124,39 @@ def roster_union(rows: DataFrame, *, part_edges: int = 250_000) -> DataFrame:
     return _contracted(settled, nodes, conflicts=False, part_edges=part_edges).select("ord", F.col("root").alias("entity"))
 
 
-def _one_event(a: Column, b: Column) -> Column:
-    return F.coalesce((a != "") & (b != "") & (a.contains(b) | b.contains(a)), F.lit(False))
+def _told_once(tellings: list[tuple], days: int) -> Iterator[tuple]:
+    """The bouts of one pair from its tellings (ord, fighter, opponent, day, event, source, title, event_key) in order of ord."""
+    if len(tellings) == 1:
+        yield (*tellings[0][:6], tellings[0][6] or None, [])
+        return
+    fits = lambda a, b: bool(a and b and (a in b or b in a))
+    bouts: list[list[tuple]] = []  # the first telling of each leads
+    of_day: dict[int, int] = {}  # the bout that a day's tellings belong to
+    leads: dict[int, int] = {}  # the bouts whose lead is of that day
+    first: dict[str, int] = {}  # the first bout of each event
+    for r in tellings:
+        if (day := r[3]) is None:
+            continue
+        if day not in of_day:
+            near = [leads[d] for d in range(day - days, day + days + 1) if d in leads]
+            of_day[day] = min((k for k in near if fits(bouts[k][0][7], r[7])), default=len(bouts))
+        if (k := of_day[day]) == len(bouts):
+            leads[day] = k
+            first.setdefault(r[7], k)
+            bouts.append([])
+        bouts[k].append(r)
+    undated = [r for r in tellings if r[3] is None]
+    of_event = {e: min((k for other, k in first.items() if fits(e, other)), default=None) for e in {r[7] for r in undated}}
+    for r in undated:
+        k = of_event[r[7]]
+        if k is None:
+            bouts.append([r])
+        else:
+            bouts[k].append(r)
+    for lead, *rest in bouts:
+        rest.sort(key=lambda r: r[0])
+        title = next((r[6] for r in (lead, *rest) if r[6]), None)
+        yield (*lead[:6], title, [x for x in dict.fromkeys(r[5] for r in rest) if x != lead[5]])
 
 
 def repeated_bouts(rows: DataFrame, days: int = 1) -> DataFrame:
@@ -128,36 +168,21 @@ def repeated_bouts(rows: DataFrame, days: int = 1) -> DataFrame:
     that opponent and event, and rows that have none stay. A bout keeps its first dated row's ord, date and event and
     the first title there is. Rows without an opponent are never joined, rows without ord are left out. ``also_from`` lists the other sources.
     """
-    clean = rows.where("ord is not null").withColumns({"event_key": F.lower(F.regexp_replace(F.coalesce("event", F.lit("")), r"\s+", "")), "day": F.datediff("date", F.lit("1970-01-01").cast("date"))})
-    keys = ["fighter", "opponent"]
-    known = clean.where("opponent is not null")
-    told = F.array_sort(F.collect_list(F.struct("ord", "source", "title")))  # one bout's tellings
-    same_day = checkpointed(known.where("day is not null").groupBy(*keys, "day").agg(F.min_by(F.struct("ord", "date", "event", "event_key"), "ord").alias("h"), told.alias("told")).select(*keys, "day", "h.*", "told"))
-    # days of one opponent in a row: each has a neighbour before and after at most for each day of distance
-    state = same_day.select(*keys, "day", "ord", "event_key", F.lit(None).cast(rows.schema["ord"].dataType).alias("head"))
-    w = Window.partitionBy(*keys).orderBy("day").rangeBetween(-days, days)
-    while True:
-        near = F.collect_list(F.struct("ord", "day", "event_key", "head")).over(w)  # 2 * days + 1 at most
-        close = F.filter("near", lambda o: (o["ord"] < F.col("ord")) & _one_event(o["event_key"], F.col("event_key")))
-        heads = F.filter("close", lambda o: o["head"] == o["ord"])
-        undecided = F.exists("close", lambda o: o["head"].isNull())
-        first_head = F.array_min(F.transform("heads", lambda o: o["ord"]))
-        first_open = F.array_min(F.transform(F.filter("close", lambda o: o["head"].isNull()), lambda o: o["ord"]))
-        decided = F.when(F.col("head").isNotNull(), F.col("head")).when(first_head.isNotNull() & (first_open.isNull() | (first_head < first_open)), first_head).when(~undecided & first_head.isNull(), F.col("ord"))
-        state = checkpointed(state.withColumn("near", near).withColumn("close", close).withColumn("heads", heads).select(*keys, "day", "ord", "event_key", decided.alias("head")))
-        if not state.where("head is null").take(1):
-            break
-    dated = same_day.join(state.select("ord", "head"), "ord")
-    # rows without a date: their events against the events of that opponent's bouts, not rows against rows
-    loose = known.where("day is null")
-    events = dated.where("ord = head").groupBy(*keys, "event_key").agg(F.min("ord").alias("head")).withColumnRenamed("event_key", "other")
-    found = loose.select(*keys, "event_key").distinct().join(events, keys).where(_one_event(F.col("event_key"), F.col("other"))).groupBy(*keys, "event_key").agg(F.min("head").alias("head"))
-    placed = loose.join(found, [*keys, "event_key"], "left").withColumn("head", F.coalesce("head", "ord"))
-    tellings = dated.select("head", F.explode("told").alias("t")).unionByName(placed.select("head", F.struct("ord", "source", "title").alias("t")))
-    tellings = tellings.unionByName(clean.where("opponent is null").select(F.col("ord").alias("head"), F.struct("ord", "source", "title").alias("t")))
-    bouts = tellings.groupBy("head").agg(F.array_sort(F.collect_list("t")).alias("t"))  # one bout's tellings
-    lead = F.filter("t", lambda x: x["ord"] == F.col("head"))[0]
-    ordered = F.concat(F.array(lead), F.filter("t", lambda x: x["ord"] != F.col("head")))
-    others = F.array_distinct(F.transform(F.filter("t", lambda x: x["ord"] != F.col("head")), lambda x: x["source"]))
-    title = F.try_element_at(F.filter(F.transform(ordered, lambda x: x["title"]), lambda x: x.isNotNull() & (x != "")), F.lit(1))
-    return bouts.join(rows.select(F.col("ord").alias("head"), "fighter", "opponent", "date", "event", "source"), "head").select(F.col("head").alias("ord"), "fighter", "opponent", "date", "event", "source", title.alias("title"), F.array_remove(others, F.col("source")).alias("also_from"))
+    event_key = F.lower(F.regexp_replace(F.coalesce("event", F.lit("")), r"\s+", ""))
+    clean = rows.where("ord is not null").select("ord", "fighter", "opponent", F.datediff("date", F.lit("1970-01-01").cast("date")).alias("day"), "event", "source", "title", event_key.alias("event_key"))
+    known = clean.where("opponent is not null").repartition("fighter", "opponent").sortWithinPartitions("fighter", "opponent", "ord")
+    types = {f.name: f.dataType.simpleString() for f in clean.schema.fields}
+    told = ", ".join(f"{c} {types[c]}" for c in ("ord", "fighter", "opponent", "day", "event", "source", "title")) + ", also_from array<string>"
+
+    arrow = to_arrow_schema(StructType.fromDDL(told))
+    names, arrow_types = arrow.names, arrow.types
+
+    def gone_through(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tellings = itertools.chain.from_iterable(zip(*(c.to_pylist() for c in batch.columns), strict=True) for batch in batches)
+        bouts = itertools.chain.from_iterable(_told_once(list(own), days) for _, own in itertools.groupby(tellings, key=lambda r: r[1:3]))
+        while part := list(itertools.islice(bouts, ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), arrow_types, strict=True)], names=names)
+
+    single = clean.where("opponent is null").select("ord", "fighter", "opponent", "day", "event", "source", F.nullif("title", F.lit("")).alias("title"), F.array().cast("array<string>").alias("also_from"))
+    found = known.mapInArrow(gone_through, told).unionByName(single)
+    return found.select("ord", "fighter", "opponent", F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")).alias("date"), "event", "source", "title", "also_from")

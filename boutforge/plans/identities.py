@@ -45,11 +45,11 @@ FROM f LEFT JOIN u ON u.fighter = f.fighter AND u.opponent = f.opponent""")
 def bouts_told_once(spark, sf_dir):
     """All bouts as their organiser tells them, some a day late by a wiki and some without a date elsewhere; a sponsor's name stands before an event's."""
     day = F.datediff("date", F.lit("1970-01-01").cast("date"))
-    rows = bouts(spark, sf_dir).withColumns({"fighter": F.col("a"), "opponent": F.col("b")})
     number = lambda source: F.concat(F.lit(str(source)), F.lpad(day.cast("string"), 6, "0"), F.lpad(F.col("bout_id").cast("string"), 20, "0"))
-    form = lambda part, source, name, date, event, title: part.select(number(source).alias("ord"), "fighter", "opponent", date.alias("date"), event.alias("event"), F.lit(name).alias("source"), F.lit(title).cast("string").alias("title"))
-    official = form(rows, 0, "official", F.col("date"), F.concat(F.lit("Cup "), "org"), None)
-    wiki = form(rows.where("bout_id % 3 = 0"), 1, "wiki", F.date_add("date", 1), F.concat(F.lit("Sponsor presents CUP"), "org"), None)
-    web = form(rows.where("bout_id % 5 = 0"), 2, "web", F.lit(None).cast("date"), F.concat(F.lit("cup "), "org"), "final")
-    found = identity.repeated_bouts(official.unionByName(wiki).unionByName(web))
+    form = lambda source, name, date, event, title: F.struct(number(source).alias("ord"), F.col("a").alias("fighter"), F.col("b").alias("opponent"), date.alias("date"), event.alias("event"), F.lit(name).alias("source"), F.lit(title).cast("string").alias("title"))
+    official = form(0, "official", F.col("date"), F.concat(F.lit("Cup "), "org"), None)
+    wiki = form(1, "wiki", F.date_add("date", 1), F.concat(F.lit("Sponsor presents CUP"), "org"), None)
+    web = form(2, "web", F.lit(None).cast("date"), F.concat(F.lit("cup "), "org"), "final")
+    told = F.array_compact(F.array(official, F.when(F.col("bout_id") % 3 == 0, wiki), F.when(F.col("bout_id") % 5 == 0, web)))
+    found = identity.repeated_bouts(bouts(spark, sf_dir).select(F.explode(told).alias("x")).select("x.*"))
     return found.select("fighter", "opponent", F.col("date").cast("string").alias("date"), "source", "title", F.array_join("also_from", ",").alias("also_from"))
