@@ -32,6 +32,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ROWS = 400_000  # of a task, about
+
+
+def dealt(rows: DataFrame, *keys: str, sides: int = 1) -> DataFrame:
+    """Rows of a table (counted by its files' footers) brought together by keys in tasks whose number grows with the rows, so that none holds much more than the others.
+
+    sides: how many rows each of those counted will be. At least as many tasks as the cluster runs at once, however small the files.
+    """
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() * sides // ROWS))
+    return rows.repartition(tasks, *keys)
+
+
 def bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     score = F.when(F.col("l_tax") > 0.075, F.lit(None).cast("double")).when(F.col("l_returnflag") == "A", 1.0).when(F.col("l_returnflag") == "R", 0.0).otherwise(0.5)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import pages
 from .registry import query
-from .testdata import table
+from .testdata import dealt, table
 
 
 def _page(rows: DataFrame, key: str, order: list[str], line: Column, head: str, foot: str) -> DataFrame:
@@ -38,7 +38,7 @@ def english_record_pages(spark, sf_dir):
 '大会' || o_orderkey AS event, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date, CASE WHEN o_orderstatus = 'P' THEN '—' ELSE 'R' || (1 + o_orderkey % 3) END AS round FROM orders""")
 def japanese_record_pages(spark, sf_dir):
     """Nested templates and links, an amateur section and a kick section that don't count."""
-    o = table(spark, sf_dir, "orders")
+    o = dealt(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate"), "o_custkey")
     mark = F.when(F.col("o_orderstatus") == "F", "○").when(F.col("o_orderstatus") == "O", "×").otherwise("－")
     method = F.when(F.col("o_orderstatus") == "P", "ノーコンテスト").otherwise(_put("%dR 2:03 {{small|%s}}", 1 + F.col("o_orderkey") % 3, "o_orderpriority"))
     line = _put("{{Fight-cont|%s|[[項目%d|選手%d]]<ref>{{cite|x}}</ref>|%s|[[大会%d]]|%d年%d月 %d日}}\n", mark, "o_orderkey", "o_orderkey", method, "o_orderkey", *_day())
@@ -54,7 +54,7 @@ def customer_boxes(spark, sf_dir):
     k = F.col("c_custkey")
     kind = lambda a, b: F.when(k % 2 == 0, a).otherwise(b)
     text = _put("{{Infobox\n| other_names = Old %d (former), Nick %d\n| birth_place = [[Town|City %d]], Japan\n| birth_date = {{birth date and age|%s%d|%d|%d}}\n| %s = %d\n| %s = %d\n| KO = %d\n}}", k, k, "c_nationkey", kind("df=yes|", ""), 1970 + k % 30, 1 + k % 12, 1 + k % 28, kind("wins", "win"), k % 40, kind("losses", "loss"), k % 7, k % 5)
-    rows = table(spark, sf_dir, "customer").select(k.alias("page"), text.alias("text"))
+    rows = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey").select(k.alias("page"), text.alias("text"))
     return rows.select("page", pages.infobox(F.col("text"), F.lit("2024-06-14").cast("date")).alias("b"), pages.stated_totals(F.col("text")).alias("t")).select("page", "b.nickname", "b.birth_place", "b.age", "t.wins", "t.losses", "t.draws", "t.ko")
 
 

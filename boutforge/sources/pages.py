@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, dates
 from ..functions.markup import decoded
+from ..functions.results import once
 from .feeds import balanced_blocks, template_params
 
 # Markup that goes, in this order.
@@ -120,16 +121,16 @@ def fight_rows(pages: DataFrame, text: str) -> DataFrame:
 
 def field(text: Column, name: str) -> Column:
     """A template's field to the end of its line, plain; null where it is empty or missing."""
-    return F.nullif(wiki_plain(F.regexp_extract(text, rf"(?i)\|[ \t]*{name}[ \t]*=[ \t]*([^\n]*)", 1)), F.lit(""))
+    raw = F.regexp_extract(text, rf"(?i)\|[ \t]*{name}[ \t]*=[ \t]*([^\n]*)", 1)
+    return once(raw, lambda x: F.when(x != "", F.nullif(wiki_plain(x), F.lit(""))))
 
 
 def stated_totals(text: Column) -> Column:
     """A struct of the totals that a record box states; null without wins and losses."""
-    scope = mma_section(text)
-    number = lambda names: F.coalesce(*(F.regexp_extract(field(scope, n), r"^(\d+)$", 1).try_cast("int") for n in names))
-    found = {k: number(v) for k, v in TOTALS.items()}
-    row = F.struct(*((found[k] if k in ("wins", "losses") else F.coalesce(found[k], F.lit(0))).alias(k) for k in TOTALS))
-    return F.when(found["wins"].isNotNull() & found["losses"].isNotNull(), row)
+    number = lambda scope, names: F.coalesce(*(F.regexp_extract(field(scope, n), r"^(\d+)$", 1).try_cast("int") for n in names))
+    found = lambda scope: F.struct(*(number(scope, v).alias(k) for k, v in TOTALS.items()))
+    told = lambda t: F.struct(*((t[k] if k in ("wins", "losses") else F.coalesce(t[k], F.lit(0))).alias(k) for k in TOTALS))
+    return once(once(mma_section(text), found), lambda t: F.when(t["wins"].isNotNull() & t["losses"].isNotNull(), told(t)))
 
 
 def infobox(text: Column, at: Column) -> Column:
