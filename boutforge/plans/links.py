@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import dedupe, quality, resolve
 from ..operators.bouts import two_sided
 from .registry import query
-from .testdata import BOUTS_SQL, bouts, sides, table
+from .testdata import BOUTS_SQL, bouts, dealt_sides, sides, table
 
 
 @query("SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY p_name")
@@ -51,7 +51,8 @@ def weight_class_lookup(spark, sf_dir):
 
 @query(f"{BOUTS_SQL} SELECT fighter, opponent, count(*) AS bouts, count(*) FILTER (WHERE result = 'win') AS wins, max(date) AS latest FROM sides GROUP BY fighter, opponent HAVING count(*) > 1", dates=("latest",))
 def head_to_head(spark, sf_dir):
-    return sides(spark, sf_dir).groupBy("fighter", "opponent").agg(F.count("*").alias("bouts"), F.count(F.when(F.col("result") == "win", 1)).alias("wins"), F.max("date").alias("latest")).where("bouts > 1")
+    # partial counts of pairs that mostly meet once are as many as the rows: the rows are dealt first
+    return dealt_sides(spark, sf_dir, "fighter", "opponent").groupBy("fighter", "opponent").agg(F.count("*").alias("bouts"), F.count(F.when(F.col("result") == "win", 1)).alias("wins"), F.max("date").alias("latest")).where("bouts > 1")
 
 
 @query(f"""{BOUTS_SQL}, x AS (SELECT opponent, row_number() OVER (PARTITION BY opponent ORDER BY date, bout_id) AS nth, date AS date_a, result AS result_a FROM sides WHERE fighter = 'S1' AND opponent IN (SELECT opponent FROM sides WHERE fighter = 'S2')),
@@ -111,10 +112,11 @@ def opponent_standing_as_of(spark, sf_dir):
     """The record that the opponent had on the day: running counts in one window instead of a range join."""
     from pyspark.sql import Window
 
-    s = sides(spark, sf_dir)
-    so_far = Window.partitionBy("fighter").orderBy("date").rangeBetween(Window.unboundedPreceding, 0)
-    daily = s.select("fighter", F.col("date"), F.count("*").over(so_far).alias("opponent_bouts"), F.count(F.when(F.col("result") == "win", 1)).over(so_far).alias("opponent_wins")).distinct().withColumnRenamed("fighter", "opponent")
-    won = s.where("result = 'win' and date >= '2001-06-01'").select("bout_id", "fighter", "opponent", "date")
+    s = dealt_sides(spark, sf_dir, "fighter").select("fighter", "opponent", "bout_id", "date", "result")
+    days = s.groupBy("fighter", "date").agg(F.count("*").alias("n"), F.count(F.when(F.col("result") == "win", 1)).alias("w"))
+    so_far = Window.partitionBy("fighter").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    daily = days.select(F.col("fighter").alias("opponent"), "date", F.sum("n").over(so_far).alias("opponent_bouts"), F.sum("w").over(so_far).alias("opponent_wins"))
+    won = s.where("result = 'loss' and date >= '2001-06-01'").select("bout_id", F.col("opponent").alias("fighter"), F.col("fighter").alias("opponent"), "date")
     return won.join(daily, ["opponent", "date"]).select("bout_id", "fighter", "opponent", "opponent_bouts", "opponent_wins")
 
 

@@ -35,13 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ROWS = 400_000  # of a task, about
 
 
-def dealt(rows: DataFrame, *keys: str, sides: int = 1) -> DataFrame:
-    """Rows of a table (counted by its files' footers) brought together by keys in tasks whose number grows with the rows, so that none holds much more than the others.
+def tasks_for(rows: DataFrame, times: int = 1) -> int:
+    """A number of tasks that grows with the rows (times as many as a table's files hold): at least what the cluster runs at once."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() * times // ROWS))
 
-    sides: how many rows each of those counted will be. At least as many tasks as the cluster runs at once, however small the files.
-    """
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() * sides // ROWS))
-    return rows.repartition(tasks, *keys)
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """A table's rows brought together by keys, in tasks none of which holds many."""
+    return rows.repartition(tasks_for(rows), *keys)
 
 
 def bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,3 +66,8 @@ def bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two_sided(bouts(spark, sf_dir), "bout_id", "date", "division", "org", "kind", "opener", "quantity", "finish")
+
+
+def dealt_sides(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    """Sides brought together by keys, in tasks none of which holds many."""
+    return sides(spark, sf_dir).repartition(tasks_for(table(spark, sf_dir, "lineitem"), 2), *keys)
