@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+from functools import reduce
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions.markup import decoded
 
+ROWS = 4096  # of an Arrow batch
+_BRACES, _BRACKETS_OR_BAR = re.compile(r"\{\{|\}\}"), re.compile(r"\{\{|\[\[|\}\}|\]\]|\|")
+
 
 def _inner(item: Column, tag: str) -> Column:
     raw = F.regexp_extract(item, f"(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>", 1)
@@ -51,16 +59,12 @@ def balanced_blocks_of(text: str, opening: str) -> list[str]:
     """The blocks ``{{name ...}}`` of a wiki text, with what is nested in them."""
     out, at = [], text.find(opening)
     while at >= 0:
-        depth, i = 0, at
-        while i < len(text):
-            two = text[i : i + 2]
-            if two in ("{{", "}}"):
-                depth += 1 if two == "{{" else -1
-                i += 2
-                if depth == 0:
-                    break
-            else:
-                i += 1
+        depth, i = 0, len(text)
+        for brace in _BRACES.finditer(text, at):
+            depth += 1 if brace[0] == "{{" else -1
+            if depth == 0:
+                i = brace.end()
+                break
         out.append(text[at:i])
         at = text.find(opening, i)
     return out
@@ -78,23 +82,42 @@ def params_of(block: str) -> list[str]:
     """A template's parameters: split at bars outside nested templates and links."""
     out, depth, last = [], 0, 0
     body = block[2:-2] if block.startswith("{{") else block
-    i = 0
-    while i < len(body):
-        two = body[i : i + 2]
-        if two in ("{{", "[[", "}}", "]]"):
-            depth += 1 if two in ("{{", "[[") else -1
-            i += 2
-            continue
-        if body[i] == "|" and depth == 0:
-            out.append(body[last:i].strip())
-            last = i + 1
-        i += 1
+    for mark in _BRACKETS_OR_BAR.finditer(body):
+        if mark[0] != "|":
+            depth += 1 if mark[0] in ("{{", "[[") else -1
+        elif depth == 0:
+            out.append(body[last : mark.start()].strip())
+            last = mark.end()
     return [*out, body[last:].strip()]
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def template_params(s: pd.Series) -> pd.Series:
-    return s.map(params_of, na_action="ignore")
+def templates(pages: DataFrame, text: str, opening: str, without: list[str]) -> DataFrame:
+    """The blocks ``{{name ...}}`` of each text with their place and parameters p; what fits one of without goes first.
+
+    Texts are gone through once, by one worker for a task, which holds an Arrow batch and the blocks of some thousand
+    rows.
+    """
+    keep = [c for c in pages.columns if c != text]
+    gone = [re.compile(w) for w in without]
+    kinds = [*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep), "place int", "p array<string>"]
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known, texts = batch.select(keep), batch.column(len(keep))
+            rows: list[int] = []
+            places: list[int] = []
+            params: list[list[str]] = []
+            for at in range(batch.num_rows):
+                for place, block in enumerate(balanced_blocks_of(texts[at].as_py() or "", opening)):
+                    rows.append(at)
+                    places.append(place)
+                    params.append(params_of(reduce(lambda t, w: w.sub("", t), gone, block)))
+                if rows and (len(rows) >= ROWS or at == batch.num_rows - 1):
+                    own = known.take(pa.array(rows)).columns
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(places, pa.int32()), pa.array(params, pa.list_(pa.string()))], names=[*keep, "place", "p"])
+                    rows, places, params = [], [], []
+
+    return pages.select(*keep, F.col(text).cast("string")).mapInArrow(find, ", ".join(kinds))
 
 
 @F.pandas_udf(StringType())

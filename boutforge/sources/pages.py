@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, dates
 from ..functions.markup import decoded
 from ..functions.results import once
-from .feeds import balanced_blocks, template_params
+from .feeds import templates
 
 # Markup that goes, in this order.
 WIKI_MARKUP = [
@@ -99,24 +99,26 @@ def mma_section(text: Column) -> Column:
 def fight_rows(pages: DataFrame, text: str) -> DataFrame:
     """The bouts of Japanese record templates: result, opponent, method, event, date and round, newest first."""
     keep = [c for c in pages.columns if c != text]
-    blocks = pages.select(*keep, F.posexplode(balanced_blocks(mma_section(F.col(text)), "{{Fight-cont")).alias("place", "__block"))
-    bare = F.regexp_replace(F.regexp_replace("__block", r"(?i)<ref[^>]*/>", ""), r"(?is)<ref[^>]*>.*?</ref>", "")
+    sections = pages.select(*keep, mma_section(F.col(text)).alias(text))
     # the template's name is its first part
-    parts = blocks.select(*keep, "place", template_params(F.regexp_replace(bare, INVISIBLE, "")).alias("p")).where(F.size("p") >= 6)
-    part = lambda n: wiki_plain(F.try_element_at("p", F.lit(n + 1)))
-    method = part(3)
-    round_ = F.regexp_extract(method, r"(\d+)R", 1)
-    rows = parts.select(
+    parts = templates(sections, text, "{{Fight-cont", [r"(?i)<ref[^>]*/>", r"(?is)<ref[^>]*>.*?</ref>", INVISIBLE]).where(F.size("p") >= 6)
+    raw = lambda n: F.try_element_at("p", F.lit(n + 1))
+    plain = F.struct(*(F.get("c", F.lit(k)).alias(c) for k, c in enumerate(("opponent", "method", "event", "day"))))
+    # exploded, so that what follows names texts that are found once
+    found = parts.select(*keep, "place", result_in_japanese(raw(1), raw(3)).alias("result"), F.explode(F.array(F.transform(F.slice("p", 3, 4), wiki_plain))).alias("c"))
+    cells = found.where("result is not null").select(*keep, "place", "result", plain.alias("x")).select(*keep, "place", "result", "x.*")
+    round_ = F.regexp_extract("method", r"(\d+)R", 1)
+    rows = cells.select(
         *keep,
         "place",
-        result_in_japanese(F.try_element_at("p", F.lit(2)), F.try_element_at("p", F.lit(4))).alias("result"),
-        part(2).alias("opponent"),
-        F.coalesce(F.nullif(method, F.lit("")), F.lit("—")).alias("method"),
-        F.coalesce(F.nullif(part(4), F.lit("")), F.lit("—")).alias("event"),
-        dates.japanese_date(part(5)).alias("date"),
+        "result",
+        "opponent",
+        F.coalesce(F.nullif("method", F.lit("")), F.lit("—")).alias("method"),
+        F.coalesce(F.nullif("event", F.lit("")), F.lit("—")).alias("event"),
+        dates.japanese_date(F.col("day")).alias("date"),
         F.when(round_ != "", F.concat(F.lit("R"), round_)).otherwise("—").alias("round"),
     )
-    return rows.where("result is not null and opponent <> '' and date <> ''")
+    return rows.where("opponent <> '' and date <> ''")
 
 
 def field(text: Column, name: str) -> Column:
