@@ -97,7 +97,7 @@ def _latest(spark, sf_dir):
 @query()
 def head_to_head_order(spark, sf_dir):
     """Each division by wins, moved to agree with who beat whom last; tested against an order of all edges."""
-    return headtohead.reorder(wins_ranking(spark, sf_dir, "2002-01-01"), _latest(spark, sf_dir))
+    return headtohead.reorder(wins_ranking(spark, sf_dir, "2002-01-01"), edges(spark, sf_dir), tie="bout_id")
 
 
 @query(f"""{BOUTS_SQL}, {_EDGES}, l AS (SELECT division, winner, loser, date FROM (SELECT *, row_number() OVER (PARTITION BY division, least(winner, loser), greatest(winner, loser) ORDER BY date DESC, bout_id) AS p FROM edges) WHERE p = 1), {ranks_sql("top", "2002-01-01")}

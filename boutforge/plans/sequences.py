@@ -8,7 +8,7 @@ from ..operators import rating
 from ..operators import windows as ops
 from ..operators.bouts import count_if
 from .registry import query
-from .testdata import BOUTS_SQL, sides, table
+from .testdata import BOUTS_SQL, bouts, sides, table
 
 MONTH = 30.44
 
@@ -46,7 +46,8 @@ _EDGES = "edges AS (SELECT division, fighter AS winner, opponent AS loser, date,
 
 
 def edges(spark, sf_dir):
-    return sides(spark, sf_dir).where("result = 'win'").select("division", F.col("fighter").alias("winner"), F.col("opponent").alias("loser"), "date", "bout_id")
+    won = lambda x, y: F.when(F.col("score_a") == 1, F.col(x)).otherwise(F.col(y))
+    return bouts(spark, sf_dir).where("score_a in (0, 1)").select("division", won("a", "b").alias("winner"), won("b", "a").alias("loser"), "date", "bout_id")
 
 
 @query(f"""{BOUTS_SQL}, {_EDGES}, w AS (SELECT fighter, max(date) AS last_win FROM sides WHERE result = 'win' GROUP BY fighter)
@@ -64,7 +65,7 @@ def latest_pair_result(spark, sf_dir):
 
 
 def wins_ranking(spark, sf_dir, before: str):
-    n = sides(spark, sf_dir).where((F.col("result") == "win") & (F.col("date") < before)).groupBy("division", "fighter").agg(F.count("*").alias("n"))
+    n = edges(spark, sf_dir).where(F.col("date") < before).groupBy("division", F.col("winner").alias("fighter")).agg(F.count("*").alias("n"))
     return ops.ranked(n, [F.desc("n"), F.asc("fighter")], "division").select("division", "fighter", "rank")
 
 
