@@ -86,5 +86,5 @@ def calendar_rows(spark, sf_dir):
     line = F.concat(F.lit("<li>"), ways, F.lit(" Show "), "o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit(" <b>@</b> Hall "), "o_custkey")).otherwise(""), F.lit("</li>"))
     pages = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.array_join(F.collect_list(line), "\n").alias("lines"))  # a customer's orders
     page = F.to_json(F.struct("o_custkey", F.col("o_orderpriority").alias("p")))
-    rows = sections.blocks(pages.select(page.alias("page"), F.concat(F.lit("<h1>日程</h1><ul>"), "lines", F.lit("</ul>")).alias("html")), "page", "html")
+    rows = sections.blocks(pages.select(page.alias("page"), F.concat(F.lit("<h1>日程</h1><ul>"), "lines", F.lit("</ul>")).alias("html")), "page", "html", ["n", "text"])
     return sections.calendar(rows, "page").select(F.get_json_object("page", "$.p").alias("page"), F.date_format("date", "yyyy-MM-dd").alias("date"), "title", "venue")

@@ -32,6 +32,7 @@ ROWS = 4096  # of an Arrow batch
 _BLOCK = frozenset(BLOCK_TAGS.split())
 _TOKEN = re.compile(r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<(/?)([a-z][a-z0-9]*)\b([^>]*)>")
 _BLANKS, _SPACES, _AROUND_BREAKS = re.compile(r"[ \t\r\n\f]+"), re.compile(" +"), re.compile(" *\n *")
+_UNEVEN = re.compile(r"[\t\r\n\f]|  ")
 _HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
 _CLASS, _BOLD = re.compile(r"""(?i)\bclass\s*=\s*["']?([^"'>]*)"""), re.compile(r"(?i)font-weight:\s*bold")
 BLOCKS = "n int, tag string, opens boolean, path string, headings array<string>, css string, bold boolean, pieces array<struct<kind:string,bold:boolean,text:string>>, text string"
@@ -42,7 +43,7 @@ def _clean(text: str) -> str:
     if "&" in text:
         for entity, char in ENTITIES:
             text = text.replace(entity, char)
-    return _BLANKS.sub(" ", text)
+    return _BLANKS.sub(" ", text) if _UNEVEN.search(text) else text
 
 
 def _nested(pieces: list[list[tuple[str, bool, str]]]) -> pa.Array:
@@ -63,10 +64,13 @@ class Page:
         self.opens = False
         at = 0
         for token in _TOKEN.finditer(html):
-            self._text(html[at : token.start()])
-            at = token.end()
-            if token[3]:
-                self._tag(token[3].lower(), bool(token[2]), token[4])
+            start, end = token.span()
+            if start > at:
+                self._text(html[at:start])
+            at = end
+            closes, name, attributes = token.group(2, 3, 4)
+            if name:
+                self._tag(name.lower(), bool(closes), attributes)
         self._text(html[at:])
         self._flush()
 
@@ -124,23 +128,30 @@ class Page:
             self.headings = [(k, h) for k, h in self.headings if k < level] + [(level, text)]
 
 
-def blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key and the blocks of each page in their order; headings are those above a block, outermost first."""
-    kind = pages.schema[key].dataType.simpleString()
+def blocks(pages: DataFrame, key: str, html: str, only: list[str] | None = None) -> DataFrame:
+    """key and the blocks of each page in their order; headings are those above a block, outermost first.
 
-    names = [key, "n", "tag", "opens", "path", "headings", "css", "bold", "pieces", "text"]
+    only names the columns of BLOCKS that are wanted; no others are handed over by the workers.
+    """
+    kind = pages.schema[key].dataType.simpleString()
+    fields = [f.strip() for f in re.split(r", (?=\w+ )", BLOCKS)]
+    taken = [k for k, f in enumerate(fields) if only is None or f.split()[0] in only]
+    names = [key, *(fields[k].split()[0] for k in taken)]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ats: list[int] = []
             rows: list[tuple] = []
             for at in range(batch.num_rows):
-                rows += [(at, *r) for r in Page(batch.column(1)[at].as_py() or "").rows]
+                found = Page(batch.column(1)[at].as_py() or "").rows
+                ats += [at] * len(found)
+                rows += found
                 if rows and (len(rows) >= ROWS or at == batch.num_rows - 1):
-                    columns = [list(c) for c in zip(*rows, strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0])), *(_nested(c) if t is None else pa.array(c, t) for c, t in zip(columns[1:], _TYPES, strict=True))], names=names)
-                    rows = []
+                    columns = [([r[k] for r in rows], _TYPES[k]) for k in taken]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ats)), *(_nested(c) if t is None else pa.array(c, t) for c, t in columns)], names=names)
+                    ats, rows = [], []
 
-    return pages.select(key, F.col(html).cast("string")).mapInArrow(cut, f"{key} {kind}, {BLOCKS}")
+    return pages.select(key, F.col(html).cast("string")).mapInArrow(cut, ", ".join([f"{key} {kind}", *(fields[k] for k in taken)]))
 
 
 def sections(rows: DataFrame, key: str) -> DataFrame:
@@ -249,8 +260,11 @@ def recovered(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 def calendar(rows: DataFrame, key: str) -> DataFrame:
     """Dated lines of a calendar, ``2024年5月6日(月) title @ venue`` or with dots, slashes or dashes: date, title and venue of each."""
-    form = r"^\s*(\d{4})\s*[年./-]\s*(\d{1,2})\s*[月./-]\s*(\d{1,2})日?\s*(?:[（(][^）)]{1,6}[）)])?\s*(.+?)\s*(?:[@＠]\s*(.+?)\s*)?$".replace(r"\s", SPACE)
-    line = F.regexp_replace("text", "\\n", " ")
-    part = lambda k: F.regexp_extract(line, form, k)
-    date = F.try_to_timestamp(F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
-    return rows.where(line.rlike(form)).select(key, "n", date.alias("date"), part(4).alias("title"), F.nullif(part(5), F.lit("")).alias("venue")).where("date is not null")
+    form = r"^\s*(\d{4}\s*[年./-]\s*\d{1,2}\s*[月./-]\s*\d{1,2})日?\s*(?:[（(][^）)]{1,6}[）)])?\s*(.+?)\s*(?:[@＠]\s*(.+?)\s*)?$".replace(r"\s", SPACE)
+    part = lambda k: F.regexp_extract("text", form, k)
+    # a line's parts and its date are exploded, so that what follows names what is found once
+    explode = lambda *c: F.explode(F.array(F.struct(*c))).alias("x")
+    lines = rows.where(F.col("text").rlike(rf"^{SPACE}*\d{{4}}")).select(key, "n", F.translate("text", "\n", " ").alias("text"))
+    told = lines.select(key, "n", explode(part(1).alias("day"), part(2).alias("title"), part(3).alias("venue"))).select(key, "n", "x.*").where("day <> ''")
+    dated = told.select(key, "n", explode(F.regexp_replace("day", r"\D+", "-").try_cast("date").alias("date")), "title", "venue")
+    return dated.select(key, "n", "x.date", "title", F.nullif("venue", F.lit("")).alias("venue")).where("date is not null")
