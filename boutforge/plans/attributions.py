@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import attribution, rating
+from ..functions import scores
+from ..operators import attribution
 from .registry import query
 from .sequences import _EDGES, edges
 from .testdata import BOUTS_SQL, sides
@@ -27,20 +29,17 @@ round(coalesce(change, 0), 6) AS change, CASE WHEN raw IS NULL THEN CAST(0 AS DO
 FROM j LEFT JOIN n ON n.division = j.division AND n.fighter = j.fighter LEFT JOIN x ON x.division = j.division AND x.fighter = j.fighter WHERE abs(coalesce(raw, 0)) >= 0.005 OR b IS NULL OR a IS NULL OR a <> b OR coalesce(expired, 0) > 0""")
 def rank_attribution(spark, sf_dir):
     """A fighter counts once in each division; the current rules leave early openers out, which is the ripple."""
-    fighter = F.concat_ws("@", "fighter", "division")
     delta = F.when(F.col("result") == "win", 10.0).when(F.col("result") == "loss", -10.0).otherwise(0.0)
-    s = sides(spark, sf_dir).where(f"result <> 'nc' and date <= '{NOW}'").withColumn("delta", delta)
-    counted = s.where("not (opener and date < '1998-01-01')")
-    rated = lambda rows: rating.ranking(rows.groupBy("division", "fighter").agg((1500 + F.sum("delta")).alias("rating"), F.count("*").alias("fights")), [F.asc("fighter")], "division").withColumn("fighter", fighter)
-    score = F.when(F.col("result") == "win", 1.0).when(F.col("result") == "loss", 0.0).otherwise(0.5)
-    trace = counted.select(F.col("bout_id").alias("key"), "date", fighter.alias("fighter"), "opponent", score.alias("score"), F.lit(0.0).alias("before"), F.col("delta").alias("after"))
-
-    def held(day: str):
-        known = edges(spark, sf_dir).where(F.col("date") <= day)
-        pair = known.groupBy("division", F.least("winner", "loser").alias("x"), F.greatest("winner", "loser").alias("y")).agg(F.max_by(F.struct("winner", "loser"), F.struct("date", -F.col("bout_id"))).alias("p"))
-        named = lambda c: F.concat_ws("@", f"p.{c}", "division").alias(c)
-        return pair.select("division", named("winner"), named("loser"))
-
-    told = attribution.report(rated(s.where(f"date <= '{SINCE}'")), rated(counted), trace, F.lit(SINCE).cast("date"), held(SINCE), held(NOW)).drop("new_bouts")
+    s = sides(spark, sf_dir).where(f"result <> 'nc' and date <= '{NOW}'")
+    early, counted = F.col("date") <= SINCE, ~(F.col("opener") & (F.col("date") < "1998-01-01"))
+    # both rankings and the bouts since from one pass over all sides
+    rated = lambda rows, tag: [(1500 + F.sum(F.when(rows, delta))).alias(f"rating_{tag}"), F.count(F.when(rows, 1)).alias(f"fights_{tag}")]
+    new = counted & ~early
+    rows = s.groupBy("division", "fighter").agg(*rated(early, "before"), *rated(counted, "after"), F.sum(F.when(new, delta)).alias("moved"), F.count(F.when(new, 1)).alias("n_new"))
+    shown = lambda tag: scores.sigma_discount(F.col(f"rating_{tag}"), F.col(f"fights_{tag}"))
+    place = lambda tag: F.row_number().over(Window.partitionBy("division").orderBy(F.desc_nulls_last(shown(tag)), "fighter"))
+    rows = rows.withColumns({f"rank_{tag}": F.when(F.col(f"rating_{tag}").isNotNull(), place(tag)) for tag in ("before", "after")})
+    since, now = (F.lit(day).cast("date") for day in (SINCE, NOW))
+    told = attribution.explained(rows, attribution.edge_changes_between(edges(spark, sf_dir), since, now, "bout_id"))
     numbers = {c: F.round(F.coalesce(c, F.lit(0.0)), 6) for c in ("change", *attribution.PARTS)} | {c: F.coalesce(c, F.lit(0)) for c in ("rank_before", "rank_after")}
-    return told.withColumns(numbers).withColumn("fighter", F.substring_index("fighter", "@", 1))
+    return told.withColumns(numbers)
