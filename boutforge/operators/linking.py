@@ -133,25 +133,27 @@ def two_pass_pairs(official: DataFrame, local: DataFrame, passes: list[str]) ->
     return pairs
 
 
-def card_changes(local: DataFrame, official: DataFrame, keys: list[str]) -> DataFrame:
+def card_changes(local: DataFrame, official: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
     """Bouts (keys, a, b) that only one side has: added, removed, or changed where exactly one name is shared.
 
-    A change joins a removed bout with the first added one that shares a name.
+    A change joins a removed bout with the first added one that shares a name; an added one goes to the first that takes
+    it. Rows are dealt by their keys once, to so many tasks, and all steps stay within a card.
     """
-    with_pair = lambda rows: rows.withColumn("pair", names.pair_key(F.col("a"), F.col("b")))
-    mine, theirs = with_pair(local), with_pair(official)
-    gone, new = mine.join(theirs, [*keys, "pair"], "left_anti"), theirs.join(mine, [*keys, "pair"], "left_anti")
-    by_name = lambda rows, side: rows.select(*keys, F.col("pair").alias(side), F.explode(F.array("a", "b")).alias("name"))
-    shared = by_name(gone, "old").join(by_name(new, "new"), [*keys, "name"])
-    # each removed bout takes its first partner, each added one the first that takes it
-    first = shared.groupBy(*keys, "old").agg(F.min("new").alias("new")).groupBy(*keys, "new").agg(F.min("old").alias("old"))
-    rest_old = gone.select(*keys, F.col("pair").alias("old")).join(first, [*keys, "old"], "left_anti")
-    rest_new = new.select(*keys, F.col("pair").alias("new")).join(first, [*keys, "new"], "left_anti")
-    empty = F.lit(None).cast("string")
-    return (
-        first.select(*keys, "old", "new", F.lit("changed").alias("change"))
-        .unionByName(rest_old.select(*keys, "old", empty.alias("new"), F.lit("removed").alias("change")))
-        .unionByName(rest_new.select(*keys, empty.alias("old"), "new", F.lit("added").alias("change")))
+    side = lambda rows, mine: rows.select(*keys, F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.lit(mine).alias("mine"))
+    dealt = side(local, True).unionByName(side(official, False)).repartition(*([] if tasks is None else [tasks]), *keys)
+    one_sided = dealt.groupBy(*keys, "lo", "hi").agg(F.min("mine").alias("mine"), F.max("mine").alias("any")).where("mine = any")
+    named = one_sided.select(*keys, "mine", names.pair_key(F.col("lo"), F.col("hi")).alias("pair"), F.explode(F.array("lo", "hi")).alias("name"))
+    first_new = F.min(F.when(~F.col("mine") & F.col("name").isNotNull(), F.col("pair"))).over(Window.partitionBy(*keys, "name"))
+    # a removed bout with its first partner, an added one with itself
+    wanted = named.withColumn("new", F.when(F.col("mine"), first_new).otherwise(F.col("pair"))).groupBy(*keys, "mine", "pair").agg(F.min("new").alias("new"))
+    first_old = F.min(F.when(F.col("mine"), F.col("pair"))).over(Window.partitionBy(*keys, "new"))
+    told = wanted.withColumn("first_old", F.when(F.col("new").isNotNull(), first_old)).where("mine or first_old is null")
+    taken = F.coalesce(F.col("pair") == F.col("first_old"), F.lit(False))
+    return told.select(
+        *keys,
+        F.when(F.col("mine"), F.col("pair")).alias("old"),
+        F.when(~F.col("mine") | taken, F.col("new")).alias("new"),
+        F.when(~F.col("mine"), "added").when(taken, "changed").otherwise("removed").alias("change"),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import linking
 from .registry import query
-from .testdata import BOUTS_SQL, bouts, sides, table
+from .testdata import BOUTS_SQL, bouts, sides, table, tasks_for
 
 _PLAIN = "regexp_replace({}, '[\\s　・]', '', 'g')"
 
@@ -108,10 +108,10 @@ SELECT l_orderkey, old, new, 'changed' AS change FROM f UNION ALL SELECT l_order
 def card_changes(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem")
     part = lambda c: F.concat(F.lit("P"), c)
-    mine = items.select("l_orderkey", part(F.col("l_partkey")).alias("a"), F.concat(F.lit("S"), "l_suppkey").alias("b")).distinct()
+    mine = items.select("l_orderkey", part(F.col("l_partkey")).alias("a"), F.concat(F.lit("S"), "l_suppkey").alias("b"))
     moved = F.when(F.col("l_linenumber") % 3 == 0, F.col("l_partkey") + 1).otherwise(F.col("l_partkey"))
-    theirs = items.where("l_linenumber <> 5").select("l_orderkey", part(moved).alias("a"), F.concat(F.lit("S"), "l_suppkey").alias("b")).distinct()
-    return linking.card_changes(mine, theirs, ["l_orderkey"]).select("l_orderkey", "old", "new", "change")
+    theirs = items.where("l_linenumber <> 5").select("l_orderkey", part(moved).alias("a"), F.concat(F.lit("S"), "l_suppkey").alias("b"))
+    return linking.card_changes(mine, theirs, ["l_orderkey"], tasks_for(items, 2)).select("l_orderkey", "old", "new", "change")
 
 
 @query("""WITH c AS (SELECT o_custkey, list(CAST(o_orderkey AS VARCHAR) ORDER BY o_orderkey) AS x, list(CAST(o_orderkey AS VARCHAR) ORDER BY o_orderdate, o_orderkey) AS y FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey)
