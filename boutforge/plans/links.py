@@ -106,18 +106,19 @@ def related_chips(spark, sf_dir):
     return resolve.contained(titles, names, "title", "name", top=3).select("p_partkey", "name", F.col("at").alias("found"), "place")
 
 
-@query(f"""{BOUTS_SQL}, w AS (SELECT fighter, opponent, bout_id, date FROM sides WHERE result = 'win' AND date >= DATE '2001-06-01')
+@query(f"""{BOUTS_SQL}, w AS (SELECT fighter, opponent, bout_id, date FROM sides WHERE result = 'win')
 SELECT w.bout_id, w.fighter, w.opponent, count(*) AS opponent_bouts, count(*) FILTER (WHERE s.result = 'win') AS opponent_wins FROM w JOIN sides s ON s.fighter = w.opponent AND s.date <= w.date GROUP BY ALL""")
 def opponent_standing_as_of(spark, sf_dir):
-    """The record that the opponent had on the day: running counts in one window instead of a range join."""
+    """The record that the opponent of each win had on the day: running counts in one window instead of a range join."""
     from pyspark.sql import Window
 
-    s = dealt_sides(spark, sf_dir, "fighter").select("fighter", "opponent", "bout_id", "date", "result")
-    days = s.groupBy("fighter", "date").agg(F.count("*").alias("n"), F.count(F.when(F.col("result") == "win", 1)).alias("w"))
-    so_far = Window.partitionBy("fighter").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    daily = days.select(F.col("fighter").alias("opponent"), "date", F.sum("n").over(so_far).alias("opponent_bouts"), F.sum("w").over(so_far).alias("opponent_wins"))
-    won = s.where("result = 'loss' and date >= '2001-06-01'").select("bout_id", F.col("opponent").alias("fighter"), F.col("fighter").alias("opponent"), "date")
-    return won.join(daily, ["opponent", "date"]).select("bout_id", "fighter", "opponent", "opponent_bouts", "opponent_wins")
+    s = dealt_sides(spark, sf_dir, "fighter").select("fighter", "opponent", "bout_id", "date", "result").where("fighter is not null and date is not null")
+    # up to the day and all of it
+    so_far = Window.partitionBy("fighter").orderBy("date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    told = s.withColumns({"n": F.count("*").over(so_far), "w": F.count(F.when(F.col("result") == "win", 1)).over(so_far)})
+    lost = told.where("result = 'loss'").select("bout_id", F.col("opponent").alias("fighter"), F.col("fighter").alias("opponent"), "n", "w")
+    # lines told twice count twice, as in the SQL; their rows are in one task by now
+    return lost.groupBy("bout_id", "fighter", "opponent").agg(F.sum("n").alias("opponent_bouts"), F.sum("w").alias("opponent_wins"))
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
