@@ -1,21 +1,23 @@
 """Sequential ratings, eligibility and ranking.
 
-The rating of a bout depends on all earlier bouts of both sides. The connected components of all bouts are
-independent and spread over tasks. Components of more bouts than a slice are played in slices of dates, each slice
-with the ratings that the one before left; within a slice its own components are independent. A task thus holds no
-more than a slice, however large the component that a fighter belongs to over the years, and the ratings are those
-of one replay in order.
+The rating of a bout depends on all earlier bouts of both sides. Bouts are sorted by date in many tasks and cut into
+pieces, which number their fighters and know which of their bouts can be played at once: those whose sides have no
+earlier bout of the piece left. One task then carries the ratings from piece to piece, and all pieces are played
+again, in many tasks, from the ratings that they began with. The one task gets numbers and names only, holds a piece
+and a rating for each fighter, and the ratings are those of one replay in order.
 """
 
 from __future__ import annotations
 
+import itertools
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,106 +75,207 @@ def components(bouts: DataFrame) -> DataFrame:
             return label
 
 
-def replay(bouts: pd.DataFrame, tilt: Tilt, start: dict[str, tuple[float, int]] | None = None) -> pd.DataFrame:
-    """Play bouts in order of (date, key), from the ratings and numbers of bouts in start; a row for each side of each bout."""
-    bouts = bouts.sort_values(["date", "key"])
-    sides = pd.concat([bouts["a"], bouts["b"]])
-    codes, known = pd.factorize(sides)
-    first = [(start or {}).get(x, (scores.INITIAL_RATING, 0)) for x in known]
-    rating, fights = [x for x, _ in first], [n for _, n in first]
-    n = len(bouts)
-    befores, afters, counts = array("d"), array("d"), array("i")
-    for i, j, s, finish in zip(codes[:n].tolist(), codes[n:].tolist(), bouts["score_a"].tolist(), bouts["finish"].tolist(), strict=True):
-        k = scores.K_FINISH if finish else scores.K_BASE
+def _packed(**columns: pa.Array) -> bytes:
+    batch = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: pa.BinaryScalar) -> dict[str, pa.Array]:
+    with pa.ipc.open_stream(data.as_buffer()) as found:
+        batch = found.read_next_batch()
+    return dict(zip(batch.schema.names, batch.columns, strict=True))
+
+
+def _levels(a: np.ndarray, b: np.ndarray, fighters: int) -> np.ndarray:
+    """For each bout how many must be played before it, one after another, by either side."""
+    done, found = [0] * fighters, array("i")
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = done[i], done[j]
+        if x < y:
+            x = y
+        found.append(x)
+        done[i] = done[j] = x + 1
+    return np.frombuffer(found, "i")
+
+
+PIECES = "piece long, day int, first string, n int, bouts binary, names binary, told binary"
+WIDE = 24  # bouts of a level, from which arrays take less time than a loop
+
+
+def _pieces(size: int):
+    """Bouts in order, cut into pieces: of each its numbers in the order of levels, its fighters' names, and the rest."""
+
+    def piece(rows: pa.Table, n: int) -> pa.RecordBatch:
+        from pyspark import TaskContext
+
+        of = lambda c: rows[c].combine_chunks() if rows.num_rows else rows[c]
+        sides = pa.chunked_array([*rows["a"].chunks, *rows["b"].chunks]).combine_chunks().dictionary_encode()
+        codes = sides.indices.to_numpy()
+        a, b = codes[: rows.num_rows], codes[rows.num_rows :]
+        level = _levels(a, b, len(sides.dictionary))
+        order = np.argsort(level, kind="stable")
+        starts = np.zeros(rows.num_rows, "?")
+        starts[np.searchsorted(level[order], np.arange(level.max() + 1))] = True
+        names = {"name": sides.dictionary}
+        if "seed_a" in rows.column_names:
+            seeds = np.full(len(sides.dictionary), np.nan)
+            for code, side in ((a, "seed_a"), (b, "seed_b")):
+                seeds[code] = of(side).to_numpy(zero_copy_only=False)
+            names["seed"] = pa.array(seeds)
+        put = lambda c: of(c).take(pa.array(order))
+        data = {
+            "piece": (TaskContext.get().partitionId() << 32) + n,
+            "day": rows["date"][0].cast(pa.int32()).as_py(),
+            "first": rows["key"][0].as_py(),
+            "n": n,
+            "bouts": _packed(a=pa.array(a[order]), b=pa.array(b[order]), score=put("score_a"), finish=put("finish"), starts=pa.array(starts)),
+            "names": _packed(**names),
+            "told": _packed(key=put("key"), date=put("date")),
+        }
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(data.values(), kinds, strict=True)], names=list(data))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = rows = 0
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, size - rows)
+                batch = batch.slice(part.num_rows)
+                held.append(part)
+                rows += part.num_rows
+                if rows == size:
+                    yield piece(pa.Table.from_batches(held), n)
+                    held, rows, n = [], 0, n + 1
+        if held:
+            yield piece(pa.Table.from_batches(held), n)
+
+    return cut
+
+
+def replay(bouts: dict[str, pa.Array], tilt: Tilt, rating: np.ndarray, fights: np.ndarray, told: list[np.ndarray] | None = None) -> None:
+    """Play a piece's bouts from its fighters' ratings and numbers of bouts, which change in place.
+
+    told takes what stood before and after each bout: before, before, after, after, fights, fights of both sides.
+    """
+    a, b, s = (bouts[c].to_numpy() for c in ("a", "b", "score"))
+    won, lost, n = s == 1, s == 0, len(s)
+    k = np.where(bouts["finish"].to_numpy(zero_copy_only=False).astype("?"), scores.K_FINISH, scores.K_BASE)
+    starts = np.flatnonzero(bouts["starts"].to_numpy(zero_copy_only=False))
+    if n < WIDE * len(starts):
+        return _replay_singly(a, b, s, k, tilt, rating, fights, told)
+    for low, high in zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True):
+        now = slice(low, high)
+        i, j, w, d, kk = a[now], b[now], won[now], lost[now], k[now]
         x, y, m, o = rating[i], rating[j], fights[i], fights[j]
-        expected = 1 / (1 + 10 ** ((y - x) / 400))
+        # powers by Python's own, so that ratings are the same however bouts are dealt
+        expected = 1 / (1 + np.array([10.0**t for t in ((y - x) / 400).tolist()]))
+        above, below, gain = y > x, x > y, s[now] - expected
+        of_a = np.where(w, np.where(above, tilt.strong_win, tilt.weak_win), np.where(d, np.where(above, tilt.strong_loss, tilt.weak_loss), 1.0))
+        of_b = np.where(d, np.where(below, tilt.strong_win, tilt.weak_win), np.where(w, np.where(below, tilt.strong_loss, tilt.weak_loss), 1.0))
+        thin_a, thin_b = np.where(w & (o < tilt.thin_fights), tilt.thin_win, 1.0), np.where(d & (m < tilt.thin_fights), tilt.thin_win, 1.0)
+        up, down = x + kk * of_a * thin_a * gain, y + kk * of_b * thin_b * -gain
+        rating[i], rating[j], fights[i], fights[j] = up, down, m + 1, o + 1
+        if told is not None:
+            for array_, values in zip(told, (x, y, up, down, m + 1, o + 1), strict=True):
+                array_[now] = values
+
+
+def _replay_singly(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: np.ndarray, tilt: Tilt, rating: np.ndarray, fights: np.ndarray, told: list[np.ndarray] | None) -> None:
+    """The same one by one, where hardly any bouts can be played at once."""
+    ratings, counts = rating.tolist(), fights.tolist()
+    rows: list[tuple] = []
+    for i, j, s_, k_ in zip(a.tolist(), b.tolist(), s.tolist(), k.tolist(), strict=True):
+        x, y, m, o = ratings[i], ratings[j], counts[i], counts[j]
+        expected = 1 / (1 + 10.0 ** ((y - x) / 400))
         up, down = x, y
-        if s == 1:
-            up += k * (tilt.strong_win if y > x else tilt.weak_win) * (tilt.thin_win if o < tilt.thin_fights else 1.0) * (1 - expected)
-            down += k * (tilt.strong_loss if x > y else tilt.weak_loss) * (expected - 1)
-        elif s == 0:
-            up += k * (tilt.strong_loss if y > x else tilt.weak_loss) * -expected
-            down += k * (tilt.strong_win if x > y else tilt.weak_win) * (tilt.thin_win if m < tilt.thin_fights else 1.0) * expected
+        if s_ == 1:
+            up += k_ * (tilt.strong_win if y > x else tilt.weak_win) * (tilt.thin_win if o < tilt.thin_fights else 1.0) * (1 - expected)
+            down += k_ * (tilt.strong_loss if x > y else tilt.weak_loss) * (expected - 1)
+        elif s_ == 0:
+            up += k_ * (tilt.strong_loss if y > x else tilt.weak_loss) * -expected
+            down += k_ * (tilt.strong_win if x > y else tilt.weak_win) * (tilt.thin_win if m < tilt.thin_fights else 1.0) * expected
         else:
-            up += k * (s - expected)
-            down += k * (expected - s)
-        rating[i], rating[j], fights[i], fights[j] = up, down, m + 1, o + 1
-        befores.append(x)
-        befores.append(y)
-        afters.append(up)
-        afters.append(down)
-        counts.append(m + 1)
-        counts.append(o + 1)
-    each = bouts.loc[bouts.index.repeat(2)].reset_index(drop=True)
-    second = np.arange(2 * n) % 2 == 1
-    return pd.DataFrame(
-        {
-            "key": each["key"],
-            "date": each["date"],
-            "fighter": np.where(second, each["b"], each["a"]),
-            "opponent": np.where(second, each["a"], each["b"]),
-            "score": np.where(second, 1 - each["score_a"], each["score_a"]),
-            "before": np.frombuffer(befores, "d"),
-            "after": np.frombuffer(afters, "d"),
-            "fights": np.frombuffer(counts, "i"),
-        }
-    )
+            up += k_ * (s_ - expected)
+            down += k_ * (expected - s_)
+        ratings[i], ratings[j], counts[i], counts[j] = up, down, m + 1, o + 1
+        if told is not None:
+            rows.append((x, y, up, down, m + 1, o + 1))
+    rating[:], fights[:] = ratings, counts
+    for array_, values in zip(told or [], zip(*rows, strict=True), strict=True):
+        array_[:] = values
+
+
+def _carried(tilt: Tilt):
+    """Pieces in order: the ratings and numbers of bouts that each one's fighters begin with."""
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[str, int] = defaultdict(itertools.count().__next__)  # a new name takes the next
+        rating, fights = np.empty(0), np.empty(0, "i")
+        for batch in batches:
+            for piece, bouts, names in zip(batch["piece"], batch["bouts"], batch["names"], strict=True):
+                known, named = len(place), _unpacked(names)
+                at = np.fromiter(map(place.__getitem__, named["name"].to_numpy(zero_copy_only=False)), "i", len(named["name"]))
+                rating, fights = np.concatenate([rating, np.full(len(place) - known, scores.INITIAL_RATING)]), np.concatenate([fights, np.zeros(len(place) - known, "i")])
+                if "seed" in named:
+                    seeds = named["seed"].to_numpy()
+                    first = (at >= known) & ~np.isnan(seeds)
+                    rating[at[first]] = seeds[first]
+                own, count = rating[at], fights[at]
+                yield pa.RecordBatch.from_arrays([pa.array([piece.as_py()]), pa.array([_packed(rating=pa.array(own), fights=pa.array(count))])], names=["piece", "state"])
+                own, count = own.copy(), count.copy()
+                replay(_unpacked(bouts), tilt, own, count)
+                rating[at], fights[at] = own, count
+
+    return carry
 
 
 TRACE = "key string, date date, fighter string, opponent string, score double, before double, after double, fights int"
+ROWS = 65_536  # of an Arrow batch
+
+
+def _told(tilt: Tilt):
+    """The trace of pieces, each from the state it begins with."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bouts, names, told, state in zip(*(batch[c] for c in ("bouts", "names", "told", "state")), strict=True):
+                bouts, names, told, state = _unpacked(bouts), _unpacked(names)["name"], _unpacked(told), _unpacked(state)
+                n = len(bouts["a"])
+                found = [np.empty(n, "i" if k > 3 else "d") for k in range(6)]
+                replay(bouts, tilt, state["rating"].to_numpy().copy(), state["fights"].to_numpy().copy(), found)
+                score = bouts["score"].to_numpy()
+                for own, other, k in (("a", "b", 0), ("b", "a", 1)):
+                    values = [names.take(bouts[own]), names.take(bouts[other]), *map(pa.array, (1 - score if k else score, found[k], found[k + 2], found[k + 4]))]
+                    side = pa.RecordBatch.from_arrays([told["key"], told["date"], *values], names=["key", "date", "fighter", "opponent", "score", "before", "after", "fights"])
+                    for low in range(0, n, ROWS):
+                        yield side.slice(low, ROWS)
+
+    return tell
 
 
-def trace(bouts: DataFrame, tilt: Tilt = LIVE, seeds: DataFrame | None = None, *, slice_bouts: int = 2_000_000) -> DataFrame:
+def trace(bouts: DataFrame, tilt: Tilt = LIVE, seeds: DataFrame | None = None, *, slice_bouts: int = 500_000, tasks: int | None = None) -> DataFrame:
     """The rating of both sides before and after every bout (key, date, a, b, score_a, finish).
 
-    Bouts without a score don't count. seeds (fighter, seed) gives first ratings other than the usual. Components
-    of at most slice_bouts bouts are played whole, all at once; the others in slices, which hold about slice_bouts
-    bouts, and at least a day's.
+    Bouts without a score don't count, nor do those without a side. seeds (fighter, seed) gives first ratings other than
+    the usual. Bouts are played in order of date and key, in pieces of at most slice_bouts; tasks is the number of those
+    that sort them, cut them into pieces and tell the trace.
     """
-    played = bouts.where(F.col("score_a").isNotNull() & F.col("date").isNotNull()).select(F.col("key").cast("string").alias("key"), F.col("date").cast("date").alias("date"), F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("score_a").cast("double").alias("score_a"), F.col("finish").cast("boolean").alias("finish"))
-    state = None if seeds is None else seeds.select(F.col("fighter").cast("string").alias("fighter"), F.col("seed").cast("double").alias("rating"), F.lit(0).alias("fights"))
-    labels = components(played)
-    sizes = played.groupBy("a").agg(F.count("*").alias("n")).join(labels, F.col("a") == F.col("node")).groupBy("component").agg(F.sum("n").alias("n"))
-    large = checkpointed(sizes.where(F.col("n") > slice_bouts))
-    n = large.agg(F.sum("n")).first()[0] or 0
-    if not n:
-        return _played(played.join(labels, F.col("a") == F.col("node")).drop("node"), tilt, state)
-    sliced = labels.join(large.select("component"), "component", "left_semi").select(F.col("node").alias("a"))
-    parts = [_played(played.join(labels.join(large.select("component"), "component", "left_anti"), F.col("a") == F.col("node")).drop("node"), tilt, state)]
-    played = checkpointed(played.join(sliced, "a", "left_semi"))
-    number = F.datediff("date", F.lit("1970-01-01").cast("date"))
-    slices = max(1, -(-n // slice_bouts))
-    bounds = sorted(set(played.agg(F.percentile_approx(number, [k / slices for k in range(1, slices)], 10_000)).first()[0])) if slices > 1 else []
-    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
-        inside = F.lit(True) if low is None else number > low
-        part = played.where(inside if high is None else inside & (number <= high))
-        told = _played(part.join(components(part), F.col("a") == F.col("node")).drop("node"), tilt, state)
-        if high is None:
-            parts.append(told)
-            break
-        told = checkpointed(told)
-        parts.append(told)
-        last = told.groupBy("fighter").agg(F.max_by("after", "fights").alias("rating"), F.max("fights").alias("fights"))
-        state = checkpointed(last if state is None else last.unionByName(state.join(last.select("fighter"), "fighter", "left_anti")))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _played(placed: DataFrame, tilt: Tilt, state: DataFrame | None) -> DataFrame:
-    """The trace of bouts with their component, from the ratings in state."""
-    if state is not None:
+    tasks = tasks or bouts.sparkSession.sparkContext.defaultParallelism
+    played = bouts.select(F.col("key").cast("string").alias("key"), F.col("date").cast("date").alias("date"), F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("score_a").cast("double").alias("score_a"), F.coalesce(F.col("finish").cast("boolean"), F.lit(False)).alias("finish"))
+    played = played.where("score_a is not null and date is not null and a is not null and b is not null")
+    if seeds is not None:
         for side in ("a", "b"):
-            placed = placed.join(state.select(F.col("fighter").alias(side), F.col("rating").alias(f"rating_{side}"), F.col("fights").alias(f"fights_{side}")), side, "left")
-    settings = asdict(tilt)
-
-    def play(frame: pd.DataFrame) -> pd.DataFrame:
-        start = {}
-        if "rating_a" in frame:
-            for side in ("a", "b"):
-                known = frame.loc[frame[f"rating_{side}"].notna(), [side, f"rating_{side}", f"fights_{side}"]]
-                start |= {x: (r, int(n)) for x, r, n in known.itertuples(index=False)}
-        return replay(frame, Tilt(**settings), start)
-
-    return placed.groupBy("component").applyInPandas(play, TRACE)
+            played = played.join(seeds.select(F.col("fighter").cast("string").alias(side), F.col("seed").cast("double").alias(f"seed_{side}")), side, "left")
+    ordered = played.repartitionByRange(tasks, "date", "key").sortWithinPartitions("date", "key", "a", "b", "score_a", "finish")
+    pieces = checkpointed(ordered.mapInArrow(_pieces(slice_bouts), PIECES))
+    in_order = pieces.select("piece", "day", "first", "n", "bouts", "names").repartition(1).sortWithinPartitions("day", "first", "n")
+    states = in_order.select("piece", "bouts", "names").mapInArrow(_carried(tilt), "piece long, state binary")
+    dealt = pieces.select("piece", "bouts", "names", "told").repartition(tasks, "piece").join(states.repartition(tasks, "piece"), "piece")
+    return dealt.select("bouts", "names", "told", "state").mapInArrow(_told(tilt), TRACE)
 
 
 def states(traced: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import scores
 from ..operators import headtohead, rating
 from .registry import query
 from .sequences import _EDGES, edges, ranks_sql, wins_ranking
-from .testdata import AS_OF, BOUTS_SQL, bouts, sides
+from .testdata import AS_OF, BOUTS_SQL, bouts, sides, table, tasks_for
 
 _ELIGIBLE_SQL = f"""cur AS (SELECT fighter, arg_max(division, (date, bout_id)) AS current FROM sides GROUP BY fighter), s AS (SELECT sides.*, current FROM sides JOIN cur USING (fighter) WHERE NOT opener),
 g AS (SELECT fighter, max(CASE WHEN datediff('day', before, date) > 547.92 THEN before END) AS gap FROM (SELECT fighter, date, lag(date) OVER (PARTITION BY fighter ORDER BY date, bout_id) AS before FROM s) GROUP BY fighter),
@@ -43,19 +43,20 @@ def seed_ratings(spark, sf_dir):
     return r.select("fighter", F.round(scores.seed_rating(F.col("fights"), F.col("wins"), F.col("losses"), F.col("scoped")), 6).alias("seed"))
 
 
-def _played(spark, sf_dir):
-    return bouts(spark, sf_dir).withColumn("key", F.lpad(F.col("bout_id").cast("string"), 20, "0"))
+def _trace(spark, sf_dir):
+    played = bouts(spark, sf_dir).withColumn("key", F.lpad(F.col("bout_id").cast("string"), 20, "0"))
+    return rating.trace(played, tasks=tasks_for(table(spark, sf_dir, "lineitem")))
 
 
 @query(dates=("last_date",))
 def elo_ratings(spark, sf_dir):
     """The rating of every fighter after all bouts; tested against a plain replay."""
-    return rating.states(rating.trace(_played(spark, sf_dir)))
+    return rating.states(_trace(spark, sf_dir))
 
 
 @query(dates=("date",))
 def elo_trace(spark, sf_dir):
-    return rating.trace(_played(spark, sf_dir))
+    return _trace(spark, sf_dir)
 
 
 @query(f"""{BOUTS_SQL}, {ranks_sql("cur", "2001-06-01")}, {ranks_sql("prv", "2000-06-01")}, j AS (SELECT coalesce(p.division, c.division) AS division, coalesce(p.fighter, c.fighter) AS fighter, p.rank AS before, c.rank AS after FROM (SELECT * FROM prv WHERE rank <= 15) p FULL JOIN (SELECT * FROM cur WHERE rank <= 15) c ON p.division = c.division AND p.fighter = c.fighter)
@@ -80,8 +81,6 @@ edges AS (SELECT DISTINCT w AS winner, l AS loser FROM x)"""
 
 @query(f"WITH RECURSIVE {_NATIONS_SQL}, reach AS (SELECT winner, loser FROM edges UNION SELECT r.winner, e.loser FROM reach r JOIN edges e ON r.loser = e.winner) SELECT 'all' AS division, e.winner, e.loser FROM edges e WHERE EXISTS (SELECT 1 FROM reach r WHERE r.winner = e.loser AND r.loser = e.winner)")
 def cyclic_edges(spark, sf_dir):
-    from .testdata import table
-
     lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     named = lines.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     e = named.select(F.lit("all").alias("division"), F.col("c_nationkey").alias("winner"), F.col("s_nationkey").alias("loser")).where("winner <> loser").distinct()
