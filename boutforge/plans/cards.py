@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import re
+
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..sources import sections
@@ -41,7 +43,14 @@ def result_pages(spark, sf_dir):
     a, b = F.concat(F.lit("C"), "o_custkey"), F.concat(F.lit("S"), "l_suppkey")
     flag = F.col("l_returnflag")
     mark_a, mark_b = F.when(flag == "A", "Win").when(flag == "R", "Lose").otherwise("Draw"), F.when(flag == "A", "Lose").when(flag == "R", "Win").otherwise("Draw")
-    put = lambda form, *c: F.format_string(form, *c)
+
+
+    def put(form: str, *c) -> Column:
+        """The form with columns in place of its marks; joined, which takes far less time than formatting."""
+        texts = re.split("%[sd]", form)
+        shown = [F.coalesce((F.col(x) if isinstance(x, str) else x).cast("string"), F.lit("null")) for x in c]
+        return F.concat(F.lit(texts[0]), *(part for x, t in zip(shown, texts[1:], strict=True) for part in (x, F.lit(t))))
+
     number = put("第%d試合", F.col("k"))
     heading = F.when(F.col("k") < 5, put('<h2 class="article-heading"><span>%s</span></h2>', number)).otherwise(F.concat(F.when(F.col("k") == 5, '<h2 class="article-heading">後半</h2>').otherwise(""), put('<h3 class="article-subheading">%s</h3>', number)))
     rule, method = F.col("o_orderpriority"), put("%s stop %d", F.col("l_linestatus"), F.col("l_linenumber"))
@@ -67,15 +76,14 @@ CASE WHEN k % 4 = 2 THEN '' ELSE o_orderpriority END AS rule, 'C' || o_custkey A
 CASE l_returnflag WHEN 'A' THEN 'WIN' WHEN 'R' THEN 'LOSE' ELSE CASE WHEN k % 4 = 0 THEN 'NC' END END AS mark_a, CASE l_returnflag WHEN 'A' THEN 'LOSE' WHEN 'R' THEN 'WIN' ELSE CASE WHEN k % 4 = 0 THEN 'NC' END END AS mark_b, l_linestatus || ' stop ' || l_linenumber AS method FROM l""")
 def result_page_bouts(spark, sf_dir):
     """All line items written as result pages of four layouts, cut into sections and read back."""
-    return sections.bouts(sections.blocks(result_pages(spark, sf_dir), "page", "html"), "page").drop("part", "title")
+    return sections.page_bouts(result_pages(spark, sf_dir), "page", "html").drop("part", "title")
 
 
 @query(f"""WITH {LINES_SQL}, x AS (SELECT l_orderkey AS page, 'X' || l_partkey AS a, 'Y' || l_suppkey AS b, l_linestatus || ' stop ' || l_linenumber || ' 1R' AS method, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey ORDER BY k) AS n FROM l WHERE k % 2 = 0)
 SELECT page, a, b, '○' AS mark_a, '×' AS mark_b, method FROM x WHERE n = 1""")
 def recovered_bouts(spark, sf_dir):
     """Bouts that only loose paragraphs of the same pages show."""
-    rows = sections.blocks(result_pages(spark, sf_dir), "page", "html")
-    return sections.recovered(rows, sections.bouts(rows, "page"), "page")
+    return sections.page_recovered(result_pages(spark, sf_dir), "page", "html")
 
 
 @query("""SELECT o_orderpriority AS page, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date, 'Show ' || o_orderkey AS title, CASE WHEN o_orderkey % 3 > 0 THEN 'Hall ' || o_custkey END AS venue FROM orders""")

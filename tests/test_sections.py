@@ -69,3 +69,54 @@ def test_calendar_lines(spark):
     html = "<ul><li>2024年5月6日（月・祝） 大会A ＠ 会場B<li>2024.12.3 大会C<li>2024/13/3 x<li>no date<li>2024-2-9(土)D @E</ul>"
     got = [(str(r.date), r.title, r.venue) for r in sections.calendar(page(spark, html), "page").orderBy("n").collect()]
     assert got == [("2024-05-06", "大会A", "会場B"), ("2024-12-03", "大会C", None), ("2024-02-09", "D", "E")]
+
+
+def test_whole_pages_give_what_blocks_give(spark):
+    import random
+
+    rng = random.Random(24)
+    some = lambda *x: rng.choice(x)
+    name = lambda: some("甲", "乙", "丙 ", " A-1", "", "é", "判定", "第1試合", "D.D", "x\u2028y", "丁")
+    mark = lambda: some("Win", "LOSE", "Draw", "-", "", "Ⅷ")
+    brackets = lambda x: some("(%s)", "（%s）", "［%s］", "[%s]", "%s") % x
+    link = lambda x: some("<a href='q'>%s</a>", "<a><b>%s</b></a>", "%s") % x
+    centre = lambda: some('<p style="text-align:center">', '<p style="FONT-WEIGHT:  bold">', "<p>", '<p class="wp-block-paragraph">')
+
+    def part():
+        kind = rng.randrange(8)
+        if kind < 2:
+            return some('<h2 class="article-heading">', "<h3 class=article-subheading>", '<h3 class="article-subheading">', "<h2>") + some("第2試合", "", "[x]", "後半<br>y") + some("</h2>", "</h3>", "")
+        if kind == 2:
+            return '<h3 class="article-subheading">' + f"[{mark()}] {name()} （ {some('KO', 'a）b', '')} ） {name()} [{mark()}]</h3>"
+        if kind == 3:
+            return centre() + f"{some('', '70kg<br>')}<b>{brackets(mark())}{link(name())} vs. {link(name())}{brackets(mark())}</b><br>{some('1R', ' KO  &amp;', '')}{some('', '<b>z</b>', '<a>w</a>')}</p>"
+        if kind == 4:
+            return centre() + f"({mark()}){name()}<br> ({some('判定', '')}) <br>{name()}({mark()}){some('', 'x')}</p>"
+        if kind == 5:
+            return centre() + brackets(some("70kg", "", "女子")) + some("</p>", "<!-- <p>［q］</p> -->", "<script>var a='<p>'</script></p>")
+        if kind == 6:
+            return '<p class="wp-block-paragraph">' + f"{some('○', '×', '')} {name()}（{some('ジム', 'x' * 41)}） {some('vs', '対', '')} {some('○', '×', '')}{name()}（<b>g</b>） {some('一本', '判定', 'いつか', '')}{some('', 'z' * 200)}</p>"
+        return some("text", "</div>", "<div>", "<footer>", "&nbsp;", "<ul><li>i", "<HR/>", "<b>")
+
+    htmls = [(k, "".join(part() for _ in range(rng.randrange(14)))) for k in range(1500)] + [(-1, None), (-2, BOUTS), (-3, SOUP)]
+    pages = spark.createDataFrame(htmls, "page int, html string")
+    rows = sections.blocks(pages, "page", "html")
+    rows = rows.persist()
+    found = sections.bouts(rows, "page")
+    shown = lambda frame: sorted(map(repr, map(tuple, frame.select(*columns).collect())))
+    columns = found.columns
+    want = shown(found)
+    assert shown(sections.page_bouts(pages, "page", "html")) == want
+    assert {k for k in "abcd" if any(f"'{k}'" in r for r in want)} == set("abcd") and len(want) > 400
+    more = sections.recovered(rows, found, "page")
+    columns = more.columns
+    assert shown(sections.page_recovered(pages, "page", "html")) == shown(more) != []
+
+
+def test_result_pages_are_read_where_they_are_cut(spark):
+    from boutforge.plans import registry
+
+    for name in ("result_page_bouts", "recovered_bouts"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "format_string" not in plan
+        assert "Exchange" not in plan.split("MapInArrow")[0]
