@@ -41,6 +41,7 @@ _TOKEN = re.compile(r"(?is)(<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^
 _TAG = re.compile(r"(?i)<(/?)([a-z][a-z0-9]*)\b([^>]*)>")
 _BLANKS, _SPACES, _AROUND_BREAKS = re.compile(r"[ \t\r\n\f]+"), re.compile(" +"), re.compile(" *\n *")
 _UNEVEN = re.compile(r"[\t\r\n\f]|  ")
+_UNCLEAN = ("&", "\t", "\r", "\f", "  ", " \n", "\n ", "\n\n")
 _HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
 _CLASS, _BOLD = re.compile(r"""(?i)\bclass\s*=\s*["']?([^"'>]*)"""), re.compile(r"(?i)font-weight:\s*bold")
 BLOCKS = "n int, tag string, opens boolean, path string, headings array<string>, css string, bold boolean, pieces array<struct<kind:string,bold:boolean,text:string>>, text string"
@@ -66,12 +67,12 @@ MAX_KNOWN = 4096
 
 
 def _tag(token: str) -> tuple | None:
-    """Name, whether it closes, is a block, its class, whether its style is bold and whether it makes text bold; None for what is no tag."""
+    """Name, whether it closes, is a block, its class, whether its style is bold, whether it makes text bold, and what it closes unsaid; None for what is no tag."""
     found = None
     if m := _TAG.fullmatch(token):
         name, attributes = m[2].lower(), m[3]
         css, bold = _CLASS.search(attributes), _BOLD.search(attributes) is not None
-        found = (name, bool(m[1]), name in _BLOCK, css[1].strip() if css else "", bold, bold or name in ("b", "strong"))
+        found = (name, bool(m[1]), name in _BLOCK, css[1].strip() if css else "", bold, bold or name in ("b", "strong"), ("p", *CLOSED_BY.get(name, ())))
     if len(_KNOWN) >= MAX_KNOWN:
         _KNOWN.clear()
     _KNOWN[token] = found
@@ -87,16 +88,21 @@ def page_rows(html: str, above: bool = True) -> list[tuple]:
     headings: list[tuple[int, str]] = []
     opens = False
     kind, strong = "text", False  # of text where we are
+    even = not any([x in html for x in _UNCLEAN])  # white space is single blanks or breaks, nothing is escaped
     parts = _TOKEN.split(html)
     parts.append("<hr>")  # ends the last block
     for k in range(0, len(parts), 2):
         if raw := parts[k]:
-            pieces.append((kind, strong, _clean(raw)))
+            if not even:
+                raw = _clean(raw)
+            elif "\n" in raw:
+                raw = raw.replace("\n", " ")
+            pieces.append((kind, strong, raw))
         token = parts[k + 1]
         tag = _KNOWN[token] if token in _KNOWN else _tag(token)
         if tag is None:
             continue
-        name, closes, is_block, css, bold, makes_bold = tag
+        name, closes, is_block, css, bold, makes_bold, unsaid = tag
         if not is_block:
             if name == "br":
                 pieces.append(("break", False, "\n"))
@@ -105,9 +111,12 @@ def page_rows(html: str, above: bool = True) -> list[tuple]:
                 known = [n for n, (t, _) in enumerate(inline) if t == name]
                 if known:
                     del inline[known[-1]]
+                kind, strong = "text", False
+                for t, b in inline:
+                    kind, strong = "link" if t == "a" else kind, b or strong
             elif name in _INLINE:
                 inline.append((name, makes_bold))
-            kind, strong = "link" if any(t == "a" for t, _ in inline) else "text", any(b for _, b in inline)
+                kind, strong = "link" if name == "a" else kind, makes_bold or strong
             continue
         if inline:
             inline, kind, strong = [], "text", False
@@ -127,11 +136,12 @@ def page_rows(html: str, above: bool = True) -> list[tuple]:
             pieces = []
         opens = not closes
         if closes:
-            known = [n for n, (t, _, _) in enumerate(stack) if t == name]
-            if known:
+            if stack and stack[-1][0] == name:
+                stack.pop()
+            elif known := [n for n, (t, _, _) in enumerate(stack) if t == name]:
                 del stack[known[-1] :]
             continue
-        while stack and (stack[-1][0] == "p" or stack[-1][0] in CLOSED_BY.get(name, ())):
+        while stack and stack[-1][0] in unsaid:
             stack.pop()
         if name != "hr":
             stack.append((name, css, bold))
@@ -310,10 +320,11 @@ def bouts_of(rows: list[tuple]) -> list[tuple]:
     for _, tag, _, _, _, css, bold, pieces, text in rows:
         rule = is_h2 = is_h3 = is_title = None
         if tag == "p":
-            links = [k for k, p in enumerate(pieces) if p[0] == "link"]
-            if not (bold or links or "［" in text):
+            links = [k for k, p in enumerate(pieces) if p[0] == "link"] if len(pieces) > 1 or pieces[0][0] == "link" else []
+            bracket = "［" in text
+            if not (bold or links or bracket):
                 continue
-            m = _BRACKETED.match(text)
+            m = _BRACKETED.match(text) if bracket else None
             rule = m[1] or None if m else None
         elif tag in ("h2", "h3") and (SECTION_HEADING in css or TITLE_HEADING in css):
             links = []
